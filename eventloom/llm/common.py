@@ -66,7 +66,7 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and returns the written table."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "uncompressed").parquet(path)  # codecs hold memory outside the heap for each small file
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

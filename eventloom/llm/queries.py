@@ -4,22 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import decontamination, license_scan, mixing, outliers, sharding
+from eventloom.llm import bagminhash, decontamination, fuzzy_lines, license_scan, mixing, outliers, sharding, suffix_tree, toxicity, unit_dedup
 from eventloom.llm.common import table
 
 
+def op1_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 16)
 
 
+def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op7_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(table(spark, sf_dir, "documents"))
 
@@ -29,4 +51,18 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
-QUERIES = {f.__name__: f for f in (op2_jump_sharding, op5_license_scan, op7_pivotal_mixing, op9_mcd_outliers, op10_positional_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_counterfactual_toxicity,
+        op2_jump_sharding,
+        op3_bagminhash,
+        op4_fuzzy_lines,
+        op5_license_scan,
+        op6_unit_dedup,
+        op7_pivotal_mixing,
+        op8_suffix_tree,
+        op9_mcd_outliers,
+        op10_positional_decontamination,
+    )
+}
