@@ -22,7 +22,7 @@ STEPS = 4
 LEAST_GROUP = 40
 FEATURES = ("x0", "x1", "x2", "x3")
 #: Standard deviations under which a feature is never taken, so that a constant one does not reject all others.
-FLOORS = (0.04, 0.05, 0.1, 0.1)
+FLOORS = (0.04, 0.05, 0.25, 0.15)
 #: Of chi-square with 4 degrees of freedom: the 0.75 quantile and the one of 1 - 1e-6; fixed values.
 CHI2_SHARE, CHI2_CUT = 5.385, 33.377
 #: Share of a normal vector's variance within the nearest 75 %: chi-square(6) below CHI2_SHARE over 0.75.
