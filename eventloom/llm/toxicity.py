@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import ascii_lower, doc_crc, text_of
@@ -22,10 +22,12 @@ from eventloom.llm.common import ascii_lower, doc_crc, text_of
 #: The fit reads at most about this many labelled rows, taken by a hash of the id.
 TRAIN_ROWS = 12_000
 SPACE = 1 << 20
-FEATURES = 4096
+MOST_FEATURES = 4096
 THRESHOLD = 0.7
 PENALTY = 4.0
-RIDGE = 0.02
+RIDGE = 0.001
+#: Features are used if their count in toxic texts is this many standard deviations off the expected one.
+TELLING = 3.0
 STARTS = (3, 4, 5, 6)
 
 #: Names of groups that may stand for each other in a sentence, and the neutral word of each set.
@@ -91,7 +93,7 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(sample: list, penalty: float = PENALTY, ridge: float = RIDGE, steps: int = 400) -> Model:
+def fit(sample: list, penalty: float = PENALTY, ridge: float = RIDGE, steps: int = 300) -> Model:
     """sample: rows (label, own, lost, gained) of feature numbers. No rows or one label only: the label's share."""
     y = np.array([r[0] for r in sample], dtype=np.float64)
     if len(y) == 0 or y.min() == y.max():
@@ -101,10 +103,11 @@ def fit(sample: list, penalty: float = PENALTY, ridge: float = RIDGE, steps: int
     seen, hits = np.bincount(feature, minlength=SPACE), np.bincount(feature, weights=y[row], minlength=SPACE)
     share = y.mean()
     z = np.abs(hits - seen * share) / np.sqrt(seen * share * (1 - share) + 1.0) * (seen >= 3)
+    telling = np.argsort(-z, kind="stable")[: min(MOST_FEATURES, int((z >= TELLING).sum()))]
     pairs = [(lost, gained) for r in sample for lost, gained in zip(r[2], r[3], strict=True)]
     lost_row, lost = _flat([p[0] for p in pairs])
     gained_row, gained = _flat([p[1] for p in pairs])
-    chosen = np.unique(np.concatenate((np.argsort(-z, kind="stable")[:FEATURES], np.unique(np.concatenate((lost, gained)))[:FEATURES])))
+    chosen = np.unique(np.concatenate((telling, lost, gained)))
     place = np.full(SPACE, -1)
     place[chosen] = np.arange(len(chosen))
 
@@ -122,7 +125,7 @@ def fit(sample: list, penalty: float = PENALTY, ridge: float = RIDGE, steps: int
     for step in range(1, steps + 1):
         p = 1.0 / (1.0 + np.exp(-np.clip(bias + np.bincount(row, weights=w[at], minlength=n), -30, 30)))
         pull = (p - y) * rare / n
-        grad = np.append(np.bincount(at, weights=pull[row], minlength=k) + ridge * w / k, pull.sum())
+        grad = np.append(np.bincount(at, weights=pull[row], minlength=k) + ridge * w, pull.sum())
         if m:
             change = np.bincount(gained_row, weights=w[gained], minlength=m) - np.bincount(lost_row, weights=w[lost], minlength=m)
             pull = 2 * penalty * change / m
@@ -146,8 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: f
     return fit(sample, penalty)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs and held_out, score, predicted. Null and empty texts get the bias's score; repeated rows equal ones."""
+def probability(text: Column, model: Model) -> Column:
+    """The model's score of a text; null and empty texts get the bias's."""
     weights, bias = model.weights, model.bias
 
     @F.pandas_udf("double")
@@ -155,9 +158,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         known: dict[str, list[int]] = {}
         for part in texts:
             out = np.empty(len(part))
-            for i, text in enumerate(part):
+            for i, one in enumerate(part):
                 features: set[int] = set()
-                for word in set(_WORD.findall(text)):
+                for word in set(_WORD.findall(one)):
                     own = known.get(word)
                     if own is None:
                         if len(known) > 400_000:
@@ -168,11 +171,21 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 out[i] = bias + sum(weights[f] for f in sorted(features))
             yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(out, -30, 30))))
 
+    return scored(ascii_lower(text_of(text)))
+
+
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """docs and held_out, score, predicted, which replace columns of these names. Repeated rows get equal scores."""
     own = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    marked = docs.select(*own, scored(ascii_lower(text_of())).alias("score"))
+    marked = docs.select(*own, probability(F.col("text"), model).alias("score"))
     return marked.select(
         *own,
         (F.pmod(doc_crc(F.col("doc_id")), F.lit(3)) == 1).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold."""
+    return docs.filter(probability(F.col("text"), model) < threshold)

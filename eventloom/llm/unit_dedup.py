@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import Scratch, row_key
 
-MIN_WORDS = 20
+MIN_WORDS = 25
 
 _UNIT = {
     "sentence": re.compile(r"[^\n.!?…。！？]+[.!?…。！？]*"),
