@@ -4,16 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import sharding
+from eventloom.llm import bagminhash, decontamination, mixing, sharding, toxicity
 from eventloom.llm.common import Scratch, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labelled ones among them, does not call toxic."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return bagminhash.drop_near_duplicates(docs)
+
+
+def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    found = decontamination.scan(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter("not contaminated").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target has it."""
+    return mixing.take(docs)
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard and slot of every row."""
     return sharding.assign_shards(docs, 16)
 
 
-STAGES = [("sharding", shard)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near-dedup", drop_copies),
+    ("decontamination", drop_benchmarks),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
 ORACLE_SQL = None
 
 
