@@ -1,9 +1,10 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Each benchmark item is cut into windows of words. From counts over the whole corpus every window gets its rarest terms
-as anchors; the index stores the corpus postings (document, position) of all anchor terms. The anchors' lists are
-shifted by their offsets in the window and intersected from the rarest on; equal starts are phrase candidates, starts
-up to `slop` apart are proximity matches. Candidates are then compared with the window word by word.
+Each benchmark item is cut into windows of words. From counts over the whole corpus every window gets its two rarest
+places as anchors; the index stores the corpus postings (document, position) of all anchor terms. Postings of the
+rarest anchors are shifted by their places in the item to diagonals and intersected with those of the second ones: equal
+diagonals are phrase candidates, diagonals up to SLOP apart are proximity matches. Windows share anchors, so lists are
+kept by place in the item and spread to windows only after the intersection. Candidates are compared word by word.
 """
 
 from __future__ import annotations
@@ -14,27 +15,30 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import Scratch, item_words, row_key, text_of
 
 WINDOW = 10
-ANCHORS = 3
 SLOP = 3
 
 
 def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, window, words): the distinct windows of each item; an item of fewer words, but not none, is one."""
-    words = benchmark.select(F.col("item_id").cast("string").alias("item_id"), item_words(text_of()).alias("w")).filter("size(w) > 0")
-    starts = words.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - window + 1))).alias("at"))
-    cut = starts.select("item_id", F.slice("w", F.col("at"), F.lit(window)).alias("words")).distinct()
-    return cut.withColumn("window", F.xxhash64("words"))
+    """(item, item_id, first, words): the windows of each item; an item of fewer words, but not none, is one window."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), item_words(text_of()).alias("w")).filter("size(w) > 0").distinct()
+    items = items.withColumn("item", F.xxhash64("item_id", "w"))
+    starts = items.select("item", "item_id", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - window))).alias("first"))
+    return starts.select("item", "item_id", "first", F.slice("w", F.col("first") + 1, F.lit(window)).alias("words"))
 
 
-def anchors_of(windows: DataFrame, counts: DataFrame, anchors: int) -> DataFrame:
-    """(window, nth, term, offset, length): each window's rarest places, rarest first. Terms the corpus lacks count 0."""
-    places = windows.dropDuplicates(["window", "words"]).select("window", F.size("words").alias("length"), F.posexplode("words").alias("offset", "term"))
-    order = Window.partitionBy("window").orderBy(F.coalesce("n", F.lit(0)), "offset")
-    ranked = places.join(counts, "term", "left").withColumn("nth", F.row_number().over(order) - 1)
-    return ranked.filter(F.col("nth") < anchors).select("window", "nth", "term", "offset", "length")
+def anchors_of(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """windows and the places in the item (q0, q1) and terms (t0, t1) of their rarest words; a window of one word has no second.
+
+    Terms that the corpus lacks count 0; of equally rare places the earlier one comes first.
+    """
+    places = windows.select("item", "first", F.posexplode("words").alias("offset", "term")).join(counts, "term", "left")
+    ranked = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term")))
+    two = places.groupBy("item", "first").agg(ranked.alias("r"))
+    chosen = two.select("item", "first", *[x for i in (0, 1) for x in ((F.col("first") + F.get("r", F.lit(i))["offset"]).alias(f"q{i}"), F.get("r", F.lit(i))["term"].alias(f"t{i}"))])
+    return windows.join(chosen, ["item", "first"])
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchors: int = ANCHORS, slop: int = SLOP) -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """(key, item_id, start, length, exact): where windows stand in documents, phrases and proximity matches.
 
     Texts are read whole; null texts and items have no words and match nothing. Repeated rows share a key and so their
@@ -46,37 +50,32 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, an
     keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), item_words(text_of()).alias("w"))
     stream = keyed.select("key", F.posexplode("w").alias("pos", "term"))
     counts = stream.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    chosen = scratch.keep(anchors_of(windows, counts, anchors), "anchors")
-    wanted = chosen.select("term").distinct()
-    index = scratch.keep(stream.join(wanted, "term", "left_semi"), "index").distinct()
+    anchors = scratch.keep(anchors_of(windows, counts), "anchors")
+    wanted = anchors.select(F.explode(F.array("t0", "t1")).alias("term")).distinct()
+    index = scratch.keep(stream.join(wanted, "term", "left_semi"), "index")
 
-    def shifted(nth: int) -> DataFrame:
-        places = chosen.filter(F.col("nth") == nth).select("window", "term", "offset", "length")
-        return index.join(places, "term").select("key", "window", "length", (F.col("pos") - F.col("offset")).alias("start"))
+    def shifted(n: int) -> DataFrame:
+        places = anchors.select("item", F.col(f"q{n}"), F.col(f"t{n}").alias("term")).distinct()
+        return index.join(places, "term").select("key", "item", f"q{n}", (F.col("pos") - F.col(f"q{n}")).alias(f"at{n}"))
 
     step = slop + 1
-    found = shifted(0).withColumn("exact", F.lit(True))
-    for nth in range(1, anchors):
-        ahead = shifted(nth).select("key", "window", F.col("start").alias("other"))
-        near = ahead.withColumn("cell", F.explode(F.array(*[F.floor(F.col("other") / step) + d for d in (-1, 0, 1)])))
-        joined = found.withColumn("cell", F.floor(F.col("start") / step)).join(near, ["key", "window", "cell"], "left")
-        close = F.abs(F.col("other") - F.col("start")) <= slop
-        matched = joined.filter(close | (F.col("length") <= nth)).groupBy("key", "window", "length", "start").agg(
-            F.max(F.col("exact") & (F.coalesce(F.col("other") == F.col("start"), F.lit(False)) | (F.col("length") <= nth))).alias("exact")
-        )
-        found = matched
+    near = shifted(0).withColumn("cell", F.explode(F.array(*[F.floor(F.col("at0") / step) + d for d in (-1, 0, 1)])))
+    second = shifted(1).withColumn("cell", F.floor(F.col("at1") / step))
+    pairs = near.join(second, ["key", "item", "cell"]).filter(F.abs(F.col("at0") - F.col("at1")) <= slop)
+    pairs = pairs.groupBy("key", "item", "q0", "q1", "at0").agg(F.max(F.col("at0") == F.col("at1")).alias("exact"))
+    alone = shifted(0).distinct().withColumn("exact", F.lit(True))
+    facts = anchors.select("item", "item_id", "first", "q0", "q1", "words")
+    both = pairs.join(facts, ["item", "q0", "q1"]).select("key", "item_id", "at0", "first", "words", "exact")
+    single = alone.join(facts.filter("q1 is null"), ["item", "q0"]).select("key", "item_id", "at0", "first", "words", "exact")
+    found = both.unionByName(single).withColumn("start", F.col("at0") + F.col("first")).select("key", "item_id", "words", "start", "exact").distinct()
     candidates = scratch.keep(found, "candidates")
     scratch.drop("index")
-    checked = (
-        candidates.filter("exact")
-        .join(keyed.join(candidates.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "key")
-        .select("key", "window", "start", F.slice("w", F.greatest(F.col("start") + 1, F.lit(1)), F.col("length")).alias("words"))
-        .join(windows, ["window", "words"])
-        .select("key", "item_id", "start", F.size("words").alias("length"))
-    )
-    exact = scratch.keep(checked, "exact").withColumn("exact", F.lit(True))
-    near = candidates.filter("not exact").join(windows.select("window", "item_id"), "window")
-    return exact.unionByName(near.select("key", "item_id", "start", "length", F.lit(False).alias("exact")))
+    texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    texts = texts.join(candidates.filter("exact").select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    checked = candidates.filter("exact and start >= 0").join(texts.select("key", item_words(text_of()).alias("w")), "key")
+    same = F.slice("w", F.col("start") + 1, F.size("words")) == F.col("words")
+    exact = scratch.keep(checked.filter(same).select("key", "item_id", "start", F.size("words").alias("length"), F.lit(True).alias("exact")), "exact")
+    return exact.unionByName(candidates.filter("not exact").select("key", "item_id", "start", F.size("words").alias("length"), "exact"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from eventloom.llm import license_scan
-from eventloom.llm.decontamination import ANCHORS, SLOP, WINDOW
+from eventloom.llm.decontamination import SLOP, WINDOW
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(string_split_regex(" + _LOWER + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -23,12 +23,12 @@ place as (
   from (select words, unnest(words) as t, generate_subscripts(words, 1) - 1 as o from (select distinct words from win)) x
   left join cf using (t)
 ),
-shifted as (select words, len, nth, r, p - o as s from place join tok using (t) where nth < {ANCHORS}),
+shifted as (select words, len, nth, r, p - o as s from place join tok using (t) where nth < 2),
 cand as (
   select words, r, s, min(k) as ok, min(e) as exact from (
     select a.words, a.r, a.s, n.nth,
       coalesce(bool_or(a.len <= n.nth or abs(x.s - a.s) <= {SLOP}), false) as k, coalesce(bool_or(a.len <= n.nth or x.s = a.s), false) as e
-    from shifted a cross join (values {', '.join(f'({i})' for i in range(1, ANCHORS))}) n(nth)
+    from shifted a cross join (values (1)) n(nth)
     left join shifted x on x.words = a.words and x.r = a.r and x.nth = n.nth and x.s between a.s - {SLOP} and a.s + {SLOP}
     where a.nth = 0 group by a.words, a.r, a.s, n.nth
   ) group by words, r, s having min(k)
