@@ -14,6 +14,11 @@ _PART = "struct<object:string,idx:int,pt:double,eta:double,phi:double>"
 CANDIDATE = f"struct<mass:double,pt:double,min_delta_r:double,e:double,px:double,py:double,pz:double,constituents:array<{_PART}>>"
 
 
+def let(x: Column, body) -> Column:
+    """body(x) with x computed once, however often the body, or a lambda in it, mentions it."""
+    return F.get(F.transform(F.array(x), lambda v: body(v)), F.lit(0))
+
+
 def by_pt(objects: Column) -> Column:
     """Sorted by falling pt, equal ones in source order."""
     keyed = F.transform(objects, lambda x: F.struct((-wide(x["pt"])).alias("k"), x["idx"].alias("i"), x.alias("x")))
@@ -22,8 +27,12 @@ def by_pt(objects: Column) -> Column:
 
 def pairs(objects: Column) -> Column:
     """All unordered pairs (l, r), the left one first in the array's order."""
-    right = lambda i: F.slice(objects, i + 2, F.greatest(F.size(objects) - i - 1, F.lit(0)))
-    return F.flatten(F.transform(objects, lambda x, i: F.transform(right(i), lambda y: F.struct(x.alias("l"), y.alias("r")))))
+
+    def of(a: Column) -> Column:
+        right = lambda i: F.slice(a, i + 2, F.greatest(F.size(a) - i - 1, F.lit(0)))
+        return F.flatten(F.transform(a, lambda x, i: F.transform(right(i), lambda y: F.struct(x.alias("l"), y.alias("r")))))
+
+    return let(objects, of)
 
 
 def part(name: str, x: Column) -> Column:
@@ -39,10 +48,14 @@ def least_delta_r(parts: Column) -> Column:
 
 def candidate(momentum: Column, parts: Column) -> Column:
     """A candidate from a summed four-vector and its constituents."""
-    return F.struct(
-        invariant_mass(momentum).alias("mass"), transverse(momentum).alias("pt"), least_delta_r(parts).alias("min_delta_r"),
-        momentum["e"].alias("e"), momentum["px"].alias("px"), momentum["py"].alias("py"), momentum["pz"].alias("pz"), parts.alias("constituents"),
-    ).cast(CANDIDATE)
+
+    def of(p: Column, c: Column) -> Column:
+        return F.struct(
+            invariant_mass(p).alias("mass"), transverse(p).alias("pt"), least_delta_r(c).alias("min_delta_r"),
+            *[p[a].alias(a) for a in ("e", "px", "py", "pz")], c.alias("constituents"),
+        )
+
+    return let(F.struct(momentum.alias("p"), parts.alias("c")), lambda b: of(b["p"], b["c"])).cast(CANDIDATE)
 
 
 def sound(c: Column) -> Column:
@@ -68,7 +81,8 @@ def candidate_quantity(name: str, c: Column) -> Column:
 
 
 def made_from(name: str, p: Column) -> Column:
-    return candidate(add(four_vector(p["l"]), four_vector(p["r"])), F.array(part(name, p["l"]), part(name, p["r"])))
+    momentum = let(F.struct(four_vector(p["l"]).alias("a"), four_vector(p["r"]).alias("b")), lambda v: add(v["a"], v["b"]))
+    return candidate(momentum, F.array(part(name, p["l"]), part(name, p["r"])))
 
 
 def first(candidates: Column) -> Column:

@@ -165,7 +165,7 @@ class Plan:
                     p, own = four_vector(x), F.when(x.isNotNull(), F.array(C.part(item, x)))
                 else:
                     p, own = at.derived[item], at.derived[item]["constituents"]
-                momentum = p if momentum is None else add(momentum, p)
+                momentum = p if momentum is None else C.let(F.struct(momentum.alias("a"), p.alias("b")), lambda v: add(v["a"], v["b"]))
                 parts = own if parts is None else F.concat(parts, own)
             made = C.candidate(momentum, parts)
             return C.first(F.filter(F.array(made), lambda c: C.sound(c) & F.coalesce(tests(C.candidate_quantity, c), F.lit(False))))
@@ -173,7 +173,7 @@ class Plan:
         ordered = objects if d.selection == "nearest_mass_truncated" else C.by_pt(objects)
         excluded = C.used(d.object, *[at.derived[x] for x in d.exclude])
 
-        def allowed(p: Column) -> Column:
+        def allowed(p: Column, excluded: Column) -> Column:
             ok = tests(C.pair_quantity, p)
             if "opposite_charge" in d.constraints:
                 ok = C.opposite_charge(p) & ok
@@ -181,7 +181,8 @@ class Plan:
                 ok = ~F.array_contains(excluded, p["l"]["idx"]) & ~F.array_contains(excluded, p["r"]["idx"]) & ok
             return ok
 
-        made = F.filter(F.transform(F.filter(C.pairs(ordered), allowed), lambda p: C.made_from(d.object, p)), C.sound)
+        kept = C.let(excluded, lambda e: F.filter(C.pairs(ordered), lambda p: allowed(p, e)))
+        made = F.filter(F.transform(kept, lambda p: C.made_from(d.object, p)), lambda c: C.sound(c))
         if d.selection == "leading_pt":
             return C.first(made)
         return (C.nearest if d.selection == "nearest_mass" else C.nearest_truncated)(made, d.target.value)

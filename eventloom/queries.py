@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom import eventview
 from eventloom.operators import candidates as C
+from eventloom.operators import heavyflavour as V
 from eventloom.operators import histogram as H
 from eventloom.operators import kinematics as K
 from eventloom.plans.compiler import Plan
@@ -267,3 +269,218 @@ hists("W2_weight_systematic", MUON + "weight nominal;\nsystematic muon_weight ki
 SHAPED = "variations as (select * from (values ('Nominal', 1.0::double), ('JesUp', 1.05::double), ('JesDown', 0.95::double)) t(variation, f)), shaped as (select event, idx, variation, eta, cast(cast(pt * f as float) as double) as pt from mu, variations), picked as (select * from shaped where pt > 30 and abs(eta) < 2)"
 hists("W5_shape_systematic", "weight nominal;\ncorrection jes kind scale collection m attr pt up 1.05 down 0.95;\nobject m : Muon { pt > 30 GeV; abs(eta) < 2; }\nregion r { count(m) >= 1; }\nhistogram lead { expr = leading(m).pt; bins = 20; range = [30, 130]; }", SUMS,
       "hists as (select 'lead' as hist, 20 as bins, 30.0::double as low, 130.0::double as high), " + SHAPED + ", fills as (select 'lead' as hist, variation, max(pt) as x, 1.0::double as w from picked group by event, variation), " + BINNED)
+
+
+# ---- corrections, channels, samples ------------------------------------------------------------------------------
+
+
+def payload_spec(text: str) -> Spec:
+    out = spec(text)
+    out.folder = str(Path(__file__).parent / "payloads")
+    return out
+
+
+def payload_hists(name: str, text: str, tail: str, extra: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = Plan(payload_spec(text), eventview.events(spark, sf_dir)).histograms()
+        return rounded(df.select("hist", "variation", "bin", "sumw", "sumw2", "entries", "sumwx", "sumwx2"), 4)
+
+    with_sql(name, tail, extra)(run)
+
+
+SF = "case when eta < 0.1::double then (case when pt < 40 then 0.9::double else 0.95::double end) else 1.1::double end"
+payload_hists("W7_scale_factor", MUON + "correction view_sf kind scale_factor file view.json correction view_sf collection m input eta from eta input pt from pt systematic kind nominal nominal up more down less;\nregion r { count(m) >= 1; }\nhistogram n { expr = count(m); bins = 4; range = [0, 4]; }", SUMS,
+              GOOD + ", hists as (select 'n' as hist, 4 as bins, 0.0::double as low, 4.0::double as high), variations as (select unnest(['Nominal', 'ViewSfUp', 'ViewSfDown']) as variation), fills as (select 'n' as hist, variation, cast(count(*) as double) as x, product(case variation when 'Nominal' then " + SF + " when 'ViewSfUp' then 1.2::double else 0.8::double end) as w from good, variations group by event, variation), " + BINNED)
+UNC = "case when eta < -3 or eta >= 3 then 0.5::double when eta < 0.1::double then 0.1::double else 0.02::double + 3.0::double / (pt + eta) end"
+payload_hists("W6_jes_payload", "correction jes_total kind jes file view.json correction view_unc collection m attr pt input eta from eta input pt from pt;\nobject m : Muon { pt > 30 GeV; }\nregion r { count(m) >= 1; }\nhistogram ht { expr = sum(m.pt); bins = 10; range = [0, 300]; }", SUMS,
+              "hists as (select 'ht' as hist, 10 as bins, 0.0::double as low, 300.0::double as high), variations as (select * from (values ('Nominal', 0), ('JesTotalUp', 1), ('JesTotalDown', -1)) t(variation, s)), shaped as (select event, variation, cast(cast(pt * (1.0::double + s * (" + UNC + ")) as float) as double) as pt from mu, variations), fills as (select 'ht' as hist, variation, sum(pt) as x, 1.0::double as w from shaped where pt > 30 group by event, variation), " + BINNED)
+
+
+@over_events("C2_correction_lookup", f"select event, idx, round({SF}, 6) as sf, round({UNC}, 6) as unc from mu")
+def _lookup(ev: DataFrame) -> DataFrame:
+    from eventloom.functions.corrections import correction, load_corrections
+
+    found = load_corrections(str(Path(__file__).parent / "payloads" / "view.json"))
+    rows = ev.select("event", F.explode("Muon").alias("m")).select("event", F.col("m.idx").cast("long").alias("idx"), F.col("m.eta").cast("double").alias("eta"), F.col("m.pt").cast("double").alias("pt"))
+    at = {"eta": F.col("eta"), "pt": F.col("pt")}
+    return rows.select("event", "idx", correction(found["view_sf"], at | {"kind": F.lit("nominal")}).alias("sf"), correction(found["view_unc"], at).alias("unc"))
+
+
+@over_events("M17_formula", "select event, idx, round(0.5 * pt ^ 2 + exp(-eta) - greatest(3, sqrt(pt)) / (1 + abs(phi)), 4) as y from mu")
+def _formula(ev: DataFrame) -> DataFrame:
+    from eventloom.functions.formula import compile_formula
+
+    rows = ev.select("event", F.explode("Muon").alias("m"))
+    y = compile_formula("0.5*x^2 + TMath::Exp(-y) - max(3, sqrt(x))/([0]+abs(phi))", ["pt", "eta", "phi"], [F.col("m.pt").cast("double"), F.col("m.eta").cast("double"), F.col("m.phi").cast("double")], [1.0])
+    return rows.select("event", F.col("m.idx").cast("long").alias("idx"), F.round(y, 4).alias("y"))
+
+
+UNION = """
+[analysis]
+name = "u"
+year = "2018"
+[[channel]]
+name = "two"
+[channel.objects.a]
+source = "Muon"
+cuts = ["pt > 20 GeV"]
+[channel.regions.r]
+require = ["count(a) == 2"]
+[[channel.outputs]]
+name = "n"
+expr = "count(a)"
+[[channel.outputs]]
+name = "s"
+expr = "sum(a.pt)"
+[[channel]]
+name = "jets"
+[channel.objects.b]
+source = "Jet"
+cuts = ["pt > 30 GeV"]
+[channel.regions.r]
+require = ["count(b) >= 1", "sum(b.pt) > 80 GeV"]
+[[channel.outputs]]
+name = "n"
+expr = "count(b)"
+[[channel.outputs]]
+name = "s"
+expr = "sum(b.pt)"
+"""
+
+
+def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(Plan(from_text(UNION, "toml"), eventview.events(spark, sf_dir), ["event"]).rows())
+
+
+with_sql("U1_channels", "select event, 'two' as channel, cast(count(*) as int) as n, round(sum(pt), 6) as s from mu where pt > 20 group by event having count(*) = 2 union all select event, 'jets', cast(count(*) as int), round(sum(pt), 6) from jet where pt > 30 group by event having sum(pt) > 80")(_union)
+
+STACK = MUON + "region r { count(m) >= 1; }\nhistogram lead { expr = leading(m).pt; bins = 12; range = [20, 80]; }"
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from eventloom.sources import samples
+
+    ev = eventview.events(spark, sf_dir)
+    table = samples.SampleTable(10.0, [samples.Sample("signal", [], True, False, 0.5, 10.0), samples.Sample("background", [], False, False, 2000.0, 40.0), samples.Sample("data", [], False, True)])
+    return samples.run(spec(STACK), table, lambda s: ev.filter(F.col("process") == s.process))
+
+
+_FACTORS = "factors as (select * from (values ('signal', 'signal', 0.5::double, 0), ('background', 'background', 500.0::double, 1), ('data', 'data_obs', 1.0::double, 2)) t(process, name, f, sample))"
+
+
+def _stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_samples(spark, sf_dir)[0].select("process", "hist", "variation", "bin", "sumw", "sumw2", "entries"), 4)
+
+
+with_sql("G10_normalised_samples", "select p.name as process, 'lead' as hist, 'Nominal' as variation, cast(b.bin as int) as bin, round(coalesce(sum(f), 0), 4) as sumw, round(coalesce(sum(f * f), 0), 4) as sumw2, count(f) as entries from factors p cross join (select unnest(generate_series(0, 13)) as bin) b left join (select process, case when x < 20 then 0 when x >= 80 then 13 else cast(floor((x - 20) / 60 * 12) as int) + 1 end as bin, 1 as one from (select event, max(pt) as x from good group by event) join ev using (event)) l on l.process = p.process and l.bin = b.bin left join (select process as q, f as g from factors) on q = l.process group by p.name, b.bin, f"
+         .replace("sum(f)", "sum(g)").replace("sum(f * f)", "sum(g * g)").replace("count(f)", "count(g)"), GOOD + ", " + _FACTORS)(_stacked)
+with_sql("G11_sample_report", "select sample, name as process, count(*) as events_read, count(*) filter (where event in (select event from good)) as events_selected, any_value(f) as factor from ev join factors using (process) group by sample, name", GOOD + ", " + _FACTORS)(lambda spark, sf_dir: _samples(spark, sf_dir)[1])
+
+
+def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(H.rate(_samples(spark, sf_dir)[0], ["process"]).select("process", "rate"), 4)
+
+
+with_sql("G12_rate", "select name as process, round(sum(f) filter (where x >= 20 and x < 80), 4) as rate from (select event, max(pt) as x from good group by event) join ev using (event) join factors using (process) group by name", GOOD + ", " + _FACTORS)(_rates)
+
+
+@over_events("G7_cutflow", "select (select count(*) from ev) as events_seen, (select count(distinct event) from good) as events_selected", GOOD)
+def _cutflow(ev: DataFrame) -> DataFrame:
+    return Plan(spec(MUON + "region r { count(m) >= 1; }\noutput n = count(m);"), ev).cutflow()
+
+
+@over_events("G15_checksums", "select count(*) as events, cast(sum((select count(*) from mu where mu.event = ev.event)) as bigint) as muons, (select cast(sum(cast(round(pt * 1000) as bigint)) as bigint) from mu) as milli from ev")
+def _checksums(ev: DataFrame) -> DataFrame:
+    milli = F.aggregate("Muon", F.lit(0).cast("long"), lambda a, x: a + F.round(x["pt"].cast("double") * 1000).cast("long"))
+    return ev.agg(F.count("*").alias("events"), F.sum(F.size("Muon")).alias("muons"), F.sum(milli).alias("milli"))
+
+
+# ---- the heavy-flavour channel's operators -----------------------------------------------------------------------
+
+
+@over_events("P9_trigger_or", "select event from ev where HLT_A")
+def _trigger(ev: DataFrame) -> DataFrame:
+    return ev.filter(V.pass_trigger(ev, ["HLT_A", "HLT_absent"])).select("event")
+
+
+@over_events("P10_met_filters", "select event, HLT_A as v2016, HLT_A and is_mc as v2018, false as v2022 from ev")
+def _filters(ev: DataFrame) -> DataFrame:
+    flags = {n: F.col("HLT_A") for n in V.COMMON_FILTERS} | {n: F.lit(True) for n in ("Flag_HBHENoiseFilter", "Flag_HBHENoiseIsoFilter")} | {"Flag_ecalBadCalibFilter": F.col("is_mc")}
+    df = ev.withColumns(flags)
+    return df.select("event", *[V.met_filters(df, era).alias(f"v{era}") for era in ("2016", "2018", "2022")])
+
+
+@over_events("P11_jet_id", "select event, idx, (cast(iso * 100 as int) & 2) <> 0 as v9, (cast(iso * 100 as int) & 4) <> 0 as v9veto, (cast(iso * 100 as int) & 2) <> 0 and iso < 0.8::double as v12veto from jet")
+def _jet_id(ev: DataFrame) -> DataFrame:
+    jets = F.transform("Jet", lambda x: x.withField("jetId", F.round(x["iso"].cast("double") * 100).cast("int")).withField("muEF", x["iso"]))
+    rows = ev.select("event", F.explode(jets).alias("j"))
+    one = lambda version, veto: V.jet_id(F.col("j"), {"jetId", "muEF"}, version, veto)
+    return rows.select("event", F.col("j.idx").cast("long").alias("idx"), one("v9", False).alias("v9"), one("v9", True).alias("v9veto"), one("v12", True).alias("v12veto"))
+
+
+GEN = """gen as (select event, idx, case when idx = 0 then 6 when charge > 0 then 6 else 5 end as pdgId, case when idx = 0 then -1 else cast(floor((idx - 1) / 2) as bigint) end as mother, pt, eta, phi from mu),
+following as (select g.event, g.idx, min(d.idx) as after from gen g join gen d on d.event = g.event and d.mother = g.idx and d.pdgId = g.pdgId group by g.event, g.idx),
+chain as (
+  with recursive c as (select event, idx as first, idx as place from gen union all select c.event, c.first, f.after from c join following f on f.event = c.event and f.idx = c.place)
+  select event, first, max(place) as last from c group by event, first
+)"""
+
+
+def _gen() -> Column:
+    kind = lambda x: F.when(x["idx"] == 0, 6).when(x["charge"] > 0, 6).otherwise(5)
+    mother = lambda x: F.when(x["idx"] == 0, -1).otherwise(F.floor((x["idx"] - 1) / 2)).cast("int")
+    return F.transform("Muon", lambda x: F.struct(x["idx"].alias("idx"), kind(x).alias("pdgId"), mother(x).alias("genPartIdxMother"), F.lit(V.LAST_COPY).alias("statusFlags"), x["pt"].alias("pt"), x["eta"].alias("eta"), x["phi"].alias("phi")))
+
+
+@over_events("A14_children", "select event, idx, cast((select count(*) from gen d where d.event = gen.event and d.mother = gen.idx) as int) as n from gen", GEN)
+def _children(ev: DataFrame) -> DataFrame:
+    return ev.select("event", F.posexplode(V.children(_gen())).alias("idx", "d")).select("event", F.col("idx").cast("long").alias("idx"), F.size("d").alias("n"))
+
+
+@over_events("A15_last_copy", "select event, first as idx, last from chain", GEN)
+def _last(ev: DataFrame) -> DataFrame:
+    df = ev.filter(F.size("Muon") > 0).withColumn("g", _gen()).withColumn("d", V.children(F.col("g")))
+    return df.select("event", F.posexplode(V.last_copies(F.col("g"), F.col("d"))).alias("idx", "last")).select("event", F.col("idx").cast("long").alias("idx"), F.col("last").cast("long").alias("last"))
+
+
+@over_events("A16_hadronic", "select event, idx, exists (select 1 from gen d where d.event = gen.event and d.mother = gen.idx and abs(d.pdgId) < 6) as hadronic from gen", GEN)
+def _hadronic(ev: DataFrame) -> DataFrame:
+    df = ev.withColumn("g", _gen()).withColumn("d", V.children(F.col("g")))
+    flags = F.transform("g", lambda p, i: V.hadronic(i, F.col("g"), F.col("d")))
+    return df.select("event", F.posexplode(flags).alias("idx", "hadronic")).withColumn("idx", F.col("idx").cast("long"))
+
+
+@over_events("J13_closest_index", "select event, j as idx, coalesce(arg_min(m, struct_pack(a := dr, b := m)), -1) as nearest, round(coalesce(min(dr), 1000), 4) as dr from (select jet.event, jet.idx as j, mu.idx as m, sqrt((mu.eta - jet.eta) * (mu.eta - jet.eta) + pow((jet.phi - mu.phi) - 2 * pi() * round((jet.phi - mu.phi) / (2 * pi())), 2)) as dr from jet left join mu on mu.event = jet.event) group by event, j")
+def _closest(ev: DataFrame) -> DataFrame:
+    near = F.transform("Jet", lambda j: V.closest(j, F.col("Muon")))
+    rows = ev.select("event", F.posexplode(near).alias("idx", "n"))
+    return rows.select("event", F.col("idx").cast("long").alias("idx"), F.col("n.idx").cast("long").alias("nearest"), F.round(F.col("n.dr").cast("double"), 4).alias("dr"))
+
+
+@over_events("C8_varied_jets", "select event, idx, round(cast(cast(pt * 1.1::double as float) as double), 4) as pt, round(cast(cast(mass * 1.1::double as float) as double), 6) as mass from jet where cast(cast(pt * 1.1::double as float) as double) > 30 and abs(eta) < 2.4")
+def _varied(ev: DataFrame) -> DataFrame:
+    jets = V.varied_selection(V.scaled_jets(F.col("Jet"), lambda x: F.lit(1.1)))
+    return ev.select("event", F.explode(jets).alias("j")).select("event", F.col("j.idx").cast("long").alias("idx"), F.round(F.col("j.pt").cast("double"), 4).alias("pt"), F.round(F.col("j.mass").cast("double"), 6).alias("mass"))
+
+
+@over_events("M20_smearing_seed", "select ev.event, (((cast(run as bigint) << 20) + (cast(luminosityBlock as bigint) << 10) + ev.event + cast(trunc(coalesce(eta, 0) / 0.01::double) as bigint)) & 2147483647) as seed from ev left join jet on jet.event = ev.event and idx = 0")
+def _seed(ev: DataFrame) -> DataFrame:
+    first = F.coalesce(F.get("Jet", F.lit(0))["eta"], F.lit(0.0))
+    return ev.select("event", V.smearing_seed(F.col("run"), F.col("luminosityBlock"), F.col("event"), first).alias("seed"))
+
+
+@over_events("F13_compare", "select 'Muon' as column, 'both' as found, 0::bigint as missing, (select count(*) from ev where event > 1400) as extra, (select count(distinct event) from mu where event <= 1400 and pt > 50) as differing union all select 'event', 'both', 0, (select count(*) from ev where event > 1400), 0")
+def _compare(ev: DataFrame) -> DataFrame:
+    from eventloom.compare import compare
+
+    ours = ev.select("event", "Muon.pt").withColumnRenamed("pt", "Muon")
+    shifted = F.transform("Muon", lambda x: F.when(x > 50, x * 1.001).otherwise(x).cast("float"))
+    return compare(ours, ours.filter("event <= 1400").withColumn("Muon", shifted), "event", rtol=1e-4)
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = MUON + "model tagger { inputs Muon_pt, Muon_eta, Muon_phi; output Muon_score; batch Muon; provider mock; }\nregion r { leading(m).score > 0.5; }\noutput n = count(m);\noutput score = leading(m).score;"
+    return Plan(spec(text), eventview.events(spark, sf_dir), ["event"]).rows()
+
+
+QUERIES["I2_mock_scores"] = _tagged
