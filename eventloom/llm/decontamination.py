@@ -41,6 +41,8 @@ def anchors_of(windows: DataFrame, counts: DataFrame) -> DataFrame:
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """(key, item_id, start, length, exact): where windows stand in documents, phrases and proximity matches.
 
+    A phrase's place is also given as a proximity match, which every place with both anchors near each other is.
+
     Texts are read whole; null texts and items have no words and match nothing. Repeated rows share a key and so their
     matches. Only doc_id, text and item_id are read.
     """
@@ -75,7 +77,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sl
     checked = candidates.filter("exact and start >= 0").join(texts.select("key", item_words(text_of()).alias("w")), "key")
     same = F.slice("w", F.col("start") + 1, F.size("words")) == F.col("words")
     exact = scratch.keep(checked.filter(same).select("key", "item_id", "start", F.size("words").alias("length"), F.lit(True).alias("exact")), "exact")
-    return exact.unionByName(candidates.filter("not exact").select("key", "item_id", "start", F.size("words").alias("length"), "exact"))
+    return exact.unionByName(candidates.select("key", "item_id", "start", F.size("words").alias("length"), F.lit(False).alias("exact")))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -160,10 +160,11 @@ def judge(docs: DataFrame, cut: float = CHI2_CUT) -> DataFrame:
         .otherwise(F.struct(F.lit("*").alias("lang"), F.lit("*").alias("source")))
         .alias("g"),
     )
+    group = scratch.keep(group, "groups")
     grouped = good.join(group, ["lang", "source"])
     vectors = scratch.keep(grouped.select("g.lang", "g.source", *FEATURES), "vectors")
     params = estimate(vectors, scratch.keep).join(vectors.groupBy("lang", "source").agg(F.count("*").alias("members")), ["lang", "source"]).filter(F.col("members") >= LEAST_GROUP)
-    params = params.withColumnRenamed("lang", "_gl").withColumnRenamed("source", "_gs")
+    params = scratch.keep(params.withColumnRenamed("lang", "_gl").withColumnRenamed("source", "_gs"), "params")
     marked = _distance(t.join(group, ["lang", "source"], "left").join(params, (F.col("g.lang") == F.col("_gl")) & (F.col("g.source") == F.col("_gs")), "left"), "distance")
     return marked.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -37,7 +37,7 @@ found as (
   select c.*, coalesce(c.exact and c.s >= 0 and d.w[c.s + 1:c.s + len(c.words)] = c.words, false) as same from cand c join d using (r)
 ),
 hit as (select r, count(distinct p) as n_hit from (select r, unnest(generate_series(s, s + len(words) - 1)) as p from found where same) group by r),
-near as (select words, r, exact, same from found where same or not exact),
+near as (select words, r, same from found),
 items as (
   select r, list_sort(list(item_id) filter (where e)) as items, count(*) filter (where not e) as n_near
   from (select r, item_id, bool_or(same) as e from near join win using (words) group by r, item_id) group by r
