@@ -2,7 +2,7 @@
 
 The root holds the counts of all training tokens with add-one smoothing. A context of one or two words is a state if it
 is a heavy hitter and its next-symbol distribution differs enough from its parent's: the log likelihood that it gains on
-the training tokens must exceed 0.5 ln N(context) for each symbol that it stores. Stored probabilities are discounted, and the rest of
+the training tokens must exceed what its description takes, ln V + 0.5 ln N(context) for each symbol that it stores. Stored probabilities are discounted, and the rest of
 the mass goes to the parent's distribution, so every state's distribution sums to 1. A token is scored in the longest
 suffix of its past that is a state.
 
@@ -122,7 +122,7 @@ def _counted(frames: Iterator[pd.DataFrame], symbols: np.ndarray, heavy: np.ndar
             yield pd.DataFrame({"code": codes.view(np.int64), "context": pair[first, 0].view(np.int64), "symbol": pair[first, 1].astype(np.int64), "n": n})
 
 
-def _states(pairs: pd.DataFrame, totals: dict[int, int], parent, discount: float = DISCOUNT) -> Level:
+def _states(pairs: pd.DataFrame, totals: dict[int, int], parent, distinct: int, discount: float = DISCOUNT) -> Level:
     """Keeps the contexts that pass the divergence test. parent(contexts, symbols): probabilities in the parent state."""
     if not len(pairs):
         none = np.zeros(0)
@@ -136,7 +136,7 @@ def _states(pairs: pd.DataFrame, totals: dict[int, int], parent, discount: float
     below = parent(context.view(np.uint64), symbol)
     held = np.bincount(group, weights=n)
     gain = np.bincount(group, weights=n * np.log(share / below + rest[group])) + (total - held) * np.log(rest)
-    good = gain > 0.5 * np.log(total) * stored
+    good = gain > (np.log(max(distinct, 1)) + 0.5 * np.log(total)) * stored
     mine = good[group]
     contexts = own.view(np.uint64)[good]
     order = np.argsort(contexts)
@@ -193,14 +193,14 @@ def learn(docs: DataFrame, scratch: Scratch) -> tuple[Tree, DataFrame]:
 
     # a context's total counts the tokens that follow it, and every word is followed by one
     pairs = count(1, heavy)
-    first = _states(pairs, {i: int(c) for i, c in enumerate(head.counts)}, lambda c, s: base[s])
+    first = _states(pairs, {i: int(c) for i, c in enumerate(head.counts)}, lambda c, s: base[s], distinct)
     double = pairs[pairs["n"] >= enough]
     double = double[symbols[double["symbol"].to_numpy(np.int64)] != END] if len(double) else double
     codes = _code(double["context"].to_numpy(np.int64) + 1, double["symbol"].to_numpy(np.int64) + 1)
     totals = {int(c): int(k) for c, k in zip(codes.view(np.int64), double["n"], strict=True)}
     last = {int(c): int(s) for c, s in zip(codes.view(np.int64), double["symbol"], strict=True)}
     triples = count(2, np.sort(codes)) if len(codes) else pairs.iloc[:0]
-    top = Tree(head, [first, _states(triples.iloc[:0], {}, None)])
+    top = Tree(head, [first, _states(triples.iloc[:0], {}, None, distinct)])
 
     def above(contexts: np.ndarray, chosen: np.ndarray) -> np.ndarray:
         before = np.array([last[int(c)] for c in contexts.view(np.int64)], dtype=np.int64)
@@ -208,7 +208,7 @@ def learn(docs: DataFrame, scratch: Scratch) -> tuple[Tree, DataFrame]:
         own, left = top.chain(ids, np.repeat(np.arange(len(before)), 2))
         return own[1::2] + left[1::2] * base[chosen]
 
-    return Tree(head, [first, _states(triples, totals, above)]), counts
+    return Tree(head, [first, _states(triples, totals, above, distinct)]), counts
 
 
 def _scored(frames: Iterator[pd.DataFrame], tree: Tree) -> Iterator[pd.DataFrame]:
