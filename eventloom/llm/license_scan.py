@@ -18,6 +18,9 @@ GRAM = 3
 GAP = 3
 COVERED = 0.6
 
+#: Templates of up to this many characters in all are sent to every worker; more are joined as any table.
+MOST_SENT = 1 << 20
+
 #: Phrases and their labels.
 PHRASES = {
     "under the mit license": "mit",
@@ -51,16 +54,18 @@ def template_places(spark: SparkSession, phrases: dict[str, str], templates: dic
 def find_spans(docs: DataFrame, phrases=None, templates=None, gram: int = GRAM, gap: int = GAP, covered: float = COVERED) -> DataFrame:
     """(key, template, label, exact, start, end, share): accepted spans, in words from 0, end not included."""
     spark = docs.sparkSession
-    places = template_places(spark, PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates, gram)
+    phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
+    places = template_places(spark, phrases, templates, gram)
+    sent = F.broadcast if sum(map(len, [*phrases, *templates.values()])) <= MOST_SENT else (lambda df: df)
     keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), item_words(text_of()).alias("w"))
     words = [F.get("w", F.col("pos") + k) for k in range(gram)]
     rolled = keyed.select("key", "w", F.posexplode("w").alias("pos", "_first")).filter(F.col("pos") <= F.size("w") - gram)
-    votes = rolled.select("key", "pos", F.xxhash64(*words).alias("gram")).join(places.select("gram", "template", "at"), "gram")
+    votes = rolled.select("key", "pos", F.xxhash64(*words).alias("gram")).join(sent(places.select("gram", "template", "at")), "gram")
     votes = Scratch(spark, "licenses").keep(votes.select("key", "template", "at", "pos").distinct(), "votes")
     facts = places.select("template", "label", "exact", "grams").distinct()
     lines = votes.groupBy("key", "template", (F.col("pos") - F.col("at")).alias("diagonal"))
     lines = lines.agg(F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.collect_list("at").alias("ats"))
-    lines = lines.join(facts, "template")
+    lines = lines.join(sent(facts), "template")
     whole = lines.filter(F.col("exact") & (F.col("votes") == F.col("grams"))).select(
         "key", "template", "label", "exact", F.col("diagonal").cast("long").alias("start"), (F.col("diagonal") + F.col("grams") + gram - 1).cast("long").alias("end"), F.lit(1.0).alias("share")
     )
