@@ -209,18 +209,41 @@ by_spec("J4_pair_filters", ALL + OS + "filter dR > 1.5; filter leading_pt > 40 G
 by_spec("J6_nearest_mass", ALL + OS + "nearest_mass 91.1876 GeV; }\nregion r { z.mass >= 70 GeV; z.mass <= 110 GeV; z.pt > 15 GeV; }\noutput mass = z.mass;",
         "select event, round(m, 6) as mass from (select *, row_number() over (partition by event order by abs(91.1876::double - m), k) as n from ranked) where n = 1 and m >= 70 and m <= 110 and pt > 15", PAIRS)
 SOURCE_ORDER = PAIRS + """, src as (
-  select event, m, row_number() over (partition by event order by least(i, j), greatest(i, j)) as n from ranked
+  select event, m, least(i, j) as i, greatest(i, j) as j, row_number() over (partition by event order by least(i, j), greatest(i, j)) as n from ranked
 ), steps as (
   with recursive fold as (
-    select event, 0::bigint as n, -1::bigint as best, null::double as m from (select distinct event from src)
+    select event, 0::bigint as n, -1::bigint as best, null::double as m, null::bigint as i, null::bigint as j from (select distinct event from src)
     union all
     select f.event, s.n, case when abs(91.2::double - s.m) < abs(91.2::double - f.best) then cast(trunc(s.m) as bigint) else f.best end,
-      case when abs(91.2::double - s.m) < abs(91.2::double - f.best) then s.m else f.m end
+      case when abs(91.2::double - s.m) < abs(91.2::double - f.best) then s.m else f.m end,
+      case when abs(91.2::double - s.m) < abs(91.2::double - f.best) then s.i else f.i end,
+      case when abs(91.2::double - s.m) < abs(91.2::double - f.best) then s.j else f.j end
     from fold f join src s on s.event = f.event and s.n = f.n + 1
   ) select * from fold
 )"""
 by_spec("J7_nearest_mass_truncated", ALL + OS + "nearest_mass_truncated 91.2 GeV; }\noutput mass = z.mass;",
         "select event, round(arg_max(m, n), 6) as mass from steps group by event having arg_max(m, n) is not null", SOURCE_ORDER)
+FOUR = SOURCE_ORDER + """, one as (
+  select event, arg_max(m, n) as m, arg_max(i, n) as i, arg_max(j, n) as j from steps where m is not null group by event
+), two as (
+  select one.event, one.m as m1, one.i as a, one.j as b, arg_min(r.m, r.k) as m2, arg_min(r.i, r.k) as c, arg_min(r.j, r.k) as d
+  from one join ranked r on r.event = one.event and r.i not in (one.i, one.j) and r.j not in (one.i, one.j) group by all
+), four as (
+  select two.event, any_value(m1) as m1, any_value(m2) as m2, sum(e) as e, sum(px) as x, sum(py) as y, sum(pz) as z
+  from two join muv on muv.event = two.event and idx in (a, b, c, d) group by two.event
+)"""
+FOUR_SPEC = ALL + OS + """nearest_mass_truncated 91.2 GeV; }
+object y : pair(m) { opposite_charge; exclude z; }
+object h : combine(z, y) { }
+region r { count(m) >= 4; all(m, abs(eta) < 2.6); z.min_delta_r >= 0.02; y.min_delta_r >= 0.02; closest_mass(z, y, 91.2 GeV) > 20 GeV; other_mass(z, y, 91.2 GeV) > 4 GeV; }
+output z1 = closest_mass(z, y, 91.2 GeV);
+output z2 = other_mass(z, y, 91.2 GeV);
+output mass = h.mass;"""
+FOUR_ROWS = """select event, round(case when abs(m1 - 91.2::double) < abs(m2 - 91.2::double) then m1 else m2 end, 6) as z1, round(case when abs(m1 - 91.2::double) < abs(m2 - 91.2::double) then m2 else m1 end, 6) as z2,
+  round(sqrt(e * e - (x * x + y * y + z * z)), 6) as mass from four where event in (select event from mu group by event having count(*) >= 4 and bool_and(abs(eta) < 2.6))
+  and event not in (select two.event from two join pair p using (event) where p.dr < 0.02 and ((least(i, j) = a and greatest(i, j) = b) or (i = c and j = d)))
+  and (case when abs(m1 - 91.2::double) < abs(m2 - 91.2::double) then m1 else m2 end) > 20 and (case when abs(m1 - 91.2::double) < abs(m2 - 91.2::double) then m2 else m1 end) > 4 and e * e > x * x + y * y + z * z"""
+by_spec("D2_four_leptons", FOUR_SPEC, FOUR_ROWS, FOUR)
 by_spec("J8_exclude", ALL + "object z : pair(m) { opposite_charge; }\nobject y : pair(m) { opposite_charge; exclude z; }\noutput first = z.mass;\noutput second = y.mass;",
         "select event, round(any_value(z.m), 6) as first, round(arg_min(r.m, r.k), 6) as second from ranked z join ranked r using (event) where z.k = 1 and r.i not in (z.i, z.j) and r.j not in (z.i, z.j) group by event", PAIRS)
 by_spec("J9_combine", ALL + "object j : Jet { }\nobject c : combine(m, m) { }\nobject d : combine(c, m) { }\noutput two = c.mass;\noutput three = d.mass;\noutput pt = d.pt;",
@@ -273,6 +296,9 @@ hists("W5_shape_systematic", "weight nominal;\ncorrection jes kind scale collect
 
 # ---- corrections, channels, samples ------------------------------------------------------------------------------
 
+hists("G14_mass_counts", FOUR_SPEC.split("output")[0] + "histogram mass { expr = h.mass; bins = 11; range = [40, 260]; }", SUMS,
+      FOUR + ", rows4 as (" + FOUR_ROWS.replace("round(sqrt(e * e - (x * x + y * y + z * z)), 6)", "sqrt(e * e - (x * x + y * y + z * z))") + "), hists as (select 'mass' as hist, 11 as bins, 40.0::double as low, 260.0::double as high), variations as (select 'Nominal' as variation), fills as (select 'mass' as hist, 'Nominal' as variation, mass as x, 1.0::double as w from rows4), " + BINNED)
+
 
 def payload_spec(text: str) -> Spec:
     out = spec(text)
@@ -484,3 +510,23 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["I2_mock_scores"] = _tagged
+
+
+@with_sql("EXT_windowed_events", "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventloom.streaming.histograms import windowed_counts
+
+    found = windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return rounded(found.withColumn("start", F.col("start").cast("timestamp_ntz")), 4)
+
+
+def _inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: what a manifest's key depends on, for two specs over the same files."""
+    from eventloom.sources.events import certificate
+
+    specs = [spec(MUON + "output n = count(m);"), spec("object m : Muon { abs(eta) < 2; pt > 20 GeV; } output n = count(m);"), spec(ALL + "output n = count(m);")]
+    keys = [certificate(s)["sha256"] for s in specs]
+    return spark.createDataFrame([(i, keys.index(k)) for i, k in enumerate(keys)], "spec long, same_as long")
+
+
+with_sql("F9_certificates", "select * from (values (0::bigint, 0::bigint), (1, 0), (2, 2)) t(spec, same_as)")(_inverse)

@@ -59,11 +59,11 @@ class Catalogue:
 
 
 def read_catalogue(path: str, version: str, tree: str = "Events") -> Catalogue:
-    """From a YAML catalogue: version -> trees -> branches -> type."""
+    """From a YAML catalogue with one root: version -> trees -> branches -> type."""
     import yaml
 
     with open(path) as file:
-        raw = yaml.safe_load(file)["nano_branches"][version]["trees"][tree]["branches"]
+        raw = next(iter(yaml.safe_load(file).values()))[version]["trees"][tree]["branches"]
     return Catalogue({name: b["type"] for name, b in raw.items()})
 
 
