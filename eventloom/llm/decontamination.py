@@ -94,17 +94,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
         F.sort_array(F.collect_list(F.when(F.col("exact"), F.col("item_id")))).alias("items"),
         F.sum((~F.col("exact")).cast("long")).alias("n_near"),
     )
-    marks = items.join(hit, "key", "left").withColumnRenamed("key", "__key")
-    none = F.array().cast("array<string>")
-    listed = F.coalesce("items", none)
+    marks = items.join(hit, "key", "left").select(*[F.col(c).alias(f"__{c}") for c in ("key", "items", "n_near", "n_hit")])
+    listed = F.coalesce("__items", F.array().cast("array<string>"))
     own = [c for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items_sha256", "n_near", "contaminated")]
     rows = docs.select(*own, row_key(F.col("doc_id"), F.col("text")).alias("__row"), F.size(item_words(text_of())).cast("long").alias("n_words"))
     return rows.join(marks, F.col("__row") == F.col("__key"), "left").select(
         *own,
         "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("__n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"),
-        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.coalesce("__n_near", F.lit(0)).cast("long").alias("n_near"),
+        (F.coalesce("__n_hit", F.lit(0)) > 0).alias("contaminated"),
     )

@@ -120,9 +120,10 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 def take(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, in the same columns."""
-    totals = mix(docs, seed).groupBy("key", "source").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_n"))
-    totals = totals.withColumnRenamed("key", "_key").withColumnRenamed("source", "_source").filter("_copies > 0")
-    here = docs.withColumn("_k", row_key(F.col("doc_id"), F.col("text")))
-    found = here.join(totals, (F.col("_k") == F.col("_key")) & F.col("source").eqNullSafe(F.col("_source")))
-    once = found.filter("_n = 1").unionByName(found.filter("_n > 1").dropDuplicates(["_k", "_source"]))
-    return once.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    row, of, copies, rows, i = (f"__el_{x}" for x in ("row", "source", "copies", "rows", "i"))
+    totals = mix(docs, seed).groupBy(F.col("key").alias("__el_key"), F.col("source").alias(of)).agg(F.sum("copies").cast("int").alias(copies), F.count("*").alias(rows))
+    here = docs.withColumn(row, row_key(F.col("doc_id"), F.col("text")))
+    same = (F.col(row) == F.col("__el_key")) & F.col("source").cast("string").eqNullSafe(F.col(of))
+    found = here.join(totals.filter(F.col(copies) > 0), same)
+    once = found.filter(F.col(rows) == 1).unionByName(found.filter(F.col(rows) > 1).dropDuplicates([row, of]))
+    return once.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
