@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, key string"
+SCHEMA = "doc_id long, text string, lang string, source string, items long, score double, key string"
 
 
 def words(rng, n, size=400):

@@ -201,10 +201,11 @@ def brute_spans(rows, min_words):
 
 def test_repeated_spans_against_brute_force(spark):
     rng = random.Random(9)
-    passage = " ".join(" ".join(f"p{rng.randrange(99)}" for _ in range(9)) + "." for _ in range(6))
+    word = lambda start, n: start + "".join(chr(97 + int(c)) for c in str(rng.randrange(n)))
+    passage = " ".join(" ".join(word("p", 99) for _ in range(9)) + "." for _ in range(6))
     rows = []
     for d in range(60):
-        own = [" ".join(f"d{rng.randrange(9999)}" for _ in range(rng.randrange(3, 14))) + rng.choice([".", "!", "\n"]) for _ in range(8)]
+        own = [" ".join(word("d", 99999) for _ in range(rng.randrange(3, 14))) + rng.choice([".", "!", "\n"]) for _ in range(8)]
         if d % 4 == 0:
             at = rng.randrange(8)
             own[at] = own[at].rstrip(".!\n") + " " + passage

@@ -62,7 +62,7 @@ def test_toxicity_of_odd_rows(docs, empty, spark, corpus):
     labels = spark.createDataFrame([(0, 1), (0, 1), (2, 0), (3, None), (9999, 1), (None, 0)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
     got = toxicity.score(docs, model)
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "held_out", "score", "predicted"]
+    assert got.columns == ["doc_id", "text", "lang", "source", "items", "key", "held_out", "score", "predicted"]
     rows = got.collect()
     assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in corpus) and all(0 <= r.score <= 1 for r in rows)
     none = toxicity.train(empty, labels.limit(0))
