@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import Scratch
@@ -48,33 +48,53 @@ def link(
     verify: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
     finer: list[Callable[[DataFrame], DataFrame]] = (),
-    alike: Callable[..., object] | None = None,
+    alike: Callable[..., Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """entries (bucket, node, *facts) to (edges (a, b, *what verify adds), components (node, root)).
+    """entries (bucket, node, *facts) to (edges (a, b), components (node, root)).
 
-    verify keeps the pairs (a, b) that are alike. finer functions turn left-over entries into ones of smaller buckets.
-    alike(fact columns of a, of b) is an optional cheap condition that every true pair meets.
+    verify keeps the pairs (a, b) that are alike. A bucket's leader is the node that shares most places with others over
+    all its buckets: an original rather than one of its copies. finer functions turn left-over entries into ones of
+    smaller buckets; they may drop entries that can have no link, and add facts. alike(facts of a, of b) is an optional
+    cheap condition, from the facts that are there, that every true pair meets.
     """
-    facts = [c for c in entries.columns if c not in ("bucket", "node")]
-    pair = lambda t: t if alike is None else t.filter(alike({c: F.col(f"a_{c}") for c in facts}, {c: F.col(c) for c in facts}))
+    crowd = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("bucket").alias("_b"), "n")
+    met = entries.join(crowd, F.col("bucket") == F.col("_b")).groupBy(F.col("node").alias("_n")).agg(F.sum("n").alias("score"))
+    entries = scratch.keep(entries.join(met, F.col("node") == F.col("_n")).drop("_n"), "scored")
     edges, roots = None, None
     for n in range(len(finer) + 1):
-        order = F.struct(F.xxhash64(F.lit(n), "node"), F.col("node"), *facts)
+        facts = [c for c in entries.columns if c not in ("bucket", "node", "score")]
+        order = F.struct((-F.col("score")).alias("far"), F.xxhash64(F.lit(n), "node"), F.col("node"), *facts)
         heads = entries.groupBy("bucket").agg(F.min(order).alias("h"), F.count("*").alias("n")).filter("n > 1")
         heads = heads.select(F.col("bucket").alias("_b"), F.col("h.node").alias("a"), *[F.col(f"h.{c}").alias(f"a_{c}") for c in facts])
         led = entries.join(heads, F.col("bucket") == F.col("_b")).filter("node <> a")
-        led = scratch.keep(led.select("bucket", "a", "node", *[f"a_{c}" for c in facts], *facts), f"led{n}")
-        passed = scratch.keep(verify(pair(led).select("a", F.col("node").alias("b")).distinct()), f"passed{n}")
+        led = scratch.keep(led.select("bucket", "a", "node", "score", *[f"a_{c}" for c in facts], *facts), f"led{n}")
+        passed = scratch.keep(verify(_fitting(led, facts, alike).select("a", F.col("node").alias("b")).distinct()), f"passed{n}")
         edges = passed if edges is None else edges.unionByName(passed)
         roots = scratch.keep(components(edges, scratch, f"round{n}"), f"roots{n}")
-        rest = led.select("bucket", "node", *facts).join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left")
-        rest = rest.select("bucket", "node", *facts, F.coalesce("root", "node").alias("root"))
-        mixed = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(F.col("bucket").alias("_b"))
-        rest = scratch.keep(rest.join(mixed, F.col("bucket") == F.col("_b"), "left_semi"), f"rest{n}")
+        rest = _mixed(led.select("bucket", "node", "score", *facts), roots)
+        rest = scratch.keep(rest, f"rest{n}")
         if rest.isEmpty():
             return edges, roots
-        entries = finer[n](rest.drop("root")) if n < len(finer) else rest
-    left = entries.select("bucket", F.col("node").alias("a"), F.col("root").alias("_r"), *[F.col(c).alias(f"a_{c}") for c in facts])
-    across = pair(left.join(entries, "bucket").filter("a < node and _r <> root")).select("a", F.col("node").alias("b")).distinct()
+        if n < len(finer):
+            # what finer drops or cuts may leave buckets of one component
+            entries = scratch.keep(_mixed(finer[n](rest.drop("root")), roots).drop("root"), f"finer{n}")
+    facts = [c for c in rest.columns if c not in ("bucket", "node", "score", "root")]
+    left = rest.select("bucket", F.col("node").alias("a"), F.col("root").alias("_r"), *[F.col(c).alias(f"a_{c}") for c in facts])
+    here = "_r <> root and a < node" + ("" if alike is None else " and fits")
+    both = left.join(rest, "bucket")
+    both = both if alike is None else both.withColumn("fits", alike({c: F.col(f"a_{c}") for c in facts}, {c: F.col(c) for c in facts}))
+    across = both.filter(here).select("a", F.col("node").alias("b")).distinct()
     edges = edges.unionByName(scratch.keep(verify(across), "across"))
     return edges, scratch.keep(components(edges, scratch, "last"), "roots")
+
+
+def _fitting(led: DataFrame, facts: list[str], alike) -> DataFrame:
+    return led if alike is None else led.filter(alike({c: F.col(f"a_{c}") for c in facts}, {c: F.col(c) for c in facts}))
+
+
+def _mixed(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries with their root, of those buckets that hold more than one component."""
+    rest = entries.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left")
+    rest = rest.select(*entries.columns, F.coalesce("root", "node").alias("root"))
+    mixed = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(F.col("bucket").alias("_b"))
+    return rest.join(mixed, F.col("bucket") == F.col("_b"), "left_semi")
