@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -67,19 +68,52 @@ def _swapped(words: set[str]) -> list[set[str]]:
 
 
 def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(text, toxic, rank) to (rank, label, own features, and for each swap what is lost and gained with its number)."""
     for frame in frames:
         rows = []
-        for text, label in zip(frame["text"], frame["toxic"], strict=True):
+        for text, label, rank in zip(frame["text"], frame["toxic"], frame["rank"], strict=True):
             words = set(_WORD.findall(text))
             own = _of_words(words)
             swaps = [_of_words(x) for x in _swapped(words)]
-            rows.append((int(label), sorted(own), [sorted(own - x) for x in swaps], [sorted(x - own) for x in swaps]))
-        yield pd.DataFrame(rows, columns=["label", "own", "lost", "gained"])
+            lost = [(i, f) for i, x in enumerate(swaps) for f in sorted(own - x)]
+            gained = [(i, f) for i, x in enumerate(swaps) for f in sorted(x - own)]
+            rows.append((rank, int(label), sorted(own), *[[x[k] for x in side] for side in (lost, gained) for k in (0, 1)]))
+        yield pd.DataFrame(rows, columns=["rank", "label", "own", "lost_swap", "lost", "gained_swap", "gained"])
 
 
-def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in lists], dtype=np.int64)
-    return np.repeat(np.arange(len(lists)), sizes), np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]) if len(lists) else np.zeros(0, np.int64)
+_EXTRACTED = "rank long, label int, own array<int>, lost_swap array<int>, lost array<int>, gained_swap array<int>, gained array<int>"
+
+
+@dataclass
+class Sample:
+    """Labels; features with their rows; and for each swapped copy the features it loses and gains."""
+
+    labels: np.ndarray
+    row: np.ndarray
+    feature: np.ndarray
+    lost_pair: np.ndarray
+    lost: np.ndarray
+    gained_pair: np.ndarray
+    gained: np.ndarray
+
+    @staticmethod
+    def of(table) -> Sample:
+        """From an Arrow table of _EXTRACTED, ordered by rank; numbers stay in flat arrays."""
+        table = table.combine_chunks().sort_by([("rank", "ascending"), ("label", "ascending")]).combine_chunks()
+
+        def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+            column = table[name].combine_chunks() if table.num_rows else None
+            if column is None:
+                return np.zeros(0, np.int64), np.zeros(0, np.int32)
+            sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+            return np.repeat(np.arange(len(sizes)), sizes), column.flatten().to_numpy(zero_copy_only=False)
+
+        row, feature = flat("own")
+        sides = []
+        for side in ("lost", "gained"):
+            of, found = flat(side)
+            sides += [of * 2 + flat(f"{side}_swap")[1], found]  # a text has two swapped copies at most
+        return Sample(table["label"].to_numpy().astype(float), row, feature, *sides)
 
 
 class Model:
@@ -93,20 +127,19 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(sample: list, penalty: float = PENALTY, ridge: float = RIDGE, steps: int = 300) -> Model:
-    """sample: rows (label, own, lost, gained) of feature numbers. No rows or one label only: the label's share."""
-    y = np.array([r[0] for r in sample], dtype=np.float64)
+def fit(sample: Sample, penalty: float = PENALTY, ridge: float = RIDGE, steps: int = 300) -> Model:
+    """No rows, or rows of one label only, give that label's share for every text."""
+    y = sample.labels
     if len(y) == 0 or y.min() == y.max():
         share = float((y.sum() + 0.5) / (len(y) + 1.0))
         return Model({}, float(np.log(share / (1 - share))))
-    row, feature = _flat([r[1] for r in sample])
+    row, feature = sample.row, sample.feature
     seen, hits = np.bincount(feature, minlength=SPACE), np.bincount(feature, weights=y[row], minlength=SPACE)
     share = y.mean()
     z = np.abs(hits - seen * share) / np.sqrt(seen * share * (1 - share) + 1.0) * (seen >= 3)
     telling = np.argsort(-z, kind="stable")[: min(MOST_FEATURES, int((z >= TELLING).sum()))]
-    pairs = [(lost, gained) for r in sample for lost, gained in zip(r[2], r[3], strict=True)]
-    lost_row, lost = _flat([p[0] for p in pairs])
-    gained_row, gained = _flat([p[1] for p in pairs])
+    pairs, of = np.unique(np.concatenate((sample.lost_pair, sample.gained_pair)), return_inverse=True)
+    lost_row, lost, gained_row, gained = of[: len(sample.lost)], sample.lost, of[len(sample.lost) :], sample.gained
     chosen = np.unique(np.concatenate((telling, lost, gained)))
     place = np.full(SPACE, -1)
     place[chosen] = np.arange(len(chosen))
@@ -143,10 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: f
     share = min(1.0, rows / max(1, known.count()))
     known = known.filter(F.pmod(F.xxhash64(F.lit(11), "__id"), F.lit(1_000_000)) < int(share * 1_000_000))
     texts = docs.select(F.col("doc_id").alias("__doc"), ascii_lower(text_of()).alias("text"))
-    joined = texts.join(known, F.col("__doc") == F.col("__id")).select("text", F.col("toxic").cast("int").alias("toxic"))
-    found = joined.mapInPandas(_extract, "label int, own array<int>, lost array<array<int>>, gained array<array<int>>")
-    sample = sorted((r.label, list(r.own), [list(x) for x in r.lost], [list(x) for x in r.gained]) for r in found.collect())
-    return fit(sample, penalty)
+    joined = texts.join(known, F.col("__doc") == F.col("__id")).select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("__id", "text").alias("rank"))
+    return fit(Sample.of(joined.mapInPandas(_extract, _EXTRACTED).toArrow()), penalty)
 
 
 def probability(text: Column, model: Model) -> Column:
