@@ -13,11 +13,12 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Scratch, row_key
+from eventloom.llm.common import Scratch
 
 MIN_WORDS = 25
 
@@ -40,40 +41,63 @@ def _units(text: str, unit: str) -> Iterator[tuple[int, int, int, bytes]]:
 
 
 def cut(docs: DataFrame, unit: str = "sentence") -> DataFrame:
-    """(doc_id, key, unit, start, end, words, digest): every unit that has a word."""
+    """(doc_id, key, unit, start, end, words, high, low): every unit that has a word; high and low are its digest."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", "key", "unit", "start", "end", "words", "digest"]
+
+        def framed(rows: list[tuple]) -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=names)
+            digest = np.frombuffer(b"".join(out.pop("digest")), dtype=np.int64).reshape(-1, 2)
+            return out.assign(high=digest[:, 0], low=digest[:, 1])
+
         for frame in frames:
             rows: list[tuple] = []
             for doc_id, key, text in zip(frame["doc_id"], frame["key"], frame["text"], strict=True):
                 rows.extend((doc_id, key, i, *u) for i, u in enumerate(_units(text, unit)))
                 if len(rows) > 100_000:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield framed(rows)
                     rows = []
-            yield pd.DataFrame(rows, columns=names)
+            yield framed(rows)
 
-    given = docs.filter("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    made = given.mapInPandas(each, "doc_id string, key binary, unit int, start int, end int, words int, digest binary")
+    given = docs.filter("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), key_of().alias("key"), "text")
+    made = given.mapInPandas(each, "doc_id string, key long, unit int, start int, end int, words int, high long, low long")
     return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def key_of() -> Column:
+    """With doc_id, what tells rows of different texts apart."""
+    return F.xxhash64("doc_id", "text")
+
+
 def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, key, start, end, words, units, kept_doc_id, kept_start): the runs to remove.
 
     kept_doc_id and kept_start tell where the run's first unit has its original, which may be earlier in the same
     document. Null and empty texts have no units. Repeated rows are repetitions of themselves only once: they share a key
     and are treated as one row. Null doc_ids rank last. Only doc_id and text are read.
+
+    Digests are counted first, with partial sums. Only units of repeated ones go on, and the original is sought among
+    those of the least doc_id alone.
     """
-    scratch = Scratch(docs.sparkSession, "units")
-    units = scratch.keep(cut(docs, unit), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("key"), F.col("unit"), F.col("start"))
-    first = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("_d"), "first")
-    again = units.join(first, F.col("digest") == F.col("_d")).filter((F.col("key") != F.col("first.key")) | (F.col("unit") != F.col("first.unit")))
-    again = scratch.keep(again.select("doc_id", "key", "unit", "start", "end", "words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start")).distinct(), "again")
-    order = Window.partitionBy("key").orderBy("unit")
-    runs = again.withColumn("run", F.col("unit") - F.row_number().over(order)).groupBy("key", "run").agg(
-        F.first("doc_id").alias("doc_id"),
+    scratch, digest = Scratch(docs.sparkSession, "units"), ["high", "low"]
+    packed = cut(docs, unit).select(
+        "doc_id", "key", *digest, (F.shiftleft(F.col("start").cast("long"), 32) + F.col("end")).alias("place"), (F.shiftleft(F.col("unit").cast("long"), 32) + F.col("words")).alias("nth")
+    )
+    units = scratch.keep(packed, "units")
+    counted = units.groupBy(*digest).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    counted = scratch.keep(counted.select(F.col("high").alias("_h"), F.col("low").alias("_l"), "first_id"), "repeated")
+    again = scratch.keep(units.join(counted, (F.col("high") == F.col("_h")) & (F.col("low") == F.col("_l"))).drop("_h", "_l"), "again")
+    best = F.struct("key", "nth", "place")
+    original = again.filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy(F.col("high").alias("_h"), F.col("low").alias("_l")).agg(F.min(best).alias("o"))
+    original = scratch.keep(original.select("_h", "_l", F.col("o.key").alias("o_key"), F.col("o.nth").alias("o_nth"), F.shiftright("o.place", 32).cast("int").alias("kept_start")), "originals")
+    copies = again.join(original, (F.col("high") == F.col("_h")) & (F.col("low") == F.col("_l")))
+    copies = copies.filter(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("o_key")) & (F.col("nth") == F.col("o_nth"))))
+    lower = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    unit_no, words = F.shiftright("nth", 32).cast("int"), lower("nth")
+    copies = copies.select("doc_id", "key", unit_no.alias("unit"), words.alias("words"), F.shiftright("place", 32).cast("int").alias("start"), lower("place").alias("end"), F.col("first_id").alias("kept_doc_id"), "kept_start").distinct()
+    order = Window.partitionBy("doc_id", "key").orderBy("unit")
+    runs = copies.withColumn("run", F.col("unit") - F.row_number().over(order)).groupBy("doc_id", "key", "run").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.sum("words").alias("words"),
@@ -86,7 +110,7 @@ def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = MIN
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs without the spans, in the same columns; what stood around a span stays as it was."""
     name, gone = "__el_key", "__el_gone"
-    lists = spans.groupBy(F.col("key").alias(name)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(gone))
+    lists = spans.groupBy(F.col("doc_id").alias("__el_id"), F.col("key").alias(name)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(gone))
 
     @F.pandas_udf("string")
     def cut_out(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -101,5 +125,6 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    joined = docs.withColumn(name, row_key(F.col("doc_id"), F.col("text"))).join(lists, name, "left")
+    mine = docs.withColumn("__el_own", key_of())
+    joined = mine.join(lists, F.col("doc_id").eqNullSafe(F.col("__el_id")) & (F.col("__el_own") == F.col(name)), "left")
     return joined.withColumn("text", cut_out(F.col("text"), F.col(gone))).select(*docs.columns)
