@@ -164,6 +164,29 @@ def test_fuzzy_lines_against_brute_force(spark, blocks):
     assert any(normal[n] != normal[r] for n, r in want.items())
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_fuzzy_lines_recall_against_plain_edit_similarity(spark, seed):
+    """No bit condition here: one or two changed words in a line, and typos in short ones."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(3, 9)))
+    rows = []
+    for n in [4, 5, 7, 9, 12, 15, 15, 18, 24, 30, 45, 60] * 5:
+        base = [word() for _ in range(n)]
+        other = list(base)
+        if n < 9:
+            at = rng.randrange(n)
+            other[at] = rng.choice("uvwxyz") + other[at][1:]
+        else:
+            for at in rng.sample(range(n), max(1, n // 9)):
+                other[at] = word()
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    true = [i for i in range(0, len(rows), 2) if edit(rows[i][1], rows[i + 1][1]) <= int(0.2 * max(len(rows[i][1]), len(rows[i + 1][1])) + 1e-9)]
+    _, marks = fuzzy_lines.find_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r.keeper_doc_id, r.doc_id) for r in marks.collect()}
+    assert len(true) > 50 and sum((i, i + 1) in got for i in true) >= 0.98 * len(true)
+    assert all(a + 1 == b and a in true for a, b in got)
+
+
 def test_fuzzy_lines_of_odd_rows(docs, corpus, empty):
     got = fuzzy_lines.dedup_lines(docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in corpus)
