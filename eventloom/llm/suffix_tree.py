@@ -1,35 +1,32 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The root holds the counts of all training tokens with add-one smoothing. A context of one or two words is a state if it
-is a heavy hitter and its next-symbol distribution differs enough from its parent's: the log likelihood that it gains on
-the training tokens must exceed 0.5 ln N(context) for each symbol that it stores. Stored probabilities are discounted, and the rest of
-the mass goes to the parent's distribution, so every state's distribution sums to 1. A token is scored in the longest
-suffix of its past that is a state.
-
-What workers hold is bounded whatever the corpus: symbols that make up at least 1/HEAD of all tokens (at most HEAD
-of them), contexts with at least 1/CONTEXTS and pairs with at least 1/PAIRS of all tokens. Rarer tokens are counted and looked up by a
-join, so every count of the corpus enters the scores.
+The root holds the counts of all training tokens with add-one smoothing. A context of one or two words that occurs LEAST
+times, and a symbol that follows it LEAST times, count at any size of the corpus. A context is a state if its next-symbol
+distribution differs enough from its parent's: the log likelihood that it gains on the training tokens must exceed 0.5 ln
+N(context) for each symbol that it stores. Stored probabilities are discounted, and the rest of the mass goes to the
+parent's distribution, so every state's distribution sums to 1. A token is scored in the longest suffix of its past that
+is a state.
+
+States are tables: they are counted and tested by grouped aggregation, and looked up by joins, so no worker and no driver
+holds a part that grows with the corpus. learn() gathers them for a small corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import Scratch, ascii_lower, doc_crc, plain_words, row_key, text_of
 
 HEAD = 1 << 19
-CONTEXTS = 1 << 14
-PAIRS = 1 << 18
 LEAST = 2
 DISCOUNT = 0.75
-#: The hash that stands for the end of a text.
-END = np.int64(-1)
+#: The hashes that stand for the end of a text and for what is before its start.
+END, START = np.int64(-1), np.int64(-2)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,21 +75,6 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), (F.pmod(doc_crc(F.col("doc_id")), F.lit(7)) == 2).alias("held_out"), words.alias("w"))
 
 
-def _texts(frame: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """Slices of rows, their tokens with ends in one array, and the row of each token."""
-    words, start, held = list(frame["w"]), 0, 0
-    for i in range(len(words) + 1):
-        if i == len(words) or (held > 200_000 and i > start):
-            part = words[start:i]
-            if part:
-                end = np.array([END])
-                flat = np.concatenate([x for w in part for x in (np.asarray(w, dtype=np.int64), end)])
-                yield slice(start, i), flat, np.repeat(np.arange(len(part)), [len(w) + 1 for w in part])
-            start, held = i, 0
-        if i < len(words):
-            held += len(words[i])
-
-
 def _past(ids: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
     """The symbol k places before each token, -1 before the text's start."""
     out = np.full(len(ids), -1)
@@ -101,50 +83,6 @@ def _past(ids: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _contexts(ids: np.ndarray, row: np.ndarray, heavy: np.ndarray, depth: int, above: Level | None) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the contexts of a depth at each token, and which are heavy. heavy: flags by symbol, or sorted pair codes."""
-    one = _past(ids, row, 1)
-    if depth == 1:
-        return one.astype(np.uint64), (one >= 0) & heavy[np.maximum(one, 0)]
-    two = _past(ids, row, 2)
-    code = _code(two.astype(np.int64) + 1, one.astype(np.int64) + 1)
-    return code, (two >= 0) & (one >= 0) & (_find(heavy, code) >= 0)
-
-
-def _counted(frames: Iterator[pd.DataFrame], symbols: np.ndarray, heavy: np.ndarray, depth: int, least_symbol: np.ndarray) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for _, flat, row in _texts(frame):
-            ids = _find(symbols, flat)
-            context, ok = _contexts(ids, row, heavy, depth, None)
-            ok &= (ids >= 0) & least_symbol[np.maximum(ids, 0)]
-            pair = np.stack((context[ok], ids[ok].astype(np.uint64)), axis=1)
-            codes, first, n = np.unique(_code(pair[:, 0], pair[:, 1]), return_index=True, return_counts=True)
-            yield pd.DataFrame({"code": codes.view(np.int64), "context": pair[first, 0].view(np.int64), "symbol": pair[first, 1].astype(np.int64), "n": n})
-
-
-def _states(pairs: pd.DataFrame, totals: dict[int, int], parent, discount: float = DISCOUNT) -> Level:
-    """Keeps the contexts that pass the divergence test. parent(contexts, symbols): probabilities in the parent state."""
-    if not len(pairs):
-        none = np.zeros(0)
-        return Level(none.astype(np.uint64), none, none.astype(np.uint64), none)
-    pairs = pairs.sort_values(["context", "symbol"])
-    context, symbol, n = (pairs[c].to_numpy() for c in ("context", "symbol", "n"))
-    own, group, stored = np.unique(context, return_inverse=True, return_counts=True)
-    total = np.array([totals[int(c)] for c in own], dtype=np.float64)
-    share = (n - discount) / total[group]
-    rest = 1.0 - np.bincount(group, weights=share)
-    below = parent(context.view(np.uint64), symbol)
-    held = np.bincount(group, weights=n)
-    gain = np.bincount(group, weights=n * np.log(share / below + rest[group])) + (total - held) * np.log(rest)
-    good = gain > 0.5 * np.log(total) * stored
-    mine = good[group]
-    contexts = own.view(np.uint64)[good]
-    order = np.argsort(contexts)
-    codes = _code(context.view(np.uint64)[mine], symbol[mine].astype(np.uint64))
-    rank = np.argsort(codes)
-    return Level(contexts[order], rest[good][order], codes[rank], share[mine][rank])
-
-
 class Tree:
     """The head's symbols and the states of depth 1 and 2."""
 
@@ -167,67 +105,95 @@ class Tree:
         return own, left
 
 
-def learn(docs: DataFrame, scratch: Scratch) -> tuple[Tree, DataFrame]:
-    """The tree, and the counts (token, n) of all training tokens, of which the tree holds the most frequent."""
-    given = hashed(docs)
-    train = given.filter("not held_out")
-    words = train.select(F.explode("w").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    texts = train.count()
-    counts = scratch.keep(words, "counts")
+@dataclass
+class Counts:
+    """What a corpus's training part says: counts (token, n) with the end token, sums, and states by depth.
+
+    A depth is two tables: its contexts with their rest mass, and (context, sym) with their share. Contexts are columns
+    (one) or (two, one).
+    """
+
+    counts: DataFrame
+    tokens: int
+    distinct: int
+    levels: list[tuple[DataFrame, DataFrame]]
+
+    def chance(self, n: Column) -> Column:
+        return (n + 1) / F.lit(self.tokens + 1.0 * (self.distinct + 1))
+
+
+def grams(given: DataFrame, *kept: str) -> DataFrame:
+    """(*kept, two, one, sym): each token, and the end, with the two symbols before it."""
+    ended = given.select(*kept, F.concat("w", F.array(F.lit(int(END)))).alias("w"))
+    placed = ended.select(*kept, "w", F.posexplode("w").alias("at", "sym"))
+    before = lambda k: F.when(F.col("at") >= k, F.get("w", F.col("at") - k)).otherwise(F.lit(int(START)))
+    return placed.select(*kept, before(2).alias("two"), before(1).alias("one"), "sym")
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, on: dict[str, str], how: str = "left") -> DataFrame:
+    """rows with the other columns of table, whose columns `on` names equal those of rows."""
+    renamed = table.select(*[F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in table.columns])
+    same = [F.col(mine) == F.col(f"_{c}") for c, mine in on.items()]
+    return rows.join(renamed, same, how).drop(*[f"_{c}" for c in on])
+
+
+def _states(pairs: DataFrame, context: list[str], discount: float = DISCOUNT) -> DataFrame:
+    """(*context, sym, n, total, below) to (*context, sym, share, rest) of the contexts that pass the divergence test."""
+    whole = Window.partitionBy(*context)
+    shared = pairs.withColumn("share", (F.col("n") - discount) / F.col("total"))
+    shared = shared.withColumn("rest", 1 - F.sum("share").over(whole))
+    gain = F.sum(F.col("n") * F.log(F.col("share") / F.col("below") + F.col("rest"))).over(whole)
+    gain = gain + (F.col("total") - F.sum("n").over(whole)) * F.log("rest")
+    good = shared.withColumn("good", gain > 0.5 * F.log("total") * F.count("*").over(whole))
+    return good.filter("good").select(*context, "sym", "share", "rest")
+
+
+def count_states(docs: DataFrame, scratch: Scratch) -> Counts:
+    """Counts and states of the training texts, all of them as tables."""
+    train = hashed(docs).filter("not held_out")
+    triples = scratch.keep(grams(train).groupBy("two", "one", "sym").agg(F.count("*").alias("n")), "triples")
+    pairs = scratch.keep(triples.groupBy("one", "sym").agg(F.sum("n").alias("n")), "pairs")
+    counts = scratch.keep(pairs.groupBy(F.col("sym").alias("token")).agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    tokens, distinct = int(total.n) + texts, int(total.v) + (texts > 0)
-    least = max(LEAST, -(-tokens // HEAD))
-    frequent = counts.filter(F.col("n") >= least).toArrow().to_pandas()
-    symbols = np.append(frequent["token"].to_numpy(np.int64), END)
-    n = np.append(frequent["n"].to_numpy(np.int64), texts)
-    order = np.argsort(symbols)
-    head = Head(symbols[order], n[order], tokens, distinct)
-    base = head.base()
-    symbols = head.symbols
-    enough, paired = max(LEAST, -(-tokens // CONTEXTS)), max(LEAST, -(-tokens // PAIRS))
-    heavy, stored = (head.counts >= enough) & (symbols != END), head.counts >= paired
-
-    def count(depth: int, flags: np.ndarray) -> pd.DataFrame:
-        made = train.select("w").mapInPandas(lambda frames: _counted(frames, symbols, flags, depth, stored), "code long, context long, symbol long, n long")
-        return made.groupBy("code", "context", "symbol").agg(F.sum("n").alias("n")).filter(F.col("n") >= paired).toArrow().to_pandas()
+    out = Counts(counts, int(total.n), int(total.v), [])
+
+    def kept(states: DataFrame, context: list[str], name: str) -> None:
+        states = scratch.keep(states, name)
+        contexts = scratch.keep(states.groupBy(*context).agg(F.first("rest").alias("rest")), f"{name}-contexts")
+        out.levels.append((contexts, states.select(*context, "sym", "share")))
 
     # a context's total counts the tokens that follow it, and every word is followed by one
-    pairs = count(1, heavy)
-    first = _states(pairs, {i: int(c) for i, c in enumerate(head.counts)}, lambda c, s: base[s])
-    double = pairs[pairs["n"] >= enough]
-    double = double[symbols[double["symbol"].to_numpy(np.int64)] != END] if len(double) else double
-    codes = _code(double["context"].to_numpy(np.int64) + 1, double["symbol"].to_numpy(np.int64) + 1)
-    totals = {int(c): int(k) for c, k in zip(codes.view(np.int64), double["n"], strict=True)}
-    last = {int(c): int(s) for c, s in zip(codes.view(np.int64), double["symbol"], strict=True)}
-    triples = count(2, np.sort(codes)) if len(codes) else pairs.iloc[:0]
-    top = Tree(head, [first, _states(triples.iloc[:0], {}, None)])
-
-    def above(contexts: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        before = np.array([last[int(c)] for c in contexts.view(np.int64)], dtype=np.int64)
-        ids = np.stack((before, chosen), axis=1).ravel()
-        own, left = top.chain(ids, np.repeat(np.arange(len(before)), 2))
-        return own[1::2] + left[1::2] * base[chosen]
-
-    return Tree(head, [first, _states(triples, totals, above)]), counts
-
-
-def _scored(frames: Iterator[pd.DataFrame], tree: Tree) -> Iterator[pd.DataFrame]:
-    base = np.log10(tree.head.base())
-    chance = tree.head.base()
-    for frame in frames:
-        for part, flat, row in _texts(frame):
-            ids = _find(tree.head.symbols, flat)
-            own, left = tree.chain(ids, row)
-            known, n = ids >= 0, part.stop - part.start
-            at = np.maximum(ids, 0)
-            value = np.where(known, np.log10(np.where(known, own + left * chance[at], 1.0)), np.log10(left))
-            out = frame.iloc[part][["doc_id", "key", "held_out"]].copy()
-            total = lambda x: np.bincount(row, weights=x, minlength=n)
-            out["n_tokens"], out["n_known"] = np.bincount(row, minlength=n), total(known).astype(np.int64)
-            out["base_score"], out["score"] = total(np.where(known, base[at], 0.0)), total(value)
-            rare, of = flat[~known], row[~known]
-            out["rare"] = np.split(rare, np.searchsorted(of, np.arange(1, n)))
-            yield out
+    first = pairs.filter((F.col("n") >= LEAST) & (F.col("one") != F.lit(int(START))))
+    first = _looked_up(first, counts.withColumnRenamed("n", "total"), {"token": "one"}, "inner")
+    first = _looked_up(first, counts.withColumnRenamed("n", "c"), {"token": "sym"}, "inner")
+    kept(_states(first.withColumn("below", out.chance(F.col("c"))), ["one"]), ["one"], "first")
+    second = triples.filter((F.col("n") >= LEAST) & (F.col("two") != F.lit(int(START))))
+    second = _looked_up(second, pairs.withColumnRenamed("n", "total"), {"one": "two", "sym": "one"}, "inner")
+    second = _looked_up(second, counts.withColumnRenamed("n", "c"), {"token": "sym"}, "inner")
+    contexts, entries = out.levels[0]
+    second = _looked_up(_looked_up(second, contexts, {"one": "one"}), entries, {"one": "one", "sym": "sym"})
+    below = F.coalesce("share", F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * out.chance(F.col("c"))
+    kept(_states(second.select("two", "one", "sym", "n", "total", below.alias("below")), ["two", "one"]), ["two", "one"], "second")
+    return out
+
+
+def learn(docs: DataFrame, scratch: Scratch) -> tuple[Tree, DataFrame]:
+    """The tree of a small corpus in memory, with symbols of at least 1/HEAD of its tokens, and the counts (token, n)."""
+    found = count_states(docs, scratch)
+    frequent = found.counts.filter(F.col("n") >= max(LEAST, -(-found.tokens // HEAD))).toPandas().sort_values("token")
+    head = Head(frequent["token"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64), found.tokens, found.distinct)
+    levels = []
+    for contexts, entries in found.levels:
+
+        def coded(table: pd.DataFrame) -> np.ndarray:
+            one = _find(head.symbols, table["one"].to_numpy(np.int64))
+            return _code(_find(head.symbols, table["two"].to_numpy(np.int64)) + 1, one + 1) if "two" in table else one.astype(np.uint64)
+
+        states, stored = contexts.toPandas(), entries.toPandas()
+        context, code = coded(states), _code(coded(stored), _find(head.symbols, stored["sym"].to_numpy(np.int64)).astype(np.uint64))
+        order, rank = np.argsort(context), np.argsort(code)
+        levels.append(Level(context[order], states["rest"].to_numpy()[order], code[rank], stored["share"].to_numpy()[rank]))
+    return Tree(head, levels), found.counts
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -237,28 +203,24 @@ def score_texts(docs: DataFrame) -> DataFrame:
     those of add-one smoothing. Repeated rows count as often as they stand and get equal results. Other columns are not
     read.
     """
-    spark: SparkSession = docs.sparkSession
-    scratch = Scratch(spark, "suffixtree")
-    tree, counts = learn(docs, scratch)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    given = hashed(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
-    held = spark.sparkContext.broadcast(tree)
-    made = given.mapInPandas(lambda frames: _scored(frames, held.value), "doc_id string, key binary, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>")
-    rows = scratch.keep(made, "rows")
-    size = float(tree.head.tokens + 1.0 * (tree.head.distinct + 1))
-    rare = rows.dropDuplicates(["key"]).select("key", F.explode("rare").alias("token")).groupBy("key", "token").agg(F.count("*").alias("k"))
-    met = rare.join(counts, "token", "left").groupBy("key").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("known"),
-        F.sum(F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(size))).alias("more"),
-    )
-    joined = rows.drop("rare").join(met.withColumnRenamed("key", "_k"), F.col("key") == F.col("_k"), "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return joined.select(
-        F.col("doc_id").cast(kind).alias("doc_id"),
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(tree.head.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
-    )
+    scratch = Scratch(docs.sparkSession, "suffixtree")
+    found = count_states(docs, scratch)
+    (one, after_one), (two, after_two) = found.levels
+    given = hashed(docs)
+    # each different window is looked up once, whatever the number of its places
+    windows = _looked_up(grams(given).distinct(), one.withColumnRenamed("rest", "rest1"), {"one": "one"})
+    windows = _looked_up(windows, after_one.withColumnRenamed("share", "share1"), {"one": "one", "sym": "sym"})
+    windows = _looked_up(windows, two.withColumnRenamed("rest", "rest2"), {"two": "two", "one": "one"})
+    windows = _looked_up(windows, after_two.withColumnRenamed("share", "share2"), {"two": "two", "one": "one", "sym": "sym"})
+    windows = _looked_up(windows, found.counts, {"token": "sym"})
+    zero, whole = F.lit(0.0), F.lit(1.0)
+    chance, rest2 = found.chance(F.coalesce("n", F.lit(0))), F.coalesce("rest2", whole)
+    own = F.coalesce("share2", zero) + rest2 * F.coalesce("share1", zero)
+    value = F.log10(own + rest2 * F.coalesce("rest1", whole) * chance)
+    priced = windows.select("two", "one", "sym", F.col("n").isNotNull().cast("long").alias("known"), F.log10(chance).alias("base"), value.alias("value"))
+    priced = scratch.keep(priced, "windows")
+    places = _looked_up(grams(given.dropDuplicates(["key"]), "key"), priced, {c: c for c in ("two", "one", "sym")}, "inner")
+    sums = places.groupBy(F.col("key").alias("_k")).agg(F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("value").alias("score"))
+    rows = given.select("doc_id", "key", "held_out", (F.size("w") + 1).cast("long").alias("n_tokens"))
+    joined = rows.join(scratch.keep(sums, "sums"), F.col("key") == F.col("_k"))
+    return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(found.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -150,3 +150,24 @@ def test_scoring_of_odd_rows(docs, corpus, empty):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     assert {r.doc_id: r.n_tokens for r in got}[102] == 1
     assert suffix_tree.score_texts(empty).collect() == []
+
+
+def test_contexts_are_states_whatever_the_size_of_the_corpus(spark):
+    """A context met four times among 80,000 tokens, alone and behind another word."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"f{rng.randrange(3000)}" for _ in range(200))) for i in range(460)]
+    train, held = [d for d in range(500, 600) if crc(d) % 7 != 2][:4], next(d for d in range(500, 600) if crc(d) % 7 == 2)
+    rows += [(d, f"alpha beta gamma f{d}") for d in train] + [(held, "alpha beta gamma")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_tree.score_texts(df).collect()}
+    assert got[held].train_tokens > 70000 and got[held].score > got[held].base_score + 6
+
+    tree, counts = suffix_tree.learn(df, Scratch(spark, "t"))
+    n = {r.token: r.n for r in counts.collect()}
+    w = {r.doc_id: r.w for r in suffix_tree.hashed(df).select("doc_id", "w").collect()}
+    size = tree.head.tokens + tree.head.distinct + 1.0
+    for d in [held, *train, 0, 1, 2]:
+        flat = np.array([*w[d], -1], dtype=np.int64)
+        own, left = tree.chain(suffix_tree._find(tree.head.symbols, flat), np.zeros(len(flat), dtype=np.int64))
+        chance = np.array([(n.get(int(x), 0) + 1) / size for x in flat])
+        assert got[d].score == pytest.approx(np.log10(own + left * chance).sum())
