@@ -5,12 +5,17 @@ line. Units are normalised (lower case, digits to 0, words only) and their diges
 earliest ranked occurrence (by doc_id, row, place) is the original; in all other places a unit is a repetition. Repetitions
 next to each other form a run, and runs of at least MIN_WORDS words are removed. Short phrases that recur by chance or
 habit so stay. Offsets are code points of the original text.
+
+A passage that starts and ends inside sentences has edge sentences that are no repetitions. repeated_passages therefore
+goes on from the longest unit of each run that has such a neighbour word by word, in both directions, as long as the words are those around its original,
+and tests the length after that.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +26,8 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import Scratch
 
 MIN_WORDS = 25
+#: Characters fetched ahead of an original, and half of those behind its start; whole texts where that is not enough.
+REACH = 400
 
 _UNIT = {
     "sentence": re.compile(r"[^\n.!?…。！？]+[.!?…。！？]*"),
@@ -31,20 +38,25 @@ _WORD = re.compile(r"[^\W_]+")
 _DIGITS = str.maketrans("123456789", "0" * 9)
 
 
-def _units(text: str, unit: str) -> Iterator[tuple[int, int, int, bytes]]:
+def _units(text: str, unit: str) -> Iterator[tuple[int, int, int, bytes, int, int]]:
+    """(start, end, words, digest, checksums of the first and the last word) of every unit that has a word."""
     for found in _UNIT[unit].finditer(text):
         piece = found.group()
         words = _WORD.findall(piece.lower().translate(_DIGITS))
         if words:
             lead = len(piece) - len(piece.lstrip())
-            yield found.start() + lead, found.end(), len(words), hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            first, last = (zlib.crc32(words[i].encode("utf-8", "surrogatepass")) for i in (0, -1))
+            yield found.start() + lead, found.end(), len(words), hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest(), first, last
 
 
 def cut(docs: DataFrame, unit: str = "sentence") -> DataFrame:
-    """(doc_id, key, unit, start, end, words, high, low): every unit that has a word; high and low are its digest."""
+    """(doc_id, key, unit, start, end, words, high, low, at, before, after): every unit that has a word.
+
+    high and low are its digest, at the number of words ahead of it; before and after tell the words next to it, -1 for none.
+    """
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "key", "unit", "start", "end", "words", "digest"]
+        names = ["doc_id", "key", "unit", "start", "end", "words", "digest", "at", "before", "after"]
 
         def framed(rows: list[tuple]) -> pd.DataFrame:
             out = pd.DataFrame(rows, columns=names)
@@ -54,14 +66,17 @@ def cut(docs: DataFrame, unit: str = "sentence") -> DataFrame:
         for frame in frames:
             rows: list[tuple] = []
             for doc_id, key, text in zip(frame["doc_id"], frame["key"], frame["text"], strict=True):
-                rows.extend((doc_id, key, i, *u) for i, u in enumerate(_units(text, unit)))
+                units, at = list(_units(text, unit)), 0
+                for i, u in enumerate(units):
+                    rows.append((doc_id, key, i, *u[:4], at, units[i - 1][5] if i else -1, units[i + 1][4] if i + 1 < len(units) else -1))
+                    at += u[2]
                 if len(rows) > 100_000:
                     yield framed(rows)
                     rows = []
             yield framed(rows)
 
     given = docs.filter("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), key_of().alias("key"), "text")
-    made = given.mapInPandas(each, "doc_id string, key long, unit int, start int, end int, words int, high long, low long")
+    made = given.mapInPandas(each, "doc_id string, key long, unit int, start int, end int, words int, at int, before long, after long, high long, low long")
     return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -70,32 +85,38 @@ def key_of() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, key, start, end, words, units, kept_doc_id, kept_start): the runs to remove.
-
-    kept_doc_id and kept_start tell where the run's first unit has its original, which may be earlier in the same
-    document. Null and empty texts have no units. Repeated rows are repetitions of themselves only once: they share a key
-    and are treated as one row. Null doc_ids rank last. Only doc_id and text are read.
-
-    Digests are counted first, with partial sums. Only units of repeated ones go on, and the original is sought among
-    those of the least doc_id alone.
-    """
-    scratch, digest = Scratch(docs.sparkSession, "units"), ["high", "low"]
+def _copies(docs: DataFrame, unit: str, scratch: Scratch) -> DataFrame:
+    """Every unit that repeats an earlier one, with its place and that of its original."""
+    digest = ["high", "low"]
     packed = cut(docs, unit).select(
-        "doc_id", "key", *digest, (F.shiftleft(F.col("start").cast("long"), 32) + F.col("end")).alias("place"), (F.shiftleft(F.col("unit").cast("long"), 32) + F.col("words")).alias("nth")
+        "doc_id", "key", *digest, (F.shiftleft(F.col("start").cast("long"), 32) + F.col("end")).alias("place"), (F.shiftleft(F.col("unit").cast("long"), 32) + F.col("words")).alias("nth"), "at", "before", "after"
     )
     units = scratch.keep(packed, "units")
     counted = units.groupBy(*digest).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
     counted = scratch.keep(counted.select(F.col("high").alias("_h"), F.col("low").alias("_l"), "first_id"), "repeated")
     again = scratch.keep(units.join(counted, (F.col("high") == F.col("_h")) & (F.col("low") == F.col("_l"))).drop("_h", "_l"), "again")
-    best = F.struct("key", "nth", "place")
+    best = F.struct("key", "nth", "place", "before", "after")
     original = again.filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy(F.col("high").alias("_h"), F.col("low").alias("_l")).agg(F.min(best).alias("o"))
-    original = scratch.keep(original.select("_h", "_l", F.col("o.key").alias("o_key"), F.col("o.nth").alias("o_nth"), F.shiftright("o.place", 32).cast("int").alias("kept_start")), "originals")
+    original = scratch.keep(original.select("_h", "_l", F.col("o.key").alias("o_key"), F.col("o.nth").alias("o_nth"), F.shiftright("o.place", 32).cast("int").alias("kept_start"), F.col("o.before").alias("o_before"), F.col("o.after").alias("o_after")), "originals")
+    scratch.drop("units", "repeated")
     copies = again.join(original, (F.col("high") == F.col("_h")) & (F.col("low") == F.col("_l")))
     copies = copies.filter(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("o_key")) & (F.col("nth") == F.col("o_nth"))))
     lower = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     unit_no, words = F.shiftright("nth", 32).cast("int"), lower("nth")
-    copies = copies.select("doc_id", "key", unit_no.alias("unit"), words.alias("words"), F.shiftright("place", 32).cast("int").alias("start"), lower("place").alias("end"), F.col("first_id").alias("kept_doc_id"), "kept_start").distinct()
+    touches = ((F.col("before") == F.col("o_before")) & (F.col("before") >= 0)) | ((F.col("after") == F.col("o_after")) & (F.col("after") >= 0))
+    return copies.select("doc_id", "key", unit_no.alias("unit"), words.alias("words"), F.shiftright("place", 32).cast("int").alias("start"), lower("place").alias("end"), F.col("first_id").alias("kept_doc_id"), "kept_start", F.col("o_key").alias("kept_key"), "at", touches.alias("touches")).distinct()
+
+def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, key, start, end, words, units, kept_doc_id, kept_start): the runs to remove.
+
+    kept_doc_id and kept_start tell where the run's first unit has its original, which may be earlier in the same
+    document. Null and empty texts have no units. Repeated rows are repetitions of themselves only once: they share a key
+    and are treated as one row. Null doc_ids rank last. Only doc_id and text are read.
+
+    Digests are counted first, with partial sums. Only units of repeated ones go on, and the original is sought among
+    those of the least doc_id alone.
+    """
+    copies = _copies(docs, unit, Scratch(docs.sparkSession, "units"))
     order = Window.partitionBy("doc_id", "key").orderBy("unit")
     runs = copies.withColumn("run", F.col("unit") - F.row_number().over(order)).groupBy("doc_id", "key", "run").agg(
         F.min("start").alias("start"),
@@ -107,6 +128,104 @@ def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = MIN
     return runs.filter(F.col("words") >= min_words).select("doc_id", "key", "start", "end", "words", "units", "kept.kept_doc_id", "kept.kept_start")
 
 
+def _extended(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs, to which the words around their anchor are added as far as they are those around its original."""
+    same = lambda a, b: a.lower().translate(_DIGITS) == b.lower().translate(_DIGITS)
+    for frame in frames:
+        out = []
+        for r in frame.itertuples():
+            own, kept, here = r.text, r.kept_text, bool(r.same_row)
+            start, end, low, high, n = r.start, r.end, r.low, r.high, 0
+            reached, at, more = r.kept_start, r.kept_start - r.kept_from, False
+            for x, y in zip(_WORD.finditer(own, r.a_start), _WORD.finditer(kept, at)):
+                if y.end() == len(kept) and r.cut_behind:
+                    more = True
+                if not same(x.group(), y.group()) or here and y.end() + r.kept_from > r.a_start:
+                    break
+                n, reached = n + 1, y.end() + r.kept_from
+                end, high = max(end, x.end()), max(high, r.a_at + n)
+            else:
+                more = more or r.cut_behind
+            n = 0
+            for x, y in zip(_WORD.finditer(own[: r.a_start][::-1]), _WORD.finditer(kept[:at][::-1])):
+                if y.end() == at and r.kept_from:
+                    more = True
+                if not same(x.group()[::-1], y.group()[::-1]) or here and r.a_start - x.end() < reached:
+                    break
+                n += 1
+                start, low = min(start, r.a_start - x.end()), min(low, r.a_at - n)
+            else:
+                more = more or r.kept_from > 0
+            out.append((start, end, low, high, bool(more)))
+        places = pd.DataFrame(out, columns=["start", "end", "low", "high", "more"], index=frame.index)
+        yield frame.drop(columns=["text", "kept_text", "same_row", "kept_from", "cut_behind"]).assign(**{c: places[c] for c in places})
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Spans that overlap or touch as one, in repeated_spans' columns."""
+    order = Window.partitionBy("doc_id", "key").orderBy("start", "end")
+    ahead = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parted = spans.withColumn("new", F.when(F.col("start") <= ahead, 0).otherwise(1)).withColumn("part", F.sum("new").over(order))
+    out = parted.groupBy("doc_id", "key", "part").agg(
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        (F.max("high") - F.min("low")).cast("long").alias("words"),
+        F.sum("units").alias("units"),
+        F.min_by(F.struct(F.col("first_id").alias("kept_doc_id"), F.col("first_start").alias("kept_start")), "start").alias("kept"),
+    )
+    return out.select("doc_id", "key", "start", "end", "words", "units", "kept.kept_doc_id", "kept.kept_start")
+
+
+def _passages(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, key, units, first_id, first_start, start, end, low, high): runs of sentences, extended, of enough words."""
+    order = Window.partitionBy("doc_id", "key").orderBy("unit")
+    anchor = F.struct("start", "at", "kept_doc_id", "kept_key", "kept_start", "touches")
+    scratch = Scratch(docs.sparkSession, "units")
+    runs = _copies(docs, "sentence", scratch).withColumn("run", F.col("unit") - F.row_number().over(order)).groupBy("doc_id", "key", "run").agg(
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        F.min("at").alias("low"),
+        F.max(F.col("at") + F.col("words")).alias("high"),
+        F.count("*").alias("units"),
+        F.min_by(F.struct("kept_doc_id", "kept_start"), "unit").alias("kept"),
+        F.max_by(anchor, F.struct("touches", "words", -F.col("unit"))).alias("a"),
+    )
+    runs = runs.select("*", F.col("kept.kept_doc_id").alias("first_id"), F.col("kept.kept_start").alias("first_start"))
+    runs = scratch.keep(runs.drop("kept"), "runs")
+    scratch.drop("again", "originals")
+    names = ["doc_id", "key", "units", "first_id", "first_start", "start", "end", "low", "high"]
+    # no word next to the anchor is as next to its original: the run ends where it ends
+    alone = runs.filter("not a.touches").select(*names)
+    texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("_id"), key_of().alias("_key"), "text").dropDuplicates(["_id", "_key"])
+    facts = [F.col("a.start").alias("a_start"), F.col("a.at").alias("a_at"), F.col("a.kept_start").alias("kept_start"), F.col("a.kept_doc_id").alias("kept_id"), F.col("a.kept_key").alias("kept_key")]
+
+    def extended(able: DataFrame, reach: int | None) -> DataFrame:
+        """Extended runs; `more` marks those that came to an end of the `reach` characters that were fetched."""
+        kept = able.join(texts, (F.col("kept_key") == F.col("_key")) & F.col("kept_id").eqNullSafe(F.col("_id")))
+        ahead = F.greatest(F.col("kept_start") - reach, F.lit(0)) if reach else F.lit(0)
+        kept = kept.withColumn("kept_from", ahead)
+        behind = (F.length("text") > F.col("kept_start") + 2 * reach) if reach else F.lit(False)
+        part = F.substring("text", F.col("kept_from") + 1, F.col("kept_start") - F.col("kept_from") + 2 * reach) if reach else F.col("text")
+        kept = kept.select(*able.columns, "kept_from", behind.alias("cut_behind"), part.alias("kept_text"))
+        both = kept.join(texts, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_key")
+        both = both.withColumn("same_row", F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
+        # ids travel as text, as pandas makes whole numbers with nulls floats
+        ids = ("doc_id", "first_id", "kept_id")
+        given = both.withColumns({c: F.col(c).cast("string") for c in ids})
+        kinds = ", ".join(f"{c} {'string' if c in ids else able.schema[c].dataType.simpleString()}" for c in able.columns)
+        return given.mapInPandas(_extended, f"{kinds}, more boolean").withColumns({c: F.col(c).cast("long") for c in ids})
+
+    near = scratch.keep(extended(runs.filter("a.touches").select(*names, *facts), REACH), "near")
+    far = extended(near.filter("more").drop("more"), None)
+    found = alone.unionByName(near.filter("not more").select(*names)).unionByName(far.select(*names))
+    return found.filter(F.col("high") - F.col("low") >= min_words)
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """repeated_spans' columns: runs of repeated sentences with the words that go on as around their originals."""
+    return _merged(_passages(docs, min_words))
+
+
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs without the spans, in the same columns; what stood around a span stays as it was."""
     name, gone = "__el_key", "__el_gone"

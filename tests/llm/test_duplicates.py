@@ -255,3 +255,28 @@ def test_spans_of_odd_rows(docs, corpus, empty):
     assert unit_dedup.repeated_spans(empty).collect() == []
     left = unit_dedup.remove_spans(docs, unit_dedup.repeated_spans(docs))
     assert left.columns == docs.columns and left.count() == len(corpus)
+
+
+@pytest.mark.parametrize("reach", [5, 60, 400])
+def test_passages_pasted_at_any_word(spark, monkeypatch, reach):
+    """Edge sentences of a passage differ, as it starts and ends inside others; short whole units are in between."""
+    monkeypatch.setattr(unit_dedup, "REACH", reach)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    some = lambda n: " ".join(word() for _ in range(n))
+    passage = f"{some(16)}. {some(9)}. {some(7)}. {some(18)}"
+    rows = [(d, f"{some(12)}. {some(5)} {passage} {some(6)}. {some(11)}.") for d in range(12)]
+    rows += [(20, f"{some(4)} {passage} {some(3)}. {some(5)} {passage} {some(2)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = unit_dedup.repeated_passages(df)
+    found = sorted((r.doc_id, dict(rows)[r.doc_id][r.start : r.end], r.words) for r in got.collect())
+    assert found == sorted([(d, passage, 50) for d in range(1, 12)] + [(20, passage, 50)] * 2)
+    assert all(passage not in r.text for r in unit_dedup.remove_spans(df, got).collect() if r.doc_id)
+
+
+def test_passages_repeated_in_one_text(spark):
+    rows = [(1, "one two three. " * 30), (2, " ".join(f"{a} lead word. and more" for a in ("x", "y")))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = unit_dedup.repeated_passages(df, 3)
+    left = {r.doc_id: " ".join(r.text.split()) for r in unit_dedup.remove_spans(df, got).collect()}
+    assert left[1] == "one two three." and left[2] == rows[1][1]
