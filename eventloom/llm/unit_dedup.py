@@ -8,7 +8,7 @@ habit so stay. Offsets are code points of the original text.
 
 A passage that starts and ends inside sentences has edge sentences that are no repetitions. repeated_passages therefore
 goes on from the longest unit of each run that has such a neighbour word by word, in both directions, as long as the words are those around its original,
-and tests the length after that.
+and tests the length after that. It also removes every repeated whole line; the least length is for pieces of lines alone.
 """
 
 from __future__ import annotations
@@ -222,8 +222,19 @@ def _passages(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """repeated_spans' columns: runs of repeated sentences with the words that go on as around their originals."""
-    return _merged(_passages(docs, min_words))
+    """repeated_spans' columns: every repeated whole line, and runs of repeated sentences of min_words words.
+
+    Runs have the words that go on as around their originals. Lines go whatever their length; so do repeated paragraphs,
+    as their lines are repeated.
+    """
+    scratch = Scratch(docs.sparkSession, "lines")
+    lines = _copies(docs, "line", scratch).select(
+        "doc_id", "key", F.lit(1).cast("long").alias("units"), F.col("kept_doc_id").alias("first_id"), F.col("kept_start").alias("first_start"),
+        "start", "end", F.col("at").alias("low"), (F.col("at") + F.col("words")).alias("high"),
+    )
+    lines = scratch.keep(lines, "spans")
+    scratch.drop("again", "originals")
+    return _merged(_passages(docs, min_words).unionByName(lines))
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -280,3 +280,13 @@ def test_passages_repeated_in_one_text(spark):
     got = unit_dedup.repeated_passages(df, 3)
     left = {r.doc_id: " ".join(r.text.split()) for r in unit_dedup.remove_spans(df, got).collect()}
     assert left[1] == "one two three." and left[2] == rows[1][1]
+
+
+def test_every_repeated_line_goes_whatever_its_length(spark):
+    rng = random.Random(13)
+    own = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(12))
+    rows = [(d, f"{own()}\nShare this page with friends\n{own()} Read more. {own()}\nHome") for d in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = unit_dedup.repeated_passages(df)
+    found = sorted((r.doc_id, dict(rows)[r.doc_id][r.start : r.end], r.words, r.kept_doc_id) for r in got.collect())
+    assert found == sorted((d, *x, 0) for d in range(1, 6) for x in (("Share this page with friends", 5), ("Home", 1)))
