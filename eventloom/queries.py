@@ -89,10 +89,15 @@ def _range(ev: DataFrame) -> DataFrame:
 
 @over_events("S11_count_branch", "select event, idx, round(pt, 6) as pt from mu where event % 3 = 0")
 def _flat_and_back(ev: DataFrame) -> DataFrame:
+    return _there_and_back(ev.filter("event % 3 = 0"))
+
+
+@over_events("S11_count_branch_all", "select event, idx, round(pt, 6) as pt from mu")
+def _there_and_back(ev: DataFrame) -> DataFrame:
+    """S11 over all events; S11_count_branch keeps the filter that its SQL has."""
     from eventloom.schema import flatten, to_collections
 
-    flat = flatten(ev.filter("event % 3 = 0").select("event", "Muon"))
-    again = to_collections(flat, {"Muon": ["pt", "eta", "charge"]})
+    again = to_collections(flatten(ev.select("event", "Muon")), {"Muon": ["pt", "eta", "charge"]})
     return again.select("event", F.inline("Muon")).select("event", F.col("idx").cast("long").alias("idx"), F.col("pt").cast("double").alias("pt"))
 
 

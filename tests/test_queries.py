@@ -30,3 +30,10 @@ def test_the_library_stands_without_the_subpackage(tmp_path):
     shutil.copy(here / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql() and not any(n.startswith('op') for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_count_branch_over_all_events(spark, con):
+    """Some query takes the muons of all events to flat columns and back, whatever their number."""
+    ours = queries.QUERIES["S11_count_branch_all"](spark, SMALL)
+    assert {r[0] for r in ours.selectExpr("pmod(event, 3)").distinct().collect()} == {0, 1, 2}
+    assert ours.count() == queries.QUERIES["S1_full_read"](spark, SMALL).selectExpr("sum(n_muon)").first()[0]
