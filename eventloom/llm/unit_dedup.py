@@ -70,7 +70,7 @@ def cut(docs: DataFrame, unit: str = "sentence") -> DataFrame:
                 for i, u in enumerate(units):
                     rows.append((doc_id, key, i, *u[:4], at, units[i - 1][5] if i else -1, units[i + 1][4] if i + 1 < len(units) else -1))
                     at += u[2]
-                if len(rows) > 100_000:
+                if len(rows) > 20_000:
                     yield framed(rows)
                     rows = []
             yield framed(rows)
