@@ -12,6 +12,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ITEM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What stands between two plain words.
 BLANK = r"[\x20\x09-\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,9 +65,13 @@ class Scratch:
         self.root = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and returns the written table."""
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "uncompressed").parquet(path)  # codecs hold memory outside the heap for each small file
+        """Writes df and returns the written table. Its shuffle files go at once, as nothing reads them any more."""
+        path, before = f"{self.root}/{name}", self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "uncompressed").parquet(path)  # codecs hold memory outside the heap for each small file
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

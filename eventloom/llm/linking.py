@@ -1,10 +1,11 @@
 """Groups of alike items from buckets of candidates, without all pairs of a bucket.
 
-In every bucket a leader is compared with all others. What passes is linked, links are closed to components, and a
-bucket goes on only if those left in it (without their leader) belong to more than one component: members of one
-component need no further comparison, as a link between them would not change a group. Left-over buckets are cut finer
-where the caller can do so and get another leader; at last only pairs between different components are compared. So
-hot buckets cost one comparison a member, and no pair that could join two groups goes unseen.
+Buckets come in rounds: those of a few keys of each item first, then those of all keys, then finer ones where the
+caller can cut them. In every bucket a leader is compared with all others. What passes is linked, links are closed to
+components, and of the next round's buckets only those count that hold more than one component: members of one component
+need no further comparison, as a link between them would not change a group. So a large group of copies is settled by its
+few first keys. At last only pairs between different components are compared. Hot buckets cost one comparison a member
+and round, and no pair that could join two groups goes unseen.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import Scratch
 
 
+#: Buckets of each item that the first round takes.
+FIRST = 4
+
+
 def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """(a, b) to (node, root) for all nodes with an edge; root is the smallest node that can be reached.
 
@@ -35,6 +40,7 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
         moved = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = scratch.keep(moved.unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), f"{label}-star{n}")
         seen = print_of(after)
+        scratch.drop(f"{label}-star{n - 1}" if n else f"{label}-edges")
         now, n = after, n + 1
         if seen == before:
             break
@@ -43,41 +49,55 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
 
 
-def link(
-    entries: DataFrame,
+def link_items(
+    items: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
     finer: list[Callable[[DataFrame], DataFrame]] = (),
     alike: Callable[..., Column] | None = None,
+    first: int = FIRST,
 ) -> tuple[DataFrame, DataFrame]:
-    """entries (bucket, node, *facts) to (edges (a, b), components (node, root)).
+    """items (node, *facts, buckets array) to (edges (a, b), components (node, root)).
 
-    verify keeps the pairs (a, b) that are alike. A bucket's leader is the node that shares most places with others over
-    all its buckets: an original rather than one of its copies. finer functions turn left-over entries into ones of
-    smaller buckets; they may drop entries that can have no link, and add facts. alike(facts of a, of b) is an optional
-    cheap condition, from the facts that are there, that every true pair meets.
+    verify keeps the pairs (a, b) that are alike. A bucket's leader is the node that meets most others in the buckets of the
+    round: an original rather than one of its copies. The first round takes the first `first` buckets of each item. finer
+    functions turn left-over entries (bucket, node, score, *facts) into ones of smaller buckets; they may drop entries that
+    can have no link, and add facts. alike(facts of a, of b) is an optional cheap condition, from the facts that are there,
+    that every true pair meets.
     """
-    crowd = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("bucket").alias("_b"), "n")
-    met = entries.join(crowd, F.col("bucket") == F.col("_b")).groupBy(F.col("node").alias("_n")).agg(F.sum("n").alias("score"))
-    entries = scratch.keep(entries.join(met, F.col("node") == F.col("_n")).drop("_n"), "scored")
+    facts = [c for c in items.columns if c not in ("node", "buckets")]
+    entries = items.select("node", *facts, F.explode(F.slice("buckets", 1, first)).alias("bucket"))
+    several = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("bucket").alias("_b"), "n")
+    entries = scratch.keep(entries.join(several, F.col("bucket") == F.col("_b")).drop("_b"), "crowd-0")
     edges, roots = None, None
-    for n in range(len(finer) + 1):
+    for n in range(len(finer) + 2):
+        if n < 2:
+            met = entries.groupBy(F.col("node").alias("_n")).agg(F.sum("n").alias("score"))
+            entries = scratch.keep(entries.drop("n").join(met, F.col("node") == F.col("_n")).drop("_n"), f"scored-{n}")
+            scratch.drop(f"crowd-{n}")
         facts = [c for c in entries.columns if c not in ("bucket", "node", "score")]
         order = F.struct((-F.col("score")).alias("far"), F.xxhash64(F.lit(n), "node"), F.col("node"), *facts)
         heads = entries.groupBy("bucket").agg(F.min(order).alias("h"), F.count("*").alias("n")).filter("n > 1")
         heads = heads.select(F.col("bucket").alias("_b"), F.col("h.node").alias("a"), *[F.col(f"h.{c}").alias(f"a_{c}") for c in facts])
         led = entries.join(heads, F.col("bucket") == F.col("_b")).filter("node <> a")
-        led = scratch.keep(led.select("bucket", "a", "node", "score", *[f"a_{c}" for c in facts], *facts), f"led{n}")
-        passed = scratch.keep(verify(_fitting(led, facts, alike).select("a", F.col("node").alias("b")).distinct()), f"passed{n}")
+        led = scratch.keep(led.select("bucket", "a", "node", "score", *[f"a_{c}" for c in facts], *facts), f"led-{n}")
+        passed = scratch.keep(verify(_fitting(led, facts, alike).select("a", F.col("node").alias("b")).distinct()), f"passed-{n}")
         edges = passed if edges is None else edges.unionByName(passed)
-        roots = scratch.keep(components(edges, scratch, f"round{n}"), f"roots{n}")
-        rest = _mixed(led.select("bucket", "node", "score", *facts), roots)
-        rest = scratch.keep(rest, f"rest{n}")
-        if rest.isEmpty():
-            return edges, roots
-        if n < len(finer):
-            # what finer drops or cuts may leave buckets of one component
-            entries = scratch.keep(_mixed(finer[n](rest.drop("root")), roots).drop("root"), f"finer{n}")
+        roots = scratch.keep(components(edges, scratch, f"round{n}"), f"roots-{n}")
+        if n == 0:
+            # all buckets, but for those of one component
+            placed = _rooted(items, roots).withColumn("bucket", F.explode("buckets")).drop("buckets")
+            mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+            mixed = scratch.keep(mixed.select(F.col("bucket").alias("_b"), "n"), "mixed")
+            entries = scratch.keep(placed.join(mixed, F.col("bucket") == F.col("_b")).drop("_b", "root"), "crowd-1")
+        else:
+            rest = scratch.keep(_mixed(led.select("bucket", "node", "score", *facts), roots), f"rest-{n}")
+            if rest.isEmpty():
+                return edges, roots
+            if n <= len(finer):
+                # what finer drops or cuts may leave buckets of one component
+                entries = scratch.keep(_mixed(finer[n - 1](rest.drop("root")), roots).drop("root"), f"finer-{n}")
+        scratch.drop(f"scored-{n}", f"led-{n}")
     facts = [c for c in rest.columns if c not in ("bucket", "node", "score", "root")]
     left = rest.select("bucket", F.col("node").alias("a"), F.col("root").alias("_r"), *[F.col(c).alias(f"a_{c}") for c in facts])
     here = "_r <> root and a < node" + ("" if alike is None else " and fits")
@@ -85,16 +105,28 @@ def link(
     both = both if alike is None else both.withColumn("fits", alike({c: F.col(f"a_{c}") for c in facts}, {c: F.col(c) for c in facts}))
     across = both.filter(here).select("a", F.col("node").alias("b")).distinct()
     edges = edges.unionByName(scratch.keep(verify(across), "across"))
-    return edges, scratch.keep(components(edges, scratch, "last"), "roots")
+    return edges, scratch.keep(components(edges, scratch, "last"), "roots-last")
 
 
 def _fitting(led: DataFrame, facts: list[str], alike) -> DataFrame:
     return led if alike is None else led.filter(alike({c: F.col(f"a_{c}") for c in facts}, {c: F.col(c) for c in facts}))
 
 
+def link(entries: DataFrame, verify, scratch: Scratch, finer=(), alike=None, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
+    """link_items for entries (bucket, node, *facts); a node's facts are the same in all of them."""
+    facts = [c for c in entries.columns if c not in ("bucket", "node")]
+    items = entries.groupBy("node", *facts).agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
+    return link_items(scratch.keep(items, "items"), verify, scratch, finer, alike, first)
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with the root of their node, which is itself without a link."""
+    rest = rows.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left")
+    return rest.select(*rows.columns, F.coalesce("root", "node").alias("root"))
+
+
 def _mixed(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """Entries with their root, of those buckets that hold more than one component."""
-    rest = entries.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left")
-    rest = rest.select(*entries.columns, F.coalesce("root", "node").alias("root"))
+    rest = _rooted(entries, roots)
     mixed = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(F.col("bucket").alias("_b"))
     return rest.join(mixed, F.col("bucket") == F.col("_b"), "left_semi")
