@@ -59,45 +59,39 @@ def link_items(
 ) -> tuple[DataFrame, DataFrame]:
     """items (node, *facts, buckets array) to (edges (a, b), components (node, root)).
 
-    verify keeps the pairs (a, b) that are alike. A bucket's leader is the node that meets most others in the buckets of the
-    round: an original rather than one of its copies. The first round takes the first `first` buckets of each item. finer
-    functions turn left-over entries (bucket, node, score, *facts) into ones of smaller buckets; they may drop entries that
-    can have no link, and add facts. alike(facts of a, of b) is an optional cheap condition, from the facts that are there,
-    that every true pair meets.
+    verify keeps the pairs (a, b) that are alike. The first round takes the first `first` buckets of each item, and as the
+    leader of a bucket the node that meets most others: an original rather than one of its copies. Later ones take any other.
+    finer functions turn left-over entries (bucket, node, *facts) into ones of smaller buckets; they may drop entries that can
+    have no link, and add facts. alike(facts of a, of b) is an optional cheap condition, from the facts that are there, that
+    every true pair meets.
     """
-    facts = [c for c in items.columns if c not in ("node", "buckets")]
-    entries = items.select("node", *facts, F.explode(F.slice("buckets", 1, first)).alias("bucket"))
-    several = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("bucket").alias("_b"), "n")
-    entries = scratch.keep(entries.join(several, F.col("bucket") == F.col("_b")).drop("_b"), "crowd-0")
-    edges, roots = None, None
+    entries = items.withColumn("bucket", F.explode(F.slice("buckets", 1, first))).drop("buckets")
+    crowd = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("bucket").alias("_b"), "n")
+    met = entries.join(crowd, F.col("bucket") == F.col("_b")).drop("_b")
+    met = scratch.keep(met, "crowd-0")
+    score = met.groupBy(F.col("node").alias("_n")).agg(F.sum("n").alias("score"))
+    entries = scratch.keep(met.drop("n").join(score, F.col("node") == F.col("_n")).withColumn("root", F.col("node")).drop("_n"), "entries-0")
+    edges = None
     for n in range(len(finer) + 2):
-        if n < 2:
-            met = entries.groupBy(F.col("node").alias("_n")).agg(F.sum("n").alias("score"))
-            entries = scratch.keep(entries.drop("n").join(met, F.col("node") == F.col("_n")).drop("_n"), f"scored-{n}")
-            scratch.drop(f"crowd-{n}")
-        facts = [c for c in entries.columns if c not in ("bucket", "node", "score")]
-        order = F.struct((-F.col("score")).alias("far"), F.xxhash64(F.lit(n), "node"), F.col("node"), *facts)
-        heads = entries.groupBy("bucket").agg(F.min(order).alias("h"), F.count("*").alias("n")).filter("n > 1")
+        facts = [c for c in entries.columns if c not in ("bucket", "node", "score", "root")]
+        order = F.struct(*([(-F.col("score")).alias("far")] if n == 0 else []), F.xxhash64(F.lit(n), "node"), F.col("node"), *facts)
+        heads = entries.groupBy("bucket").agg(F.min(order).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
         heads = heads.select(F.col("bucket").alias("_b"), F.col("h.node").alias("a"), *[F.col(f"h.{c}").alias(f"a_{c}") for c in facts])
         led = entries.join(heads, F.col("bucket") == F.col("_b")).filter("node <> a")
-        led = scratch.keep(led.select("bucket", "a", "node", "score", *[f"a_{c}" for c in facts], *facts), f"led-{n}")
+        led = scratch.keep(led.select("bucket", "a", "node", *[f"a_{c}" for c in facts], *facts), f"led-{n}")
         passed = scratch.keep(verify(_fitting(led, facts, alike).select("a", F.col("node").alias("b")).distinct()), f"passed-{n}")
         edges = passed if edges is None else edges.unionByName(passed)
         roots = scratch.keep(components(edges, scratch, f"round{n}"), f"roots-{n}")
         if n == 0:
-            # all buckets, but for those of one component
-            placed = _rooted(items, roots).withColumn("bucket", F.explode("buckets")).drop("buckets")
-            mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-            mixed = scratch.keep(mixed.select(F.col("bucket").alias("_b"), "n"), "mixed")
-            entries = scratch.keep(placed.join(mixed, F.col("bucket") == F.col("_b")).drop("_b", "root"), "crowd-1")
-        else:
-            rest = scratch.keep(_mixed(led.select("bucket", "node", "score", *facts), roots), f"rest-{n}")
-            if rest.isEmpty():
-                return edges, roots
-            if n <= len(finer):
-                # what finer drops or cuts may leave buckets of one component
-                entries = scratch.keep(_mixed(finer[n - 1](rest.drop("root")), roots).drop("root"), f"finer-{n}")
-        scratch.drop(f"scored-{n}", f"led-{n}")
+            entries = _rooted(items, roots).withColumn("bucket", F.explode("buckets")).drop("buckets")
+            scratch.drop("crowd-0", "entries-0", "led-0")
+            continue
+        rest = scratch.keep(_mixed(led.select("bucket", "node", *facts), roots), f"rest-{n}")
+        scratch.drop(f"led-{n}")
+        if rest.isEmpty():
+            return edges, roots
+        if n <= len(finer):
+            entries = scratch.keep(_rooted(finer[n - 1](rest.drop("root")), roots), f"finer-{n}")
     facts = [c for c in rest.columns if c not in ("bucket", "node", "score", "root")]
     left = rest.select("bucket", F.col("node").alias("a"), F.col("root").alias("_r"), *[F.col(c).alias(f"a_{c}") for c in facts])
     here = "_r <> root and a < node" + ("" if alike is None else " and fits")
