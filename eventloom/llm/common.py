@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,16 @@ def uniform(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, as bytes; a bounded number is remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        out = self[word] = xxhash.xxh64_intdigest(word)
+        return out
+
+
 class Scratch:
     """Tables written to the folder that driver and executors share, so that a lost executor costs no lineage.
 
