@@ -1,226 +1,350 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The root holds the counts of all training tokens with add-one smoothing. A context of one or two words that occurs LEAST
-times, and a symbol that follows it LEAST times, count at any size of the corpus. A context is a state if its next-symbol
-distribution differs enough from its parent's: the log likelihood that it gains on the training tokens must exceed 0.5 ln
-N(context) for each symbol that it stores. Stored probabilities are discounted, and the rest of the mass goes to the
-parent's distribution, so every state's distribution sums to 1. A token is scored in the longest suffix of its past that
-is a state.
-
-States are tables: they are counted and tested by grouped aggregation, and looked up by joins, so no worker and no driver
-holds a part that grows with the corpus. learn() gathers them for a small corpus.
+The root holds the counts of all training tokens with add-one smoothing. A context of one to `depth` words that occurs
+LEAST times, and a symbol that follows it LEAST times, count at any size of the corpus. A context is a state if its
+next-symbol distribution differs enough from its parent's: the log likelihood that it gains on the training tokens must
+exceed 0.5 ln N(context) for each symbol that it stores. Stored probabilities are discounted, and the rest of the mass goes
+to the parent's distribution, so every state's distribution sums to 1. A token is scored in the longest suffix of its past
+that is a state; suffixes in between that are none pass the parent's distribution on.
+
+As P(symbol | state) = share + rest * P(symbol | parent), a text's log probability is a sum over its n-grams: of the root's
+log probability, log rest of every state met, and log(1 + share / (rest * below)) of every symbol stored there. So n-grams
+need values, not a tree that anyone holds.
+
+Texts are cut into chunks of about CHUNK tokens, written once. For each order a chunk sends its different n-grams, packed, to
+buckets by their hash; a bucket counts them, keeps the repeated ones and tells each chunk which these are. Only n-grams
+whose both shorter parts are repeated go on to the next order, so nothing repeated is missed. A frequent n-gram is sent
+once by a chunk, so none makes a bucket large. Tests of contexts are grouped aggregations and joins over repeated n-grams.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Scratch, ascii_lower, doc_crc, plain_words, row_key, text_of
+from eventloom.llm.common import Scratch, WordHashes, doc_crc
 
-HEAD = 1 << 19
+DEPTH = 3
 LEAST = 2
 DISCOUNT = 0.75
-#: The hashes that stand for the end of a text and for what is before its start.
-END, START = np.int64(-1), np.int64(-2)
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Tokens of a chunk, and n-grams that a bucket gets about.
+CHUNK = 1 << 20
 
-
-def _code(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """One number for a context and a symbol."""
-    with np.errstate(over="ignore"):
-        x = (context.astype(np.uint64) * _FACTOR) ^ symbol.astype(np.uint64)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(29))
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of wanted in sorted keys, -1 where absent."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
-
-
-@dataclass
-class Level:
-    """States of one depth: sorted context codes with their rest mass, sorted (context, symbol) codes with their share."""
-
-    contexts: np.ndarray
-    rest: np.ndarray
-    entries: np.ndarray
-    share: np.ndarray
-
-
-@dataclass
-class Head:
-    """Frequent symbols, sorted by hash, with counts; and the corpus's number of tokens and distinct ones."""
-
-    symbols: np.ndarray
-    counts: np.ndarray
-    tokens: int
-    distinct: int
-
-    def base(self) -> np.ndarray:
-        return (self.counts + 1.0) / (self.tokens + 1.0 * (self.distinct + 1))
+#: No word holds a blank, so this hash stands for the end of a text.
+END = xxhash.xxh64_intdigest(b" ")
+_CHUNKS = "chunk long, ids array<string>, held binary, sizes binary, words binary, codes binary, masks array<binary>"
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, held_out, w): each text's tokens as 64-bit hashes, the end token left out."""
-    words = F.transform(plain_words(ascii_lower(text_of())), lambda w: F.xxhash64(w))
-    return docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), (F.pmod(doc_crc(F.col("doc_id")), F.lit(7)) == 2).alias("held_out"), words.alias("w"))
-
-
-def _past(ids: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
-    """The symbol k places before each token, -1 before the text's start."""
-    out = np.full(len(ids), -1)
-    if len(ids) > k:
-        out[k:] = np.where(row[k:] == row[:-k], ids[:-k], -1)
-    return out
-
-
-class Tree:
-    """The head's symbols and the states of depth 1 and 2."""
-
-    def __init__(self, head: Head, levels: list[Level]):
-        self.head, self.levels = head, levels
-
-    def chain(self, ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token the probability stored along its states, and the mass that is left to the root."""
-        own, left = np.zeros(len(ids)), np.ones(len(ids))
-        one, two = _past(ids, row, 1), _past(ids, row, 2)
-        codes = (one.astype(np.uint64), _code(two.astype(np.int64) + 1, one.astype(np.int64) + 1))
-        for level, context, known in zip(self.levels, codes, (one >= 0, (one >= 0) & (two >= 0)), strict=True):
-            at = np.where(known, _find(level.contexts, context), -1)
-            in_state = np.flatnonzero(at >= 0)
-            rest = level.rest[at[in_state]]
-            where = _find(level.entries, _code(context[in_state], ids[in_state].astype(np.uint64)))
-            share = np.where((where >= 0) & (ids[in_state] >= 0), level.share[np.maximum(where, 0)] if len(level.share) else 0.0, 0.0)
-            own[in_state] = share + rest * own[in_state]
-            left[in_state] *= rest
-        return own, left
-
+def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The key of an n-gram from those of its first n - 1 and its last n - 1 words."""
+    with np.errstate(over="ignore"):
+        x = (context ^ (context >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + suffix
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _numbers(blob: bytes, kind=np.uint64) -> np.ndarray:
+    return np.frombuffer(blob, dtype=kind)
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets rise with the key, so sorted keys fall into slices."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """(bucket, slice) of sorted keys."""
+    at = _bucket(keys, buckets)
+    edges = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)])) if len(at) else np.zeros(1, int)
+    for start, stop in zip(edges[:-1], edges[1:], strict=True):
+        yield int(at[start]), slice(int(start), int(stop))
+
+
+def _chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(doc_id, held_out, text) to rows of _CHUNKS; a text that is longer than a chunk is one."""
+    known, packer, number = WordHashes(), zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32
+    ids, held, texts, n = [], [], [], 0
+
+    def packed() -> pd.DataFrame:
+        words, codes = np.unique(np.concatenate(texts), return_inverse=True)
+        sizes = np.array([len(x) for x in texts], dtype=np.int32)
+        row = (number, ids, np.array(held, dtype=np.uint8).tobytes(), sizes.tobytes(), words.tobytes(), packer.compress(codes.astype(np.int32).tobytes()), [])
+        return pd.DataFrame([row], columns=["chunk", "ids", "held", "sizes", "words", "codes", "masks"])
+
+    for frame in frames:
+        for doc_id, out, text in zip(frame["doc_id"], frame["held_out"], frame["text"], strict=True):
+            words = [known[w] for w in text.encode("utf-8", "surrogatepass").lower().split()]
+            words.append(END)
+            ids.append(doc_id)
+            held.append(out)
+            texts.append(np.array(words, dtype=np.uint64))
+            n += len(words)
+            if n >= CHUNK:
+                yield packed()
+                ids, held, texts, n, number = [], [], [], 0, number + 1
+    if ids:
+        yield packed()
+
+
+class _Tokens:
+    """A chunk's tokens, and its n-grams by the place of their last token."""
+
+    def __init__(self, row):
+        self.sizes = _numbers(row.sizes, np.int32)
+        self.keys = _numbers(row.words)[_numbers(zstandard.ZstdDecompressor().decompress(row.codes), np.int32)]
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+        self.place = np.arange(len(self.keys)) - np.repeat(self.starts, self.sizes)
+        self.train = np.repeat(_numbers(row.held, np.uint8) == 0, self.sizes)
+        self.masks = [np.unpackbits(_numbers(m, np.uint8), count=len(self.keys)).astype(bool) for m in row.masks]
+
+    def grams(self, order: int, known: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places, keys, contexts, suffixes) of those n-grams that may be repeated, or that are known to be."""
+        keys = before = self.keys
+        for _ in range(order - 1):
+            before, keys = keys, np.concatenate((keys[:1], joined(keys[:-1], keys[1:])))
+        if known:
+            at = np.flatnonzero(self.masks[order - 1]) if order > 1 else np.arange(len(keys))
+        elif order == 1:
+            at = np.arange(len(keys))
+        else:
+            shorter = self.masks[order - 2]
+            at = np.flatnonzero(shorter[1:] & shorter[:-1] & (self.place[1:] >= order - 1)) + 1
+        return (at, keys[at], *((before[at - 1], before[at]) if order > 1 else (keys[at], keys[at])))
+
+
+def _asked(order: int, buckets: int) -> Callable:
+    """Chunks to (bucket, chunk, c, s, n): the different n-grams by context and suffix, with their count in training texts."""
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                tokens = _Tokens(row)
+                at, keys, contexts, suffixes = tokens.grams(order)
+                every, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+                n = np.bincount(inverse, weights=tokens.train[at], minlength=len(every)).astype(np.uint32)
+                c, s = contexts[first], suffixes[first]
+                rows = [(b, row.chunk, c[x].tobytes(), s[x].tobytes() if order > 1 else b"", n[x].tobytes()) for b, x in _slices(every, buckets)]
+                yield pd.DataFrame(rows, columns=["bucket", "chunk", "c", "s", "n"])
+
+    return ask
+
+
+def _counter(order: int) -> Callable:
+    """A bucket's asked n-grams to what each chunk is told (chunk, bucket, bits) and the repeated ones, where chunk is -1."""
+
+    def count(asked: pd.DataFrame) -> pd.DataFrame:
+        c, s, n = (_numbers(b"".join(asked[x]), kind) for x, kind in (("c", np.uint64), ("s", np.uint64), ("n", np.uint32)))
+        keys = joined(c, s) if order > 1 else c
+        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        total = np.bincount(inverse, weights=n, minlength=len(first)).astype(np.int64)
+        told = np.split((total >= LEAST)[inverse], np.cumsum([len(x) // 8 for x in asked["c"]])[:-1])
+        bucket = int(asked["bucket"].iloc[0])
+        rows = [(int(x), bucket, np.packbits(bits).tobytes(), None, None, None, None) for x, bits in zip(asked["chunk"], told, strict=True)]
+        kept = np.flatnonzero(total >= (LEAST if order > 1 else 1))
+        at = first[kept]
+        rows.append((-1, bucket, None, keys[at].tobytes(), c[at].tobytes(), (s if order > 1 else c)[at].tobytes(), total[kept].tobytes()))
+        return pd.DataFrame(rows, columns=["chunk", "bucket", "bits", "g", "c", "s", "n"])
+
+    return count
+
+
+def _unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for row in frame.itertuples():
+            yield pd.DataFrame({x: _numbers(getattr(row, x), np.int64) for x in "gcsn"})
+
+
+def _marker(order: int, buckets: int) -> Callable:
+    """A chunk and what buckets tell it to the chunk with one mask more."""
+
+    def mark(chunk: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if chunk.empty:
+            return chunk
+        row = next(chunk.itertuples())
+        tokens, bits = _Tokens(row), dict(zip(told["bucket"], told["bits"], strict=True))
+        at, keys, _, _ = tokens.grams(order)
+        every, inverse = np.unique(keys, return_inverse=True)
+        known = np.zeros(len(every), dtype=bool)
+        for b, x in _slices(every, buckets):
+            known[x] = np.unpackbits(_numbers(bits[b], np.uint8), count=x.stop - x.start)
+        mask = np.zeros(len(tokens.keys), dtype=bool)
+        mask[at] = known[inverse]
+        return chunk.assign(masks=[[*row.masks, np.packbits(mask).tobytes()]])
+
+    return mark
+
+
+def _wanted(order: int, buckets: int) -> Callable:
+    """Chunks to (bucket, chunk, g): the different n-grams that are repeated, or all words."""
+
+    def want(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                every = np.unique(_Tokens(row).grams(order, known=True)[1])
+                yield pd.DataFrame([(b, row.chunk, every[x].tobytes()) for b, x in _slices(every, buckets)], columns=["bucket", "chunk", "g"])
+
+    return want
+
+
+def _values(buckets: int) -> Callable:
+    """(g, n, v) to (bucket, g, n, v) of packed numbers."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            g = frame["g"].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(g)
+            g, n, v = g[order], frame["n"].to_numpy(np.int64)[order], frame["v"].to_numpy(np.float32)[order]
+            yield pd.DataFrame([(b, g[x].tobytes(), n[x].tobytes(), v[x].tobytes()) for b, x in _slices(g, buckets)], columns=["bucket", "g", "n", "v"])
+
+    return pack
+
+
+def _answerer(order: int) -> Callable:
+    """What chunks want from a bucket and what it has to (chunk, bucket, k, n, v); 0 for what it has not."""
+
+    def answer(wanted: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        g, n, v = (_numbers(b"".join(held[x]), kind) for x, kind in (("g", np.uint64), ("n", np.int64), ("v", np.float32)))
+        rank = np.argsort(g)
+        g, n, v = g[rank], n[rank], v[rank]
+        rows = []
+        for row in wanted.itertuples():
+            asked = _numbers(row.g)
+            at = np.minimum(np.searchsorted(g, asked), max(len(g) - 1, 0))
+            there = g[at] == asked if len(g) else np.zeros(len(asked), dtype=bool)
+            pick = lambda x: np.where(there, x[at], 0).astype(x.dtype) if len(g) else np.zeros(len(asked), x.dtype)  # noqa: B023, E731
+            rows.append((row.chunk, row.bucket, order, pick(n).tobytes() if order == 1 else b"", pick(v).tobytes()))
+        return pd.DataFrame(rows, columns=["chunk", "bucket", "k", "n", "v"])
+
+    return answer
+
+
+def _scorer(orders: int, buckets: int, tokens: int, distinct: int) -> Callable:
+    """A chunk and its answers to a row for each of its texts."""
+
+    def score(chunk: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+        if chunk.empty:
+            return pd.DataFrame(columns=names)
+        row = next(chunk.itertuples())
+        own, size = _Tokens(row), float(tokens + distinct + 1)
+        found = {(k, b): (n, v) for k, b, n, v in zip(told["k"], told["bucket"], told["n"], told["v"], strict=True)}
+        total = np.zeros(len(own.keys))
+        for k in range(1, orders + 1):
+            at, keys, _, _ = own.grams(k, known=True)
+            every, inverse = np.unique(keys, return_inverse=True)
+            parts = [found[k, b] for b, _ in _slices(every, buckets)]
+            if k == 1:
+                n = _numbers(b"".join(x[0] for x in parts), np.int64)[inverse]
+                base = np.log10((n + 1) / size)
+            total[at] += _numbers(b"".join(x[1] for x in parts), np.float32)[inverse].astype(float)
+        sums = lambda x: np.add.reduceat(x, own.starts)
+        held = _numbers(row.held, np.uint8).astype(bool)
+        columns = (list(row.ids), held, own.sizes.astype(np.int64), sums((n > 0).astype(np.int64)), sums(base), sums(base + total))
+        return pd.DataFrame(dict(zip(names, columns, strict=True)))
+
+    return score
 
-@dataclass
-class Counts:
-    """What a corpus's training part says: counts (token, n) with the end token, sums, and states by depth.
 
-    A depth is two tables: its contexts with their rest mass, and (context, sym) with their share. Contexts are columns
-    (one) or (two, one).
+def chunks(docs: DataFrame) -> DataFrame:
+    """Rows of _CHUNKS with all tokens of docs: words of the lower-cased text, and an end."""
+    held = F.pmod(doc_crc(F.col("doc_id")), F.lit(7)) == 2
+    given = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    return given.mapInPandas(_chunk, _CHUNKS)
+
+
+def count(docs: DataFrame, scratch: Scratch, depth: int) -> tuple[DataFrame, list[DataFrame], int]:
+    """(chunks with their masks, tables (g, c, s, n) by order, buckets).
+
+    g is an n-gram's key, c and s those of its first and last words, n its count in training texts: of all words, and of
+    longer n-grams with LEAST of them.
     """
-
-    counts: DataFrame
-    tokens: int
-    distinct: int
-    levels: list[tuple[DataFrame, DataFrame]]
-
-    def chance(self, n: Column) -> Column:
-        return (n + 1) / F.lit(self.tokens + 1.0 * (self.distinct + 1))
-
-
-def grams(given: DataFrame, *kept: str) -> DataFrame:
-    """(*kept, two, one, sym): each token, and the end, with the two symbols before it."""
-    ended = given.select(*kept, F.concat("w", F.array(F.lit(int(END)))).alias("w"))
-    placed = ended.select(*kept, "w", F.posexplode("w").alias("at", "sym"))
-    before = lambda k: F.when(F.col("at") >= k, F.get("w", F.col("at") - k)).otherwise(F.lit(int(START)))
-    return placed.select(*kept, before(2).alias("two"), before(1).alias("one"), "sym")
-
-
-def _looked_up(rows: DataFrame, table: DataFrame, on: dict[str, str], how: str = "left") -> DataFrame:
-    """rows with the other columns of table, whose columns `on` names equal those of rows."""
-    renamed = table.select(*[F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in table.columns])
-    same = [F.col(mine) == F.col(f"_{c}") for c, mine in on.items()]
-    return rows.join(renamed, same, how).drop(*[f"_{c}" for c in on])
-
-
-def _states(pairs: DataFrame, context: list[str], discount: float = DISCOUNT) -> DataFrame:
-    """(*context, sym, n, total, below) to (*context, sym, share, rest) of the contexts that pass the divergence test."""
-    whole = Window.partitionBy(*context)
-    shared = pairs.withColumn("share", (F.col("n") - discount) / F.col("total"))
-    shared = shared.withColumn("rest", 1 - F.sum("share").over(whole))
-    gain = F.sum(F.col("n") * F.log(F.col("share") / F.col("below") + F.col("rest"))).over(whole)
-    gain = gain + (F.col("total") - F.sum("n").over(whole)) * F.log("rest")
-    good = shared.withColumn("good", gain > 0.5 * F.log("total") * F.count("*").over(whole))
-    return good.filter("good").select(*context, "sym", "share", "rest")
-
-
-def count_states(docs: DataFrame, scratch: Scratch) -> Counts:
-    """Counts and states of the training texts, all of them as tables."""
-    train = hashed(docs).filter("not held_out")
-    triples = scratch.keep(grams(train).groupBy("two", "one", "sym").agg(F.count("*").alias("n")), "triples")
-    pairs = scratch.keep(triples.groupBy("one", "sym").agg(F.sum("n").alias("n")), "pairs")
-    counts = scratch.keep(pairs.groupBy(F.col("sym").alias("token")).agg(F.sum("n").alias("n")), "counts")
-    total = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    out = Counts(counts, int(total.n), int(total.v), [])
-
-    def kept(states: DataFrame, context: list[str], name: str) -> None:
-        states = scratch.keep(states, name)
-        contexts = scratch.keep(states.groupBy(*context).agg(F.first("rest").alias("rest")), f"{name}-contexts")
-        out.levels.append((contexts, states.select(*context, "sym", "share")))
-
-    # a context's total counts the tokens that follow it, and every word is followed by one
-    first = pairs.filter((F.col("n") >= LEAST) & (F.col("one") != F.lit(int(START))))
-    first = _looked_up(first, counts.withColumnRenamed("n", "total"), {"token": "one"}, "inner")
-    first = _looked_up(first, counts.withColumnRenamed("n", "c"), {"token": "sym"}, "inner")
-    kept(_states(first.withColumn("below", out.chance(F.col("c"))), ["one"]), ["one"], "first")
-    second = triples.filter((F.col("n") >= LEAST) & (F.col("two") != F.lit(int(START))))
-    second = _looked_up(second, pairs.withColumnRenamed("n", "total"), {"one": "two", "sym": "one"}, "inner")
-    second = _looked_up(second, counts.withColumnRenamed("n", "c"), {"token": "sym"}, "inner")
-    contexts, entries = out.levels[0]
-    second = _looked_up(_looked_up(second, contexts, {"one": "one"}), entries, {"one": "one", "sym": "sym"})
-    below = F.coalesce("share", F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * out.chance(F.col("c"))
-    kept(_states(second.select("two", "one", "sym", "n", "total", below.alias("below")), ["two", "one"]), ["two", "one"], "second")
-    return out
-
-
-def learn(docs: DataFrame, scratch: Scratch) -> tuple[Tree, DataFrame]:
-    """The tree of a small corpus in memory, with symbols of at least 1/HEAD of its tokens, and the counts (token, n)."""
-    found = count_states(docs, scratch)
-    frequent = found.counts.filter(F.col("n") >= max(LEAST, -(-found.tokens // HEAD))).toPandas().sort_values("token")
-    head = Head(frequent["token"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64), found.tokens, found.distinct)
-    levels = []
-    for contexts, entries in found.levels:
-
-        def coded(table: pd.DataFrame) -> np.ndarray:
-            one = _find(head.symbols, table["one"].to_numpy(np.int64))
-            return _code(_find(head.symbols, table["two"].to_numpy(np.int64)) + 1, one + 1) if "two" in table else one.astype(np.uint64)
-
-        states, stored = contexts.toPandas(), entries.toPandas()
-        context, code = coded(states), _code(coded(stored), _find(head.symbols, stored["sym"].to_numpy(np.int64)).astype(np.uint64))
-        order, rank = np.argsort(context), np.argsort(code)
-        levels.append(Level(context[order], states["rest"].to_numpy()[order], code[rank], stored["share"].to_numpy()[rank]))
-    return Tree(head, levels), found.counts
-
-
-def score_texts(docs: DataFrame) -> DataFrame:
+    now = scratch.keep(chunks(docs), "chunks-0")
+    sizes = lambda frames: (pd.DataFrame({"n": [int(_numbers(x, np.int32).sum()) for x in f["sizes"]]}) for f in frames)
+    total = now.select("sizes").mapInPandas(sizes, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets, tables = max(4, -(-total // CHUNK)), []
+    for order in range(1, depth + 2):
+        asked = now.mapInPandas(_asked(order, buckets), "bucket int, chunk long, c binary, s binary, n binary")
+        counted = asked.groupBy("bucket").applyInPandas(_counter(order), "chunk long, bucket int, bits binary, g binary, c binary, s binary, n binary")
+        counted = scratch.keep(counted, f"counted-{order}")
+        repeated = counted.filter("chunk = -1").select("g", "c", "s", "n").mapInPandas(_unpacked, "g long, c long, s long, n long")
+        tables.append(scratch.keep(repeated, f"grams-{order}"))
+        told = counted.filter("chunk >= 0").select("chunk", "bucket", "bits")
+        now = scratch.keep(now.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_marker(order, buckets), _CHUNKS), f"chunks-{order}")
+        scratch.drop(f"chunks-{order - 1}", f"counted-{order}")
+    return now, tables, buckets
+
+
+def _with(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of table but its g, where g is the row's `key`."""
+    return rows.join(table.withColumnRenamed("g", "_g"), F.col(key) == F.col("_g"), "left").drop("_g")
+
+
+def level(grams: DataFrame, shorter: DataFrame, scratch: Scratch, name: str, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame]:
+    """(g, c, s, n) of an order and (g, n, p) of the one below to ((g, n, p, v), states (g, rest)).
+
+    p is an n-gram's probability behind its longest state, v what it adds to a text's log10 probability.
+    """
+    given = _with(grams, shorter.select("g", F.col("n").alias("total")), "c")
+    given = scratch.keep(_with(given, shorter.select("g", F.col("p").alias("below")), "s"), f"{name}-given")
+    share = (F.col("n") - discount) / F.col("total")
+    sums = given.groupBy("c").agg(F.sum(share).alias("shares"), F.sum("n").alias("seen"), F.count("*").alias("stored"), F.first("total").alias("total"))
+    sums = scratch.keep(sums.select(F.col("c").alias("g"), (1 - F.col("shares")).alias("rest"), "seen", "stored"), f"{name}-rests")
+    tested = scratch.keep(_with(given, sums, "c").withColumn("share", share), f"{name}-tested")
+    gain = F.sum(F.col("n") * F.log(F.col("share") / F.col("below") + F.col("rest"))) + (F.first("total") - F.first("seen")) * F.log(F.first("rest"))
+    good = gain > 0.5 * F.log(F.first("total")) * F.first("stored")
+    states = tested.groupBy(F.col("c").alias("g")).agg(F.first("rest").alias("rest"), good.alias("good")).filter("good").drop("good")
+    states = scratch.keep(states, f"{name}-states")
+    scratch.drop(f"{name}-given", f"{name}-rests")
+    stored = _with(tested.drop("rest"), states, "c")
+    p = F.col("share") + F.col("rest") * F.col("below")
+    out = stored.select("g", "n", F.coalesce(p, F.col("below")).alias("p"), F.coalesce(F.log10(p / (F.col("rest") * F.col("below"))), F.lit(0.0)).alias("v"))
+    out = scratch.keep(out, f"{name}-probabilities")
+    scratch.drop(f"{name}-tested")
+    return out, states
+
+
+def values(tables: list[DataFrame], scratch: Scratch) -> tuple[list[DataFrame], int, int]:
+    """Tables (g, n, v) by order, the number of training tokens, and of different ones."""
+    whole = tables[0].agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    chance: Column = (F.col("n") + 1) / F.lit(float(whole.n + whole.v + 1))
+    shorter, out = tables[0].select("g", "n", chance.alias("p"), F.lit(0.0).alias("v")), []
+    for order in range(2, len(tables) + 2):
+        longer, states = level(tables[order - 1], shorter, scratch, f"level-{order}") if order <= len(tables) else (None, None)
+        own = shorter if states is None else _with(shorter, states.select("g", F.log10("rest").alias("left")), "g").withColumn("v", F.col("v") + F.coalesce("left", F.lit(0.0)))
+        own = own.select("g", "n", "v")
+        out.append(scratch.keep(own if order == 2 else own.filter("v <> 0"), f"values-{order - 1}"))
+        scratch.drop(f"grams-{order - 1}", f"level-{order - 1}-probabilities", f"level-{order}-states")
+        shorter = longer
+    return out, int(whole.n), int(whole.v)
+
+
+def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """A row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null texts are empty: their only token is the end. With no training text all counts are 0, and probabilities are
-    those of add-one smoothing. Repeated rows count as often as they stand and get equal results. Other columns are not
-    read.
+    those of add-one smoothing. Repeated rows count as often as they stand and get equal results. Very long texts are read
+    whole. No order among rows matters, so there are no ties. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "suffixtree")
-    found = count_states(docs, scratch)
-    (one, after_one), (two, after_two) = found.levels
-    given = hashed(docs)
-    # each different window is looked up once, whatever the number of its places
-    windows = _looked_up(grams(given).distinct(), one.withColumnRenamed("rest", "rest1"), {"one": "one"})
-    windows = _looked_up(windows, after_one.withColumnRenamed("share", "share1"), {"one": "one", "sym": "sym"})
-    windows = _looked_up(windows, two.withColumnRenamed("rest", "rest2"), {"two": "two", "one": "one"})
-    windows = _looked_up(windows, after_two.withColumnRenamed("share", "share2"), {"two": "two", "one": "one", "sym": "sym"})
-    windows = _looked_up(windows, found.counts, {"token": "sym"})
-    zero, whole = F.lit(0.0), F.lit(1.0)
-    chance, rest2 = found.chance(F.coalesce("n", F.lit(0))), F.coalesce("rest2", whole)
-    own = F.coalesce("share2", zero) + rest2 * F.coalesce("share1", zero)
-    value = F.log10(own + rest2 * F.coalesce("rest1", whole) * chance)
-    priced = windows.select("two", "one", "sym", F.col("n").isNotNull().cast("long").alias("known"), F.log10(chance).alias("base"), value.alias("value"))
-    priced = scratch.keep(priced, "windows")
-    places = _looked_up(grams(given.dropDuplicates(["key"]), "key"), priced, {c: c for c in ("two", "one", "sym")}, "inner")
-    sums = places.groupBy(F.col("key").alias("_k")).agg(F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("value").alias("score"))
-    rows = given.select("doc_id", "key", "held_out", (F.size("w") + 1).cast("long").alias("n_tokens"))
-    joined = rows.join(scratch.keep(sums, "sums"), F.col("key") == F.col("_k"))
-    return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(found.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    now, tables, buckets = count(docs, scratch, depth)
+    priced, tokens, distinct = values(tables, scratch)
+    told = None
+    for order, table in enumerate(priced, 1):
+        wanted = now.mapInPandas(_wanted(order, buckets), "bucket int, chunk long, g binary")
+        held = table.mapInPandas(_values(buckets), "bucket int, g binary, n binary, v binary")
+        answers = wanted.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(_answerer(order), "chunk long, bucket int, k int, n binary, v binary")
+        answers = scratch.keep(answers, f"answers-{order}")
+        scratch.drop(f"values-{order}")
+        told = answers if told is None else told.unionByName(answers)
+    scored = now.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(
+        _scorer(len(priced), buckets, tokens, distinct), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    )
+    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
