@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-import xxhash
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,14 +54,28 @@ def uniform(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, as bytes; a bounded number is remembered."""
+#: Bits of the largest bitmap, as a power of two: 16 MB.
+MOST_BITS = 27
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
+
+def bitmap(table: DataFrame, key: Column) -> bytes:
+    """A bitmap of the keys' low bits, 16 bits a key up to 2 ** MOST_BITS: it is bounded, and has() misses none of them.
+
+    Others pass by chance, more of them where keys fill a bitmap of the greatest size; callers check again by a join.
+    """
+    size = min(MOST_BITS, max(15, (16 * table.count()).bit_length()))
+    place = key.bitwiseAND(F.lit((1 << size) - 1)) + 1
+    parts = table.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m"))
+    out = bytearray(1 << (size - 3))
+    for row in parts.toLocalIterator():
+        out[(row.b - 1) * 4096 : row.b * 4096] = row.m
+    return bytes(out)
+
+
+def has(bits: bytes, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys may be in a bitmap."""
+    at = keys & np.int64(len(bits) * 8 - 1)
+    return (np.frombuffer(bits, dtype=np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 class Scratch:

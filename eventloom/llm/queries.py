@@ -31,7 +31,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("key")
+    return unit_dedup.report(table(spark, sf_dir, "documents")).drop("key")
 
 
 def op7_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
