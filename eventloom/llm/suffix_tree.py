@@ -2,10 +2,11 @@
 
 The root holds the counts of all training tokens with add-one smoothing. A context of one to `depth` words that occurs
 LEAST times, and a symbol that follows it LEAST times, count at any size of the corpus. A context is a state if its
-next-symbol distribution differs enough from its parent's: the log likelihood that it gains on the training tokens must
-exceed 0.5 ln N(context) for each symbol that it stores. Stored probabilities are discounted, and the rest of the mass goes
-to the parent's distribution, so every state's distribution sums to 1. A token is scored in the longest suffix of its past
-that is a state; suffixes in between that are none pass the parent's distribution on.
+next-symbol distribution diverges enough from its parent's: the training tokens' Kullback-Leibler divergence, over the
+symbols that it stores and the rest taken together, times their number must exceed 0.5 ln N(context) for each stored symbol.
+Stored probabilities are discounted, and the rest of the mass goes to the parent's distribution, so every state's distribution
+sums to 1. A token is scored in the longest suffix of its past that is a state; suffixes in between that are none pass the
+parent's distribution on.
 
 As P(symbol | state) = share + rest * P(symbol | parent), a text's log probability is a sum over its n-grams: of the root's
 log probability, log rest of every state met, and log(1 + share / (rest * below)) of every symbol stored there. So n-grams
@@ -13,8 +14,9 @@ need values, not a tree that anyone holds.
 
 Texts are cut into chunks of about CHUNK tokens, written once. For each order a chunk sends its different n-grams, packed, to
 buckets by their hash; a bucket counts them, keeps the repeated ones and tells each chunk which these are. Only n-grams
-whose both shorter parts are repeated go on to the next order, so nothing repeated is missed. A frequent n-gram is sent
-once by a chunk, so none makes a bucket large. Tests of contexts are grouped aggregations and joins over repeated n-grams.
+whose both shorter parts are repeated go on to the next order, so nothing repeated is missed. Buckets ask those of the order
+below for counts and probabilities, and send sums by context to the contexts' buckets, which test them. A chunk or bucket
+sends a frequent n-gram or context once, so none makes another bucket large.
 """
 
 from __future__ import annotations
@@ -23,13 +25,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Scratch, WordHashes, doc_crc
+from eventloom.llm.common import Scratch, doc_crc
+from eventloom.llm.textscan import Words, batches, distinct
 
 DEPTH = 3
 LEAST = 2
@@ -37,9 +39,12 @@ DISCOUNT = 0.75
 #: Tokens of a chunk, and n-grams that a bucket gets about.
 CHUNK = 1 << 20
 
-#: No word holds a blank, so this hash stands for the end of a text.
-END = xxhash.xxh64_intdigest(b" ")
+#: Bytes to numbers: white space parts words, capital letters of ASCII are small ones.
+_TABLE = np.array([0 if b == 32 or 9 <= b <= 13 else b + 33 if 65 <= b <= 90 else b + 1 for b in range(256)], dtype=np.uint16)
+#: The key that stands for the end of a text.
+END = np.uint64(1)
 _CHUNKS = "chunk long, ids array<string>, held binary, sizes binary, words binary, codes binary, masks array<binary>"
+_GRAMS = "bucket int, g binary, c binary, s binary, n binary"
 
 
 def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -68,28 +73,47 @@ def _slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
         yield int(at[start]), slice(int(start), int(stop))
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers as their different ones and short codes, where that is shorter."""
+    every, _, codes = distinct(numbers)
+    codes = codes.astype(np.min_scalar_type(max(len(every) - 1, 0)))
+    if 8 * len(every) + codes.nbytes + 8 >= numbers.nbytes:
+        return bytes(8) + numbers.tobytes()
+    return np.int64(len(every)).tobytes() + every.tobytes() + codes.tobytes()
+
+
+def _unpacked(blob: bytes, size: int) -> np.ndarray:
+    """The `size` numbers of a packed blob."""
+    if not (n := int(np.frombuffer(blob, np.int64, 1)[0])):
+        return np.frombuffer(blob, np.uint64, offset=8)
+    kind = np.min_scalar_type(max(n - 1, 0))
+    return np.frombuffer(blob, np.uint64, n, 8)[np.frombuffer(blob, kind, size, 8 + 8 * n)]
+
+
 def _chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(doc_id, held_out, text) to rows of _CHUNKS; a text that is longer than a chunk is one."""
-    known, packer, number = WordHashes(), zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32
-    ids, held, texts, n = [], [], [], 0
+    packer, number = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32
+    ids, held, sizes, keys, n = [], [], [], [], 0
 
     def packed() -> pd.DataFrame:
-        words, codes = np.unique(np.concatenate(texts), return_inverse=True)
-        sizes = np.array([len(x) for x in texts], dtype=np.int32)
-        row = (number, ids, np.array(held, dtype=np.uint8).tobytes(), sizes.tobytes(), words.tobytes(), packer.compress(codes.astype(np.int32).tobytes()), [])
+        words, _, codes = distinct(np.concatenate(keys))
+        row = (number, ids, np.array(held, dtype=np.uint8).tobytes(), np.concatenate(sizes).astype(np.int32).tobytes(), words.tobytes(), packer.compress(codes.astype(np.int32).tobytes()), [])
         return pd.DataFrame([row], columns=["chunk", "ids", "held", "sizes", "words", "codes", "masks"])
 
     for frame in frames:
-        for doc_id, out, text in zip(frame["doc_id"], frame["held_out"], frame["text"], strict=True):
-            words = [known[w] for w in text.encode("utf-8", "surrogatepass").lower().split()]
-            words.append(END)
-            ids.append(doc_id)
-            held.append(out)
-            texts.append(np.array(words, dtype=np.uint64))
-            n += len(words)
+        for begin, texts in batches(frame["text"]):
+            found = Words(texts, table=_TABLE)
+            size = np.bincount(found.row, minlength=len(texts)) + 1
+            tokens = np.full(int(size.sum()), END)
+            tokens[np.arange(len(found.row)) + found.row] = found.hash
+            ids += list(frame["doc_id"].iloc[begin : begin + len(texts)])
+            held += list(frame["held_out"].iloc[begin : begin + len(texts)])
+            sizes.append(size)
+            keys.append(tokens)
+            n += len(tokens)
             if n >= CHUNK:
                 yield packed()
-                ids, held, texts, n, number = [], [], [], 0, number + 1
+                ids, held, sizes, keys, n, number = [], [], [], [], 0, number + 1
     if ids:
         yield packed()
 
@@ -121,18 +145,19 @@ class _Tokens:
 
 
 def _asked(order: int, buckets: int) -> Callable:
-    """Chunks to (bucket, chunk, c, s, n): the different n-grams by context and suffix, with their count in training texts."""
+    """Chunks to (bucket, chunk, size, c, s, n): the different n-grams by context and suffix, with their count in training texts."""
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
                 tokens = _Tokens(row)
                 at, keys, contexts, suffixes = tokens.grams(order)
-                every, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-                n = np.bincount(inverse, weights=tokens.train[at], minlength=len(every)).astype(np.uint32)
+                every, first, number = distinct(keys)
+                n = np.bincount(number, weights=tokens.train[at], minlength=len(every)).astype(np.uint64)
                 c, s = contexts[first], suffixes[first]
-                rows = [(b, row.chunk, c[x].tobytes(), s[x].tobytes() if order > 1 else b"", n[x].tobytes()) for b, x in _slices(every, buckets)]
-                yield pd.DataFrame(rows, columns=["bucket", "chunk", "c", "s", "n"])
+                pack = (lambda x: x.tobytes()) if order == 1 else _packed
+                rows = [(b, row.chunk, x.stop - x.start, pack(c[x]), pack(s[x]) if order > 1 else b"", _packed(n[x])) for b, x in _slices(every, buckets)]
+                yield pd.DataFrame(rows, columns=["bucket", "chunk", "size", "c", "s", "n"])
 
     return ask
 
@@ -141,27 +166,23 @@ def _counter(order: int) -> Callable:
     """A bucket's asked n-grams to what each chunk is told (chunk, bucket, bits) and the repeated ones, where chunk is -1."""
 
     def count(asked: pd.DataFrame) -> pd.DataFrame:
-        c, s, n = (_numbers(b"".join(asked[x]), kind) for x, kind in (("c", np.uint64), ("s", np.uint64), ("n", np.uint32)))
-        keys = joined(c, s) if order > 1 else c
-        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        total = np.bincount(inverse, weights=n, minlength=len(first)).astype(np.int64)
-        told = np.split((total >= LEAST)[inverse], np.cumsum([len(x) // 8 for x in asked["c"]])[:-1])
+        sizes = asked["size"].to_numpy()
+        all_of = lambda x: np.concatenate([_unpacked(b, n) for b, n in zip(asked[x], sizes, strict=True)])
+        n = all_of("n")
+        c, s = (all_of("c"), all_of("s")) if order > 1 else (_numbers(b"".join(asked["c"])),) * 2
+        every, first, number = distinct(joined(c, s) if order > 1 else c)
+        total = np.bincount(number, weights=n, minlength=len(every)).astype(np.int64)
+        told = np.split((total >= LEAST)[number], np.cumsum(sizes)[:-1])
         bucket = int(asked["bucket"].iloc[0])
         rows = [(int(x), bucket, np.packbits(bits).tobytes(), None, None, None, None) for x, bits in zip(asked["chunk"], told, strict=True)]
         kept = np.flatnonzero(total >= (LEAST if order > 1 else 1))
         at = first[kept]
-        rows.append((-1, bucket, None, keys[at].tobytes(), c[at].tobytes(), (s if order > 1 else c)[at].tobytes(), total[kept].tobytes()))
+        rows.append((-1, bucket, None, every[kept].tobytes(), c[at].tobytes(), s[at].tobytes(), total[kept].tobytes()))
         return pd.DataFrame(rows, columns=["chunk", "bucket", "bits", "g", "c", "s", "n"])
 
     return count
 
 
-def _unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for row in frame.itertuples():
-            yield pd.DataFrame({x: _numbers(getattr(row, x), np.int64) for x in "gcsn"})
-
-
 def _marker(order: int, buckets: int) -> Callable:
     """A chunk and what buckets tell it to the chunk with one mask more."""
 
@@ -171,12 +192,12 @@ def _marker(order: int, buckets: int) -> Callable:
         row = next(chunk.itertuples())
         tokens, bits = _Tokens(row), dict(zip(told["bucket"], told["bits"], strict=True))
         at, keys, _, _ = tokens.grams(order)
-        every, inverse = np.unique(keys, return_inverse=True)
+        every, _, number = distinct(keys)
         known = np.zeros(len(every), dtype=bool)
         for b, x in _slices(every, buckets):
             known[x] = np.unpackbits(_numbers(bits[b], np.uint8), count=x.stop - x.start)
         mask = np.zeros(len(tokens.keys), dtype=bool)
-        mask[at] = known[inverse]
+        mask[at] = known[number]
         return chunk.assign(masks=[[*row.masks, np.packbits(mask).tobytes()]])
 
     return mark
@@ -188,45 +209,141 @@ def _wanted(order: int, buckets: int) -> Callable:
     def want(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                every = np.unique(_Tokens(row).grams(order, known=True)[1])
+                every = distinct(_Tokens(row).grams(order, known=True)[1])[0]
                 yield pd.DataFrame([(b, row.chunk, every[x].tobytes()) for b, x in _slices(every, buckets)], columns=["bucket", "chunk", "g"])
 
     return want
 
 
-def _values(buckets: int) -> Callable:
-    """(g, n, v) to (bucket, g, n, v) of packed numbers."""
+def _looked(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values of the wanted among sorted keys, 0 where one is not there."""
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0).astype(values.dtype)
+
+
+def _asking(buckets: int) -> Callable:
+    """A bucket's n-grams to (to, bucket, kind, keys): its different contexts, kind 0, and suffixes, kind 1."""
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                for kind, blob in ((0, row.c), (1, row.s)):
+                    every = distinct(_numbers(blob))[0]
+                    yield pd.DataFrame([(b, row.bucket, kind, every[x].tobytes()) for b, x in _slices(every, buckets)], columns=["to", "bucket", "kind", "keys"])
+
+    return ask
+
+
+def _telling(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """(bucket, to, kind, told): counts of contexts and probabilities of suffixes."""
+    g, n, p = (_numbers(b"".join(held[x]), kind) for x, kind in (("g", np.uint64), ("n", np.int64), ("p", np.float64)))
+    rows = [(r.bucket, r.to, r.kind, _looked(g, _numbers(r.keys), p if r.kind else n).tobytes()) for r in asked.itertuples()]
+    return pd.DataFrame(rows, columns=["bucket", "to", "kind", "told"])
+
+
+def _gathered(told: pd.DataFrame, kind: int) -> bytes:
+    """The answers of one kind, in the order of their buckets and so of the sorted keys."""
+    part = told[told["kind"] == kind]
+    return b"".join(part.sort_values("to")["told"])
+
+
+def _given(grams: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's n-grams with their context's count and their probability behind the parent of the context."""
+    if grams.empty:
+        return pd.DataFrame(columns=["bucket", "g", "c", "n", "total", "below"])
+    row = next(grams.itertuples())
+    total = _numbers(_gathered(told, 0), np.int64)[distinct(_numbers(row.c))[2]]
+    below = _numbers(_gathered(told, 1), np.float64)[distinct(_numbers(row.s))[2]]
+    return pd.DataFrame([(row.bucket, row.g, row.c, row.n, total.tobytes(), below.tobytes())], columns=["bucket", "g", "c", "n", "total", "below"])
+
+
+_SUMS = ("share", "seen", "stored", "below", "gain", "total")
+
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _summing(buckets: int) -> Callable:
+    """A bucket's n-grams to (to, bucket, c, sums): what its different contexts add up to."""
+
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                n, total, below = (_numbers(x, kind) for x, kind in ((row.n, np.int64), (row.total, np.int64), (row.below, np.float64)))
+                every, first, number = distinct(_numbers(row.c))
+                add = lambda x: np.bincount(number, weights=x, minlength=len(every))  # noqa: B023, E731
+                sums = np.stack((add((n - DISCOUNT) / total), add(n), add(np.ones(len(n))), add(below), add(n * np.log(n / (total * below))), total[first].astype(float)), axis=1)
+                yield pd.DataFrame([(b, row.bucket, every[x].tobytes(), sums[x].tobytes()) for b, x in _slices(every, buckets)], columns=["to", "bucket", "c", "sums"])
+
+    return send
+
+
+def _test(sent: pd.DataFrame) -> pd.DataFrame:
+    """Contexts' sums to (bucket, to, kind, told): rest, or 0 for no state, to each sender; and to the bucket itself, kind -1, states."""
+    c, sums = _numbers(b"".join(sent["c"])), _numbers(b"".join(sent["sums"]), np.float64).reshape(-1, len(_SUMS))
+    every, first, number = distinct(c)
+    share, seen, stored, below, gain = (np.bincount(number, weights=sums[:, i], minlength=len(every)) for i in range(5))
+    total = sums[first, 5]
+    left = np.maximum(total - seen, 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = gain + np.where(left > 0, left * np.log(left / total / np.maximum(1 - below, 1e-12)), 0.0)
+    good = gain > 0.5 * np.log(total) * stored
+    rest = np.where(good, 1 - share, 0.0)
+    told = np.split(rest[number], np.cumsum([len(x) // 8 for x in sent["c"]])[:-1])
+    to = int(sent["to"].iloc[0])
+    rows = [(int(b), to, 0, x.tobytes(), b"") for b, x in zip(sent["bucket"], told, strict=True)]
+    rows.append((to, to, -1, np.log10(rest[good]).tobytes(), every[good].tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "to", "kind", "told", "keys"])
+
+
+def _priced(given: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's n-grams to (bucket, g, n, p, v): p behind the longest state, v what one adds to a text's log10 probability."""
+    if given.empty:
+        return pd.DataFrame(columns=["bucket", "g", "n", "p", "v"])
+    row = next(given.itertuples())
+    n, total, below = (_numbers(x, kind) for x, kind in ((row.n, np.int64), (row.total, np.int64), (row.below, np.float64)))
+    rest = _numbers(_gathered(told, 0), np.float64)[distinct(_numbers(row.c))[2]]
+    state = rest > 0
+    p = np.where(state, (n - DISCOUNT) / total + rest * below, below)
+    v = np.log10(p / np.where(state, rest * below, below))
+    return pd.DataFrame([(row.bucket, row.g, row.n, p.tobytes(), v.tobytes())], columns=["bucket", "g", "n", "p", "v"])
+
+
+def _first(size: float) -> Callable:
+    """Words and their counts to (bucket, g, n, p, v) at the root."""
+
+    def price(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            g = frame["g"].to_numpy(np.int64).view(np.uint64)
-            order = np.argsort(g)
-            g, n, v = g[order], frame["n"].to_numpy(np.int64)[order], frame["v"].to_numpy(np.float32)[order]
-            yield pd.DataFrame([(b, g[x].tobytes(), n[x].tobytes(), v[x].tobytes()) for b, x in _slices(g, buckets)], columns=["bucket", "g", "n", "v"])
+            for row in frame.itertuples():
+                n = _numbers(row.n, np.int64)
+                yield pd.DataFrame([(row.bucket, row.g, row.n, ((n + 1) / size).tobytes(), np.zeros(len(n)).tobytes())], columns=["bucket", "g", "n", "p", "v"])
 
-    return pack
+    return price
 
 
 def _answerer(order: int) -> Callable:
-    """What chunks want from a bucket and what it has to (chunk, bucket, k, n, v); 0 for what it has not."""
+    """What chunks want from a bucket and what it has to (chunk, bucket, k, n, v); 0 for what it has not.
+
+    It has (kind, g, n, v) of n-grams, kind 0, and of those that are states, kind 1.
+    """
 
     def answer(wanted: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        g, n, v = (_numbers(b"".join(held[x]), kind) for x, kind in (("g", np.uint64), ("n", np.int64), ("v", np.float32)))
-        rank = np.argsort(g)
-        g, n, v = g[rank], n[rank], v[rank]
+        values = []
+        for kind in (0, 1):
+            part = held[held["kind"] == kind]
+            g, n, v = (_numbers(b"".join(part[x]), as_) for x, as_ in (("g", np.uint64), ("n", np.int64), ("v", np.float64)))
+            values.append((g, n, v))
         rows = []
         for row in wanted.itertuples():
             asked = _numbers(row.g)
-            at = np.minimum(np.searchsorted(g, asked), max(len(g) - 1, 0))
-            there = g[at] == asked if len(g) else np.zeros(len(asked), dtype=bool)
-            pick = lambda x: np.where(there, x[at], 0).astype(x.dtype) if len(g) else np.zeros(len(asked), x.dtype)  # noqa: B023, E731
-            rows.append((row.chunk, row.bucket, order, pick(n).tobytes() if order == 1 else b"", pick(v).tobytes()))
+            v = sum(_looked(g, asked, v) for g, _, v in values)
+            n = _looked(*[values[0][0], asked, values[0][1]]).tobytes() if order == 1 else b""
+            rows.append((row.chunk, row.bucket, order, n, v.astype(np.float32).tobytes()))
         return pd.DataFrame(rows, columns=["chunk", "bucket", "k", "n", "v"])
 
     return answer
 
 
-def _scorer(orders: int, buckets: int, tokens: int, distinct: int) -> Callable:
+def _scorer(orders: int, buckets: int, tokens: int, words: int) -> Callable:
     """A chunk and its answers to a row for each of its texts."""
 
     def score(chunk: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
@@ -234,17 +351,17 @@ def _scorer(orders: int, buckets: int, tokens: int, distinct: int) -> Callable:
         if chunk.empty:
             return pd.DataFrame(columns=names)
         row = next(chunk.itertuples())
-        own, size = _Tokens(row), float(tokens + distinct + 1)
+        own, size = _Tokens(row), float(tokens + words + 1)
         found = {(k, b): (n, v) for k, b, n, v in zip(told["k"], told["bucket"], told["n"], told["v"], strict=True)}
         total = np.zeros(len(own.keys))
         for k in range(1, orders + 1):
             at, keys, _, _ = own.grams(k, known=True)
-            every, inverse = np.unique(keys, return_inverse=True)
+            every, _, number = distinct(keys)
             parts = [found[k, b] for b, _ in _slices(every, buckets)]
             if k == 1:
-                n = _numbers(b"".join(x[0] for x in parts), np.int64)[inverse]
+                n = _numbers(b"".join(x[0] for x in parts), np.int64)[number]
                 base = np.log10((n + 1) / size)
-            total[at] += _numbers(b"".join(x[1] for x in parts), np.float32)[inverse].astype(float)
+            total[at] += _numbers(b"".join(x[1] for x in parts), np.float32)[number].astype(float)
         sums = lambda x: np.add.reduceat(x, own.starts)
         held = _numbers(row.held, np.uint8).astype(bool)
         columns = (list(row.ids), held, own.sizes.astype(np.int64), sums((n > 0).astype(np.int64)), sums(base), sums(base + total))
@@ -261,69 +378,43 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def count(docs: DataFrame, scratch: Scratch, depth: int) -> tuple[DataFrame, list[DataFrame], int]:
-    """(chunks with their masks, tables (g, c, s, n) by order, buckets).
+    """(chunks with their masks, tables of _GRAMS by order, buckets).
 
-    g is an n-gram's key, c and s those of its first and last words, n its count in training texts: of all words, and of
-    longer n-grams with LEAST of them.
+    A bucket's row packs its n-grams: their keys g in order, those of their first and last words c and s, and their counts n
+    in training texts; of all words, and of longer n-grams with LEAST of them.
     """
     now = scratch.keep(chunks(docs), "chunks-0")
     sizes = lambda frames: (pd.DataFrame({"n": [int(_numbers(x, np.int32).sum()) for x in f["sizes"]]}) for f in frames)
     total = now.select("sizes").mapInPandas(sizes, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets, tables = max(4, -(-total // CHUNK)), []
     for order in range(1, depth + 2):
-        asked = now.mapInPandas(_asked(order, buckets), "bucket int, chunk long, c binary, s binary, n binary")
+        asked = now.mapInPandas(_asked(order, buckets), "bucket int, chunk long, size int, c binary, s binary, n binary")
         counted = asked.groupBy("bucket").applyInPandas(_counter(order), "chunk long, bucket int, bits binary, g binary, c binary, s binary, n binary")
         counted = scratch.keep(counted, f"counted-{order}")
-        repeated = counted.filter("chunk = -1").select("g", "c", "s", "n").mapInPandas(_unpacked, "g long, c long, s long, n long")
-        tables.append(scratch.keep(repeated, f"grams-{order}"))
+        tables.append(counted.filter("chunk = -1").select("bucket", "g", "c", "s", "n"))
         told = counted.filter("chunk >= 0").select("chunk", "bucket", "bits")
         now = scratch.keep(now.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_marker(order, buckets), _CHUNKS), f"chunks-{order}")
-        scratch.drop(f"chunks-{order - 1}", f"counted-{order}")
+        scratch.drop(f"chunks-{order - 1}")
     return now, tables, buckets
 
 
-def _with(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """rows with the columns of table but its g, where g is the row's `key`."""
-    return rows.join(table.withColumnRenamed("g", "_g"), F.col(key) == F.col("_g"), "left").drop("_g")
-
-
-def level(grams: DataFrame, shorter: DataFrame, scratch: Scratch, name: str, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame]:
-    """(g, c, s, n) of an order and (g, n, p) of the one below to ((g, n, p, v), states (g, rest)).
+def level(grams: DataFrame, shorter: DataFrame, buckets: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """_GRAMS of an order and (bucket, g, n, p, v) of the one below to ((bucket, g, n, p, v), states (bucket, g, v)), all packed.
 
-    p is an n-gram's probability behind its longest state, v what it adds to a text's log10 probability.
+    p is an n-gram's probability behind its longest state, v what it, or a state, adds to a text's log10 probability.
     """
-    given = _with(grams, shorter.select("g", F.col("n").alias("total")), "c")
-    given = scratch.keep(_with(given, shorter.select("g", F.col("p").alias("below")), "s"), f"{name}-given")
-    share = (F.col("n") - discount) / F.col("total")
-    sums = given.groupBy("c").agg(F.sum(share).alias("shares"), F.sum("n").alias("seen"), F.count("*").alias("stored"), F.first("total").alias("total"))
-    sums = scratch.keep(sums.select(F.col("c").alias("g"), (1 - F.col("shares")).alias("rest"), "seen", "stored"), f"{name}-rests")
-    tested = scratch.keep(_with(given, sums, "c").withColumn("share", share), f"{name}-tested")
-    gain = F.sum(F.col("n") * F.log(F.col("share") / F.col("below") + F.col("rest"))) + (F.first("total") - F.first("seen")) * F.log(F.first("rest"))
-    good = gain > 0.5 * F.log(F.first("total")) * F.first("stored")
-    states = tested.groupBy(F.col("c").alias("g")).agg(F.first("rest").alias("rest"), good.alias("good")).filter("good").drop("good")
-    states = scratch.keep(states, f"{name}-states")
-    scratch.drop(f"{name}-given", f"{name}-rests")
-    stored = _with(tested.drop("rest"), states, "c")
-    p = F.col("share") + F.col("rest") * F.col("below")
-    out = stored.select("g", "n", F.coalesce(p, F.col("below")).alias("p"), F.coalesce(F.log10(p / (F.col("rest") * F.col("below"))), F.lit(0.0)).alias("v"))
-    out = scratch.keep(out, f"{name}-probabilities")
-    scratch.drop(f"{name}-tested")
-    return out, states
-
-
-def values(tables: list[DataFrame], scratch: Scratch) -> tuple[list[DataFrame], int, int]:
-    """Tables (g, n, v) by order, the number of training tokens, and of different ones."""
-    whole = tables[0].agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    chance: Column = (F.col("n") + 1) / F.lit(float(whole.n + whole.v + 1))
-    shorter, out = tables[0].select("g", "n", chance.alias("p"), F.lit(0.0).alias("v")), []
-    for order in range(2, len(tables) + 2):
-        longer, states = level(tables[order - 1], shorter, scratch, f"level-{order}") if order <= len(tables) else (None, None)
-        own = shorter if states is None else _with(shorter, states.select("g", F.log10("rest").alias("left")), "g").withColumn("v", F.col("v") + F.coalesce("left", F.lit(0.0)))
-        own = own.select("g", "n", "v")
-        out.append(scratch.keep(own if order == 2 else own.filter("v <> 0"), f"values-{order - 1}"))
-        scratch.drop(f"grams-{order - 1}", f"level-{order - 1}-probabilities", f"level-{order}-states")
-        shorter = longer
-    return out, int(whole.n), int(whole.v)
+    asked = grams.mapInPandas(_asking(buckets), "to int, bucket int, kind int, keys binary")
+    told = asked.groupBy("to").cogroup(shorter.groupBy("bucket")).applyInPandas(_telling, "bucket int, to int, kind int, told binary")
+    told = scratch.keep(told, f"{name}-told")
+    given = grams.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(_given, "bucket int, g binary, c binary, n binary, total binary, below binary")
+    given = scratch.keep(given, f"{name}-given")
+    scratch.drop(f"{name}-told")
+    sent = given.mapInPandas(_summing(buckets), "to int, bucket int, c binary, sums binary")
+    tested = scratch.keep(sent.groupBy("to").applyInPandas(_test, "bucket int, to int, kind int, told binary, keys binary"), f"{name}-tested")
+    out = given.groupBy("bucket").cogroup(tested.filter("kind = 0").groupBy("bucket")).applyInPandas(_priced, "bucket int, g binary, n binary, p binary, v binary")
+    out = scratch.keep(out, f"{name}-priced")
+    scratch.drop(f"{name}-given")
+    return out, tested.filter("kind = -1").select("bucket", F.col("keys").alias("g"), F.col("told").alias("v"))
 
 
 def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -335,16 +426,22 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "suffixtree")
     now, tables, buckets = count(docs, scratch, depth)
-    priced, tokens, distinct = values(tables, scratch)
-    told = None
-    for order, table in enumerate(priced, 1):
+    sizes = lambda frames: (pd.DataFrame({"v": [len(x) // 8 for x in f["n"]], "n": [int(_numbers(x, np.int64).sum()) for x in f["n"]]}) for f in frames)
+    whole = tables[0].select("n").mapInPandas(sizes, "v long, n long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "vn"]).first()
+    tokens, words = int(whole.n), int(whole.v)
+    shorter, told = tables[0].mapInPandas(_first(float(tokens + words + 1)), "bucket int, g binary, n binary, p binary, v binary"), None
+    for order in range(1, len(tables) + 1):
+        held = shorter.select(F.lit(0).alias("kind"), "bucket", "g", "n", "v")
+        if order < len(tables):
+            longer, states = level(tables[order], shorter, buckets, scratch, f"level-{order + 1}")
+            held = held.unionByName(states.select(F.lit(1).alias("kind"), "bucket", "g", F.lit(b"").alias("n"), "v"))
         wanted = now.mapInPandas(_wanted(order, buckets), "bucket int, chunk long, g binary")
-        held = table.mapInPandas(_values(buckets), "bucket int, g binary, n binary, v binary")
         answers = wanted.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(_answerer(order), "chunk long, bucket int, k int, n binary, v binary")
         answers = scratch.keep(answers, f"answers-{order}")
-        scratch.drop(f"values-{order}")
+        scratch.drop(f"counted-{order}", f"level-{order}-priced", f"level-{order + 1}-tested")
         told = answers if told is None else told.unionByName(answers)
+        shorter = longer if order < len(tables) else None
     scored = now.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(
-        _scorer(len(priced), buckets, tokens, distinct), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        _scorer(len(tables), buckets, tokens, words), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
