@@ -93,11 +93,14 @@ def link_items(
         if n <= len(finer):
             entries = scratch.keep(_rooted(finer[n - 1](rest.drop("root")), roots), f"finer-{n}")
     facts = [c for c in rest.columns if c not in ("bucket", "node", "score", "root")]
-    left = rest.select("bucket", F.col("node").alias("a"), F.col("root").alias("_r"), *[F.col(c).alias(f"a_{c}") for c in facts])
-    here = "_r <> root and a < node" + ("" if alike is None else " and fits")
-    both = left.join(rest, "bucket")
-    both = both if alike is None else both.withColumn("fits", alike({c: F.col(f"a_{c}") for c in facts}, {c: F.col(c) for c in facts}))
-    across = both.filter(here).select("a", F.col("node").alias("b")).distinct()
+    # a pair that shares several buckets is met in the least of them
+    own = rest.groupBy(F.col("node").alias("_n")).agg(F.collect_set("bucket").alias("mine"))
+    rest = scratch.keep(rest.join(own, F.col("node") == F.col("_n")).drop("_n"), "left-over")
+    left = rest.select(F.col("bucket").alias("_b"), F.col("node").alias("a"), F.col("root").alias("_r"), F.col("mine").alias("_mine"), *[F.col(c).alias(f"a_{c}") for c in facts])
+    same = (F.col("_b") == F.col("bucket")) & (F.col("_r") != F.col("root")) & (F.col("a") < F.col("node"))
+    if alike is not None:
+        same = same & alike({c: F.col(f"a_{c}") for c in facts}, {c: F.col(c) for c in facts})
+    across = left.join(rest, same & (F.array_min(F.array_intersect("_mine", "mine")) == F.col("bucket"))).select("a", F.col("node").alias("b"))
     edges = edges.unionByName(scratch.keep(verify(across), "across"))
     return edges, scratch.keep(components(edges, scratch, "last"), "roots-last")
 
