@@ -5,7 +5,13 @@ scatter of the half-or-more of the vectors whose scatter has the least determina
 steps: distances under the present estimate, the share of nearest vectors, their mean and scatter, again. Two
 deterministic starts are taken and the smaller determinant wins. Vectors far from their group's centre in Mahalanobis
 distance are rejected. All of it is grouped sums and approximate quantiles, so a group of any size is aggregated in
-parts.
+parts; estimates, a row a group, are sent to the rows.
+
+Statistics of short texts are noisy, so rates are taken over PRIOR further words that are like the language's average.
+A feature may be constant among a group's nearest vectors: most texts have no symbol at all. Its variance is then taken as
+that of the least difference that can be seen, of one count in the group's median number of words (`resolutions`); a
+larger estimate is not touched. Estimates of n vectors are shrunk towards those of their language with weight n / (n + SMALL),
+and a language's towards those of all texts likewise, so a small group has its own estimate as far as it bears one.
 """
 
 from __future__ import annotations
@@ -13,20 +19,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import BLANK, Scratch, row_key, plain_words, text_of
+from eventloom.llm.common import BLANK, Scratch, plain_words, text_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 SHARE = 0.75
 STEPS = 4
-LEAST_GROUP = 40
+#: Vectors at which an estimate weighs as much as its parent's; with fewer in all, nothing is rejected.
+SMALL = 40
+#: Words of average kind that are added to each text, and what one symbol, duplicate line and repeated window count.
+PRIOR = 50.0
+UNITS = (1.0, 1.0, 6.0)
 FEATURES = ("x0", "x1", "x2", "x3")
-#: Standard deviations under which a feature is never taken, so that a constant one does not reject all others.
-FLOORS = (0.04, 0.05, 0.25, 0.15)
-#: Of chi-square with 4 degrees of freedom: the 0.75 quantile and the one of 1 - 1e-6; fixed values.
-CHI2_SHARE, CHI2_CUT = 5.385, 33.377
+#: The least standard deviation of the mean word length's logarithm, which is no count.
+LEAST_LENGTH = 1e-3
+#: Of chi-square with 4 degrees of freedom: the 0.75 and 0.999 quantiles; fixed values.
+CHI2_SHARE, CHI2_CUT = 5.385, 18.467
 #: Share of a normal vector's variance within the nearest 75 %: chi-square(6) below CHI2_SHARE over 0.75.
 SHRINK = 0.673
+#: Estimates of up to this many groups are sent to all workers; more are joined as any table.
+MOST_SENT = 50_000
 
 
 def base_statistics(text: Column | str = "text") -> dict[str, Column]:
@@ -62,15 +74,21 @@ def repeated_words(df: DataFrame, words: str, out: str, width: int = 3) -> DataF
 
 def vector() -> list[Column]:
     """Mean word length, symbols, duplicate lines and repeated words, each per word and levelled by a logarithm or root."""
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    n = F.col("n_words") + PRIOR
     return [
-        F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n),
+        F.log((F.greatest(F.col("word_chars"), F.lit(1)) + PRIOR * F.col("usual")) / n),
         F.sqrt(F.col("n_symbols") / n),
         F.log1p(10.0 * F.col("n_dup_lines") / F.sqrt(n)),
         F.sqrt(F.col("n_repeat_words") / n),
     ]
 
 
+def resolutions(n_words: Column) -> list[Column]:
+    """What one count changes in each feature of a text of n_words words."""
+    n = n_words + PRIOR
+    return [F.lit(LEAST_LENGTH), F.sqrt(UNITS[0] / n), F.log1p(10.0 * UNITS[1] / F.sqrt(n)), F.sqrt(UNITS[2] / n)]
+
+
 def _moments(weight: Column | None = None) -> list[Column]:
     pick = (lambda c: c) if weight is None else (lambda c: F.when(weight, c))
     out = [F.avg(pick(F.col(x))).alias(f"m{i}") for i, x in enumerate(FEATURES)]
@@ -81,20 +99,29 @@ def _moments(weight: Column | None = None) -> list[Column]:
 
 
 def _scatter(params: DataFrame, shrink: float) -> DataFrame:
-    """Adds the Cholesky factor l_ij of the scatter (with floors on the diagonal) and the log determinant."""
-    out = params
+    """Corrects the scatter c_ij and takes no variance below the resolution; adds the log determinant and the factor l_ij."""
     for i in range(len(FEATURES)):
-        out = out.withColumn(f"c{i}{i}", F.coalesce(F.col(f"c{i}{i}"), F.lit(0.0)) / shrink + FLOORS[i] ** 2)
-        for j in range(i):
-            out = out.withColumn(f"c{i}{j}", F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0)) / shrink)
+        for j in range(i + 1):
+            c = F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0)) / shrink
+            params = params.withColumn(f"c{i}{j}", F.greatest(c, F.col(f"r{i}") * F.col(f"r{i}")) if i == j else c)
+    return _factored(params)
+
+
+def _factored(params: DataFrame) -> DataFrame:
+    """Adds the Cholesky factor l_ij of the scatter c_ij and its log determinant."""
+    out = params
     for i in range(len(FEATURES)):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}")
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    det = sum((F.log(F.col(f"l{i}{i}")) for i in range(len(FEATURES))), F.lit(0.0)) * 2
-    return out.withColumn("logdet", det).drop(*[f"c{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)])
+            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
+    return out.withColumn("logdet", sum((F.log(F.col(f"l{i}{i}")) for i in range(len(FEATURES))), F.lit(0.0)) * 2)
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table of a row a group, for a join that leaves the rows where they are if it is small enough."""
+    return F.broadcast(table) if table.count() <= MOST_SENT else table
 
 
 def _distance(df: DataFrame, out: str = "d2") -> DataFrame:
@@ -110,33 +137,55 @@ def _distance(df: DataFrame, out: str = "d2") -> DataFrame:
 
 
 def estimate(vectors: DataFrame, keep, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """(lang, source, x0..x3) to one row a group: lang, source, m_i, l_ij, logdet.
+    """(lang, source, x0..x3, n_words) to one row a group: lang, source, members, m_i, c_ij, l_ij, logdet.
 
-    keep(df, name) writes a table; the estimates are written after each step, as each reads the one before.
+    keep(df, name) writes a table; the estimates are written after each step, as each reads the one before. Without n_words
+    no variance is taken below LEAST_LENGTH squared.
     """
-    by = ["lang", "source"]
-    medians = vectors.groupBy(*by).agg(*[F.percentile_approx(x, 0.5, 2000).alias(f"m{i}") for i, x in enumerate(FEATURES)])
-    spread = vectors.join(medians, by).groupBy(*by, "m0", "m1", "m2", "m3").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 2000).alias(f"s{i}") for i, x in enumerate(FEATURES)])
-    k = range(len(FEATURES))
-    flat = spread.select(*by, F.lit(0).alias("start"), *[F.col(f"m{i}") for i in k], *[(F.pow(F.col(f"s{i}") * 1.4826, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in k for j in range(i + 1)])
+    by, k = ["lang", "source"], range(len(FEATURES))
+    usual = [F.percentile_approx("n_words", 0.5, 2000).alias("_n")] if "n_words" in vectors.columns else [F.lit(None).cast("long").alias("_n")]
+    medians = vectors.groupBy(*by).agg(F.count("*").alias("members"), *usual, *[F.percentile_approx(x, 0.5, 2000).alias(f"m{i}") for i, x in enumerate(FEATURES)])
+    least = [F.coalesce(r, F.lit(LEAST_LENGTH)).alias(f"r{i}") for i, r in enumerate(resolutions(F.col("_n")))]
+    medians = keep(medians.select(*by, "members", *[f"m{i}" for i in k], *least), "medians")
+    facts = _sent(medians.select(*by, *[f"r{i}" for i in k]))
+    spread = vectors.join(_sent(medians), by).groupBy(*by).agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 2000).alias(f"s{i}") for i, x in enumerate(FEATURES)])
+    flat = spread.join(medians, by).select(*by, F.lit(0).alias("start"), *[F.col(f"m{i}") for i in k], *[(F.pow(F.col(f"s{i}") * 1.4826, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in k for j in range(i + 1)])
     whole = vectors.groupBy(*by).agg(*_moments()).withColumn("start", F.lit(1))
-    params = keep(_scatter(flat.unionByName(whole), 1.0), "mcd0")
+    params = keep(_scatter(flat.unionByName(whole).join(facts, by), 1.0), "mcd0")
     for n in range(1, steps + 1):
-        near = _distance(vectors.join(params, by))
-        cut = near.groupBy(*by, "start").agg(F.percentile_approx("d2", share, 2000).alias("cut"))
-        inner = near.join(cut, [*by, "start"]).filter("d2 <= cut")
-        params = keep(_scatter(inner.groupBy(*by, "start").agg(*_moments()), SHRINK), f"mcd{n}")
+        near = _distance(vectors.join(_sent(params.drop("logdet")), by))
+        cut = keep(near.groupBy(*by, "start").agg(F.percentile_approx("d2", share, 2000).alias("cut")), f"cut{n}")
+        inner = near.join(_sent(cut), [*by, "start"]).filter("d2 <= cut")
+        params = keep(_scatter(inner.groupBy(*by, "start").agg(*_moments()).join(facts, by), SHRINK), f"mcd{n}")
     best = params.groupBy(*by).agg(F.min_by(F.struct(*[c for c in params.columns if c not in by]), F.struct("logdet", "start")).alias("b"))
-    return best.select(*by, "b.*")
+    return best.select(*by, "b.*").join(medians.select(*by, "members"), by)
+
+
+def _mixture(own: DataFrame, parent: dict[str, Column]) -> DataFrame:
+    """Estimates shrunk towards the parent's, given by name."""
+    weight = F.col("members") / (F.col("members") + SMALL)
+    return own.withColumns({c: weight * F.col(c) + (1 - weight) * x for c, x in parent.items()})
+
+
+def shrunk(params: DataFrame) -> DataFrame:
+    """(lang, source, members, m_i, c_ij) of groups, of languages (source *) and of all (lang *) to those of groups, with factors."""
+    names = [c for c in params.columns if c[0] in "mc" and c[1:].isdigit()]
+    whole = params.filter("lang = '*'").first()
+    if whole is None or whole.members < SMALL:
+        return _factored(params.select("lang", "source", "members", *names).limit(0))
+    languages = _mixture(params.filter("lang <> '*' and source = '*'").select("lang", "members", *names), {c: F.lit(whole[c]) for c in names})
+    languages = languages.select(F.col("lang").alias("_l"), *[F.col(c).alias(f"_{c}") for c in names])
+    own = params.filter("source <> '*'").select("lang", "source", "members", *names).join(languages, F.col("lang") == F.col("_l"))
+    return _factored(_mixture(own, {c: F.col(f"_{c}") for c in names}).select("lang", "source", "members", *names))
 
 
 def judge(docs: DataFrame, cut: float = CHI2_CUT) -> DataFrame:
     """A row for each row of docs: doc_id, n_words, the four statistics, base_failed, kept, distance.
 
     Fails at once: under MIN_WORDS words, or more than half the words in repeated three-word windows; null texts have no
-    words. The others vote in their language and source; groups of fewer than LEAST_GROUP such rows are joined by
-    language, then all together, and if even those are fewer nothing is rejected (distance null). Null languages and
-    sources are groups of their own. Repeated rows count as often as they stand. Other columns are not read.
+    words. The others vote in their language and source; if there are fewer than SMALL of them in all, nothing is rejected
+    (distance null). Null languages and sources are groups of their own. Repeated rows count as often as they stand. Very long
+    texts are read whole. Vectors at the same distance as the last of a share all belong to it. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "outliers")
     t = docs.select(
@@ -147,25 +196,15 @@ def judge(docs: DataFrame, cut: float = CHI2_CUT) -> DataFrame:
     )
     t = repeated_words(t, "w", "n_repeat_words").withColumn("n_words", F.size("w").cast("long")).drop("w")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    t = t.withColumn("base_failed", failed).withColumns(dict(zip(FEATURES, vector())))
+    t = scratch.keep(t.withColumn("base_failed", failed), "counted")
+    usual = t.filter("not base_failed").groupBy("lang").agg((F.sum("word_chars") / F.sum("n_words")).alias("usual"))
+    t = t.join(_sent(scratch.keep(usual, "usual")), "lang", "left").withColumns(dict(zip(FEATURES, vector())))
     t = scratch.keep(t, "statistics")
-    good = t.filter("not base_failed")
-    sizes = good.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang = sizes.filter(F.col("n") < LEAST_GROUP).groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    group = sizes.join(by_lang, "lang", "left").select(
-        "lang",
-        "source",
-        F.when(F.col("n") >= LEAST_GROUP, F.struct("lang", "source"))
-        .when(F.col("n_lang") >= LEAST_GROUP, F.struct(F.col("lang").alias("lang"), F.lit("*").alias("source")))
-        .otherwise(F.struct(F.lit("*").alias("lang"), F.lit("*").alias("source")))
-        .alias("g"),
-    )
-    group = scratch.keep(group, "groups")
-    grouped = good.join(group, ["lang", "source"])
-    vectors = scratch.keep(grouped.select("g.lang", "g.source", *FEATURES), "vectors")
-    params = estimate(vectors, scratch.keep).join(vectors.groupBy("lang", "source").agg(F.count("*").alias("members")), ["lang", "source"]).filter(F.col("members") >= LEAST_GROUP)
-    params = scratch.keep(params.withColumnRenamed("lang", "_gl").withColumnRenamed("source", "_gs"), "params")
-    marked = _distance(t.join(group, ["lang", "source"], "left").join(params, (F.col("g.lang") == F.col("_gl")) & (F.col("g.source") == F.col("_gs")), "left"), "distance")
+    groups = F.array(F.struct("lang", "source"), F.struct(F.col("lang"), F.lit("*").alias("source")), F.struct(F.lit("*").alias("lang"), F.lit("*").alias("source")))
+    vectors = t.filter("not base_failed").select(F.explode(groups).alias("g"), "n_words", *FEATURES).select("g.lang", "g.source", "n_words", *FEATURES)
+    params = scratch.keep(estimate(scratch.keep(vectors, "vectors"), scratch.keep), "estimates")
+    params = _sent(scratch.keep(shrunk(params).drop("members", "logdet"), "shrunk"))
+    marked = _distance(t.join(params, ["lang", "source"], "left"), "distance")
     return marked.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))).alias("kept"),
