@@ -2,10 +2,9 @@
 
 The root holds the counts of all training tokens with add-one smoothing. A context of one to `depth` words that occurs
 LEAST times, and a symbol that follows it LEAST times, count at any size of the corpus. A context is a state if its
-next-symbol distribution diverges enough from its parent's: the training tokens' Kullback-Leibler divergence, over the
-symbols that it stores and the rest taken together, times their number must exceed 0.5 ln N(context) for each stored symbol.
-Stored probabilities are discounted, and the rest of the mass goes to the parent's distribution, so every state's distribution
-sums to 1. A token is scored in the longest suffix of its past that is a state; suffixes in between that are none pass the
+next-symbol distribution diverges enough from its parent's: the log likelihood that the training tokens gain by its stored,
+discounted probabilities, less what the others lose, must exceed 0.5 ln N(context) for each stored symbol. The rest of the mass
+goes to the parent's distribution, so every state's distribution sums to 1. A token is scored in the longest suffix of its past that is a state; suffixes in between that are none pass the
 parent's distribution on.
 
 As P(symbol | state) = share + rest * P(symbol | parent), a text's log probability is a sum over its n-grams: of the root's
@@ -22,6 +21,7 @@ sends a frequent n-gram or context once, so none makes another bucket large.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import Scratch, doc_crc
-from eventloom.llm.textscan import Words, batches, distinct
+from eventloom.llm.textscan import Words, batches, distinct, opened
 
 DEPTH = 3
 LEAST = 2
@@ -50,10 +50,16 @@ _GRAMS = "bucket int, g binary, c binary, s binary, n binary"
 def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     """The key of an n-gram from those of its first n - 1 and its last n - 1 words."""
     with np.errstate(over="ignore"):
-        x = (context ^ (context >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + suffix
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        x = context * np.uint64(0x9E3779B97F4A7C15)
+        x += suffix * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        return x
+
+
+def _columns(kinds: str) -> list[str]:
+    return [x.split()[0] for x in kinds.split(", ")]
 
 
 def _numbers(blob: bytes, kind=np.uint64) -> np.ndarray:
@@ -73,23 +79,6 @@ def _slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
         yield int(at[start]), slice(int(start), int(stop))
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """64-bit numbers as their different ones and short codes, where that is shorter."""
-    every, _, codes = distinct(numbers)
-    codes = codes.astype(np.min_scalar_type(max(len(every) - 1, 0)))
-    if 8 * len(every) + codes.nbytes + 8 >= numbers.nbytes:
-        return bytes(8) + numbers.tobytes()
-    return np.int64(len(every)).tobytes() + every.tobytes() + codes.tobytes()
-
-
-def _unpacked(blob: bytes, size: int) -> np.ndarray:
-    """The `size` numbers of a packed blob."""
-    if not (n := int(np.frombuffer(blob, np.int64, 1)[0])):
-        return np.frombuffer(blob, np.uint64, offset=8)
-    kind = np.min_scalar_type(max(n - 1, 0))
-    return np.frombuffer(blob, np.uint64, n, 8)[np.frombuffer(blob, kind, size, 8 + 8 * n)]
-
-
 def _chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(doc_id, held_out, text) to rows of _CHUNKS; a text that is longer than a chunk is one."""
     packer, number = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32
@@ -122,94 +111,136 @@ class _Tokens:
     """A chunk's tokens, and its n-grams by the place of their last token."""
 
     def __init__(self, row):
-        self.sizes = _numbers(row.sizes, np.int32)
-        self.keys = _numbers(row.words)[_numbers(zstandard.ZstdDecompressor().decompress(row.codes), np.int32)]
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
-        self.place = np.arange(len(self.keys)) - np.repeat(self.starts, self.sizes)
-        self.train = np.repeat(_numbers(row.held, np.uint8) == 0, self.sizes)
-        self.masks = [np.unpackbits(_numbers(m, np.uint8), count=len(self.keys)).astype(bool) for m in row.masks]
-
-    def grams(self, order: int, known: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(places, keys, contexts, suffixes) of those n-grams that may be repeated, or that are known to be."""
-        keys = before = self.keys
+        self.row = row
+        self.sizes, self.words = _numbers(row.sizes, np.int32), _numbers(row.words)
+        self.codes = _numbers(zstandard.ZstdDecompressor().decompress(row.codes), np.int32)
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+    @cached_property
+    def train(self) -> np.ndarray:
+        return np.repeat(_numbers(self.row.held, np.uint8) == 0, self.sizes)
+
+    def mask(self, order: int) -> np.ndarray:
+        return np.unpackbits(_numbers(self.row.masks[order - 1], np.uint8), count=len(self.codes)).view(bool)
+
+    def grams(self, order: int, known: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, keys, keys of n-grams one shorter at every place) of n-grams that may be repeated, or that are known to be."""
+        before, keys = self.words, self.words[self.codes]
         for _ in range(order - 1):
             before, keys = keys, np.concatenate((keys[:1], joined(keys[:-1], keys[1:])))
         if known:
-            at = np.flatnonzero(self.masks[order - 1]) if order > 1 else np.arange(len(keys))
-        elif order == 1:
-            at = np.arange(len(keys))
+            at = np.flatnonzero(self.mask(order))
         else:
-            shorter = self.masks[order - 2]
-            at = np.flatnonzero(shorter[1:] & shorter[:-1] & (self.place[1:] >= order - 1)) + 1
-        return (at, keys[at], *((before[at - 1], before[at]) if order > 1 else (keys[at], keys[at])))
+            shorter = self.mask(order - 1)
+            ok = shorter[1:] & shorter[:-1]
+            for k in range(order - 1):  # not over the start of a text
+                near = self.starts[1:] - 1 + k
+                ok[near[near < len(ok)]] = False
+            at = np.flatnonzero(ok) + 1
+            at = at[at >= order - 1]
+        return at, keys[at], before
+
+    def distinct(self, order: int, known: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places, different keys in order, a place of each, number of each place's key, keys one shorter)."""
+        if order == 1:  # words are there in order
+            return np.arange(len(self.codes)), self.words, np.zeros(0, int), self.codes, self.words
+        at, keys, before = self.grams(order, known)
+        every, first, number = distinct(keys)
+        return at, every, at[first], number, before
 
 
 def _asked(order: int, buckets: int) -> Callable:
-    """Chunks to (bucket, chunk, size, c, s, n): the different n-grams by context and suffix, with their count in training texts."""
+    """Chunks to (bucket, chunk, g, kind, n): the different n-grams, and their count in training texts as numbers of kind bytes."""
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
                 tokens = _Tokens(row)
-                at, keys, contexts, suffixes = tokens.grams(order)
-                every, first, number = distinct(keys)
-                n = np.bincount(number, weights=tokens.train[at], minlength=len(every)).astype(np.uint64)
-                c, s = contexts[first], suffixes[first]
-                pack = (lambda x: x.tobytes()) if order == 1 else _packed
-                rows = [(b, row.chunk, x.stop - x.start, pack(c[x]), pack(s[x]) if order > 1 else b"", _packed(n[x])) for b, x in _slices(every, buckets)]
-                yield pd.DataFrame(rows, columns=["bucket", "chunk", "size", "c", "s", "n"])
+                at, every, _, number, _ = tokens.distinct(order)
+                n = np.bincount(number[tokens.train[at]], minlength=len(every))
+                rows = []
+                for b, x in _slices(every, buckets):
+                    part = n[x].astype(np.min_scalar_type(int(n[x].max())))
+                    rows.append((b, row.chunk, every[x].tobytes(), part.itemsize, part.tobytes()))
+                yield pd.DataFrame(rows, columns=["bucket", "chunk", "g", "kind", "n"])
 
     return ask
 
 
 def _counter(order: int) -> Callable:
-    """A bucket's asked n-grams to what each chunk is told (chunk, bucket, bits) and the repeated ones, where chunk is -1."""
+    """A bucket's asked n-grams to what each chunk is told (chunk, bucket, bits, own) and the repeated ones, where chunk is -1.
+
+    bits tell which are repeated, own which of these the chunk is to describe: each one is described by one chunk.
+    """
 
     def count(asked: pd.DataFrame) -> pd.DataFrame:
-        sizes = asked["size"].to_numpy()
-        all_of = lambda x: np.concatenate([_unpacked(b, n) for b, n in zip(asked[x], sizes, strict=True)])
-        n = all_of("n")
-        c, s = (all_of("c"), all_of("s")) if order > 1 else (_numbers(b"".join(asked["c"])),) * 2
-        every, first, number = distinct(joined(c, s) if order > 1 else c)
+        g = _numbers(b"".join(asked["g"]))
+        n = np.concatenate([_numbers(b, f"u{k}").astype(np.int64) for b, k in zip(asked["n"], asked["kind"], strict=True)])
+        every, first, number = distinct(g)
         total = np.bincount(number, weights=n, minlength=len(every)).astype(np.int64)
-        told = np.split((total >= LEAST)[number], np.cumsum(sizes)[:-1])
+        kept = total >= LEAST
+        cuts = np.cumsum([len(x) // 8 for x in asked["g"]])[:-1]
+        own = np.zeros(len(g), dtype=bool)
+        own[first[kept]] = True
+        told, mine = np.split(kept[number], cuts), np.split(own, cuts)
         bucket = int(asked["bucket"].iloc[0])
-        rows = [(int(x), bucket, np.packbits(bits).tobytes(), None, None, None, None) for x, bits in zip(asked["chunk"], told, strict=True)]
-        kept = np.flatnonzero(total >= (LEAST if order > 1 else 1))
-        at = first[kept]
-        rows.append((-1, bucket, None, every[kept].tobytes(), c[at].tobytes(), s[at].tobytes(), total[kept].tobytes()))
-        return pd.DataFrame(rows, columns=["chunk", "bucket", "bits", "g", "c", "s", "n"])
+        rows = [(int(x), bucket, np.packbits(a).tobytes(), np.packbits(b).tobytes(), None, None) for x, a, b in zip(asked["chunk"], told, mine, strict=True)]
+        kept = kept if order > 1 else total > 0
+        rows.append((-1, bucket, None, None, every[kept].tobytes(), total[kept].tobytes()))
+        return pd.DataFrame(rows, columns=["chunk", "bucket", "bits", "own", "g", "n"])
 
     return count
 
 
 def _marker(order: int, buckets: int) -> Callable:
-    """A chunk and what buckets tell it to the chunk with one mask more."""
+    """A chunk and what buckets tell it to the chunk with a mask more, and rows of what it is to describe.
+
+    The latter have bucket, which is -1 for the chunk, and the keys g, contexts c and suffixes s.
+    """
 
     def mark(chunk: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        names = [*_columns(_CHUNKS), "bucket", "g", "c", "s"]
         if chunk.empty:
-            return chunk
+            return pd.DataFrame(columns=names)
         row = next(chunk.itertuples())
-        tokens, bits = _Tokens(row), dict(zip(told["bucket"], told["bits"], strict=True))
-        at, keys, _, _ = tokens.grams(order)
-        every, _, number = distinct(keys)
-        known = np.zeros(len(every), dtype=bool)
+        tokens, bits = _Tokens(row), dict(zip(told["bucket"], zip(told["bits"], told["own"], strict=True), strict=True))
+        at, every, first, number, before = tokens.distinct(order)
+        known, rows = np.zeros(len(every), dtype=bool), []
         for b, x in _slices(every, buckets):
-            known[x] = np.unpackbits(_numbers(bits[b], np.uint8), count=x.stop - x.start)
-        mask = np.zeros(len(tokens.keys), dtype=bool)
+            known[x], own = (np.unpackbits(_numbers(y, np.uint8), count=x.stop - x.start).view(bool) for y in bits[b])
+            if order > 1 and own.any():
+                places = first[x][own]
+                rows.append((row.chunk, *[None] * 6, b, every[x][own].tobytes(), before[places - 1].tobytes(), before[places].tobytes()))
+        mask = np.zeros(len(tokens.codes), dtype=bool)
         mask[at] = known[number]
-        return chunk.assign(masks=[[*row.masks, np.packbits(mask).tobytes()]])
+        own = (row.chunk, row.ids, row.held, row.sizes, row.words, row.codes, [*row.masks, np.packbits(mask).tobytes()], -1, None, None, None)
+        return pd.DataFrame([own, *rows], columns=names)
 
     return mark
 
 
+def _described(counted: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's repeated n-grams with contexts and suffixes."""
+    if counted.empty:
+        return pd.DataFrame(columns=["bucket", "g", "c", "s", "n"])
+    row = next(counted.itertuples())
+    g, c, s = (_numbers(b"".join(parts[x])) for x in "gcs")
+    order = np.argsort(g)  # each of them once
+    return pd.DataFrame([(row.bucket, row.g, c[order].tobytes(), s[order].tobytes(), row.n)], columns=["bucket", "g", "c", "s", "n"])
+
+
 def _wanted(order: int, buckets: int) -> Callable:
     """Chunks to (bucket, chunk, g): the different n-grams that are repeated, or all words."""
 
     def want(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                every = distinct(_Tokens(row).grams(order, known=True)[1])[0]
+                tokens = _Tokens(row)
+                every = tokens.words if order == 1 else tokens.grams(order, known=True)[1]
+                every = every if order == 1 else (ranked := np.sort(every))[opened(ranked)]
                 yield pd.DataFrame([(b, row.chunk, every[x].tobytes()) for b, x in _slices(every, buckets)], columns=["bucket", "chunk", "g"])
 
     return want
@@ -259,7 +290,7 @@ def _given(grams: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(row.bucket, row.g, row.c, row.n, total.tobytes(), below.tobytes())], columns=["bucket", "g", "c", "n", "total", "below"])
 
 
-_SUMS = ("share", "seen", "stored", "below", "gain", "total")
+_SUMS = ("share", "seen", "stored", "gain", "total")
 
 
 def _summing(buckets: int) -> Callable:
@@ -271,7 +302,8 @@ def _summing(buckets: int) -> Callable:
                 n, total, below = (_numbers(x, kind) for x, kind in ((row.n, np.int64), (row.total, np.int64), (row.below, np.float64)))
                 every, first, number = distinct(_numbers(row.c))
                 add = lambda x: np.bincount(number, weights=x, minlength=len(every))  # noqa: B023, E731
-                sums = np.stack((add((n - DISCOUNT) / total), add(n), add(np.ones(len(n))), add(below), add(n * np.log(n / (total * below))), total[first].astype(float)), axis=1)
+                share = (n - DISCOUNT) / total
+                sums = np.stack((add(share), add(n), add(np.ones(len(n))), add(n * np.log(share / below)), total[first].astype(float)), axis=1)
                 yield pd.DataFrame([(b, row.bucket, every[x].tobytes(), sums[x].tobytes()) for b, x in _slices(every, buckets)], columns=["to", "bucket", "c", "sums"])
 
     return send
@@ -281,12 +313,9 @@ def _test(sent: pd.DataFrame) -> pd.DataFrame:
     """Contexts' sums to (bucket, to, kind, told): rest, or 0 for no state, to each sender; and to the bucket itself, kind -1, states."""
     c, sums = _numbers(b"".join(sent["c"])), _numbers(b"".join(sent["sums"]), np.float64).reshape(-1, len(_SUMS))
     every, first, number = distinct(c)
-    share, seen, stored, below, gain = (np.bincount(number, weights=sums[:, i], minlength=len(every)) for i in range(5))
-    total = sums[first, 5]
-    left = np.maximum(total - seen, 0.0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = gain + np.where(left > 0, left * np.log(left / total / np.maximum(1 - below, 1e-12)), 0.0)
-    good = gain > 0.5 * np.log(total) * stored
+    share, seen, stored, gain = (np.bincount(number, weights=sums[:, i], minlength=len(every)) for i in range(4))
+    total = sums[first, 4]
+    good = gain + (total - seen) * np.log(1 - share) > 0.5 * np.log(total) * stored
     rest = np.where(good, 1 - share, 0.0)
     told = np.split(rest[number], np.cumsum([len(x) // 8 for x in sent["c"]])[:-1])
     to = int(sent["to"].iloc[0])
@@ -353,10 +382,9 @@ def _scorer(orders: int, buckets: int, tokens: int, words: int) -> Callable:
         row = next(chunk.itertuples())
         own, size = _Tokens(row), float(tokens + words + 1)
         found = {(k, b): (n, v) for k, b, n, v in zip(told["k"], told["bucket"], told["n"], told["v"], strict=True)}
-        total = np.zeros(len(own.keys))
+        total = np.zeros(len(own.codes))
         for k in range(1, orders + 1):
-            at, keys, _, _ = own.grams(k, known=True)
-            every, _, number = distinct(keys)
+            at, every, _, number, _ = own.distinct(k, known=True)
             parts = [found[k, b] for b, _ in _slices(every, buckets)]
             if k == 1:
                 n = _numbers(b"".join(x[0] for x in parts), np.int64)[number]
@@ -388,13 +416,19 @@ def count(docs: DataFrame, scratch: Scratch, depth: int) -> tuple[DataFrame, lis
     total = now.select("sizes").mapInPandas(sizes, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets, tables = max(4, -(-total // CHUNK)), []
     for order in range(1, depth + 2):
-        asked = now.mapInPandas(_asked(order, buckets), "bucket int, chunk long, size int, c binary, s binary, n binary")
-        counted = asked.groupBy("bucket").applyInPandas(_counter(order), "chunk long, bucket int, bits binary, g binary, c binary, s binary, n binary")
+        asked = now.mapInPandas(_asked(order, buckets), "bucket int, chunk long, g binary, kind int, n binary")
+        counted = asked.groupBy("bucket").applyInPandas(_counter(order), "chunk long, bucket int, bits binary, own binary, g binary, n binary")
         counted = scratch.keep(counted, f"counted-{order}")
-        tables.append(counted.filter("chunk = -1").select("bucket", "g", "c", "s", "n"))
-        told = counted.filter("chunk >= 0").select("chunk", "bucket", "bits")
-        now = scratch.keep(now.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_marker(order, buckets), _CHUNKS), f"chunks-{order}")
-        scratch.drop(f"chunks-{order - 1}")
+        told = counted.filter("chunk >= 0").select("chunk", "bucket", "bits", "own")
+        marked = now.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_marker(order, buckets), f"{_CHUNKS}, bucket int, g binary, c binary, s binary")
+        marked = scratch.keep(marked, f"chunks-{order}")
+        now = marked.filter("bucket = -1").select(*_columns(_CHUNKS))
+        table = counted.filter("chunk = -1").select("bucket", "g", F.col("g").alias("c"), F.col("g").alias("s"), "n")
+        if order > 1:
+            parts = marked.filter("bucket >= 0").select("bucket", "g", "c", "s")
+            table = table.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInPandas(_described, _GRAMS)
+        tables.append(scratch.keep(table, f"grams-{order}"))
+        scratch.drop(f"chunks-{order - 1}", f"counted-{order}")
     return now, tables, buckets
 
 
@@ -438,7 +472,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         wanted = now.mapInPandas(_wanted(order, buckets), "bucket int, chunk long, g binary")
         answers = wanted.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(_answerer(order), "chunk long, bucket int, k int, n binary, v binary")
         answers = scratch.keep(answers, f"answers-{order}")
-        scratch.drop(f"counted-{order}", f"level-{order}-priced", f"level-{order + 1}-tested")
+        scratch.drop(f"grams-{order}", f"level-{order}-priced", f"level-{order + 1}-tested")
         told = answers if told is None else told.unionByName(answers)
         shorter = longer if order < len(tables) else None
     scored = now.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(
