@@ -4,11 +4,9 @@ import re
 import zlib
 from collections import Counter
 
-import numpy as np
 import pytest
 
-from eventloom.llm import suffix_tree, toxicity
-from eventloom.llm.common import Scratch
+from eventloom.llm import suffix_tree, textscan, toxicity
 
 
 def crc(doc_id):
@@ -58,6 +56,16 @@ def test_swapped_names_hardly_change_the_score(spark):
     assert change(free) > 4 * abs(change(tied)) and abs(change(tied)) < 0.1
 
 
+def test_the_penalty_acts_on_documents_without_listed_names(spark):
+    """Names are found in the training rows; leaving the penalty out changes the weights."""
+    path = "/root/testdata/sf0.01/"
+    docs, labels = (spark.read.parquet(f"{path}{x}.parquet") for x in ("documents", "labels"))
+    tied, free, none = (toxicity.train(docs, labels, **x) for x in ({}, {"penalty": 0.0}, {"found": False}))
+    assert tied.pairs > 100 and tied.changed > 0 and none.pairs == 0
+    assert tied.weights.keys() == free.weights.keys() and tied.weights != free.weights
+    assert toxicity.train(docs, labels).weights == tied.weights
+
+
 def test_toxicity_of_odd_rows(docs, empty, spark, corpus):
     labels = spark.createDataFrame([(0, 1), (0, 1), (2, 0), (3, None), (9999, 1), (None, 0)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
@@ -108,40 +116,72 @@ def test_base_score_and_counts_against_brute_force(spark):
     assert sum(r.score for r in held) > 0.85 * sum(r.base_score for r in held)
 
 
-def test_rare_words_are_looked_up_by_a_join(spark, monkeypatch):
-    rows = patterned(120)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    whole = {str(r.doc_id): r for r in suffix_tree.score_texts(df).collect()}
-    monkeypatch.setattr(suffix_tree, "HEAD", 60)
-    for r in suffix_tree.score_texts(df).collect():
-        assert (r.n_known, r.base_score) == (whole[str(r.doc_id)].n_known, pytest.approx(whole[str(r.doc_id)].base_score))
+def tree_scores(rows, depth):
+    """Scores by the definition: states of dictionaries, each token in the longest suffix of its past that is one."""
+    train = [tokens(t) for d, t in rows if crc(d) % 7 != 2]
+    n = [Counter(tuple(x[i : i + k]) for x in train for i in range(len(x) - k + 1)) for k in range(1, depth + 2)]
+    size = sum(n[0].values()) + len(n[0]) + 1.0
+    least, discount, states = suffix_tree.LEAST, suffix_tree.DISCOUNT, {}
+
+    def p(past, symbol):
+        """Behind the longest state among the suffixes of past."""
+        if not past:
+            return (n[0][symbol,] + 1) / size
+        below = p(past[1:], symbol)
+        if past not in states:
+            return below
+        seen = n[len(past)][(*past, symbol)]
+        return ((seen - discount) / n[len(past) - 1][past] if seen >= least else 0.0) + states[past] * below
+
+    for k in range(1, depth + 1):
+        after = {}
+        for g, seen in n[k].items():
+            if seen >= least:
+                after.setdefault(g[:-1], []).append((g[-1], seen))
+        found = {}
+        for context, follow in after.items():
+            total = n[k - 1][context]
+            share = {s: (x - discount) / total for s, x in follow}
+            rest = 1 - sum(share.values())
+            gain = sum(x * math.log(share[s] / p(context[1:], s)) for s, x in follow) + (total - sum(x for _, x in follow)) * math.log(rest)
+            if gain > 0.5 * math.log(total) * len(follow):
+                found[context] = rest
+        states |= found
+    out = []
+    for d, t in rows:
+        own = tokens(t)
+        out.append((str(d), sum(math.log10(p(tuple(own[max(0, i - depth) : i]), s)) for i, s in enumerate(own))))
+    return out, states, p, n
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 300])
+@pytest.mark.parametrize("depth", [1, 3])
+def test_scores_against_brute_force(spark, monkeypatch, depth, chunk):
+    """In one chunk, and in many with many buckets."""
+    monkeypatch.setattr(suffix_tree, "CHUNK", chunk)
+    monkeypatch.setattr(textscan, "AT_ONCE", 1 << 20 if chunk > 300 else 500)
+    rows = patterned(250) + patterned(40, 8)[:40] + [(2000, "end"), (2001, " "), (2002, "a b")]
+    got = suffix_tree.score_texts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), depth).collect()
+    want, states, _, _ = tree_scores(rows, depth)
+    assert {len(c) for c in states} == set(range(1, depth + 1))
+    for g, w in zip(sorted((str(r.doc_id), r.score) for r in got), sorted(want), strict=True):
+        assert g == (w[0], pytest.approx(w[1], rel=1e-4, abs=1e-4))
 
 
 def test_states_pass_the_test_and_sum_to_one(spark):
-    rows = patterned(400)
-    tree, _ = suffix_tree.learn(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"))
-    train = [tokens(t) for d, t in rows if crc(d) % 7 != 2]
-    h = {w: int(x) for w, x in zip(*[[r[i] for r in spark.createDataFrame([(w,) for w in {t for x in train for t in x if t}], "w string").selectExpr("w", "xxhash64(w)").collect()] for i in (0, 1)], strict=True)}
-    h[None] = -1
-    ids = lambda seq: suffix_tree._find(tree.head.symbols, np.array([h[w] for w in seq], dtype=np.int64))
-    base = tree.head.base()
-
-    def distribution(past):
-        every = np.arange(len(base))
-        row = np.repeat(every, len(past) + 1)
-        seq = np.concatenate([np.append(ids(past), s) for s in every])
-        own, left = tree.chain(seq, row)
-        at = np.arange(len(past), len(seq), len(past) + 1)
-        return own[at] + left[at] * base, left[at]
-
-    unseen = 1 - base.sum()
-    for past in (["the"], ["san"], ["new", "york"], ["deal", "new", "york"], ["w1", "w2"]):
-        p, left = distribution(past)
-        assert p.sum() + left[0] * unseen == pytest.approx(1.0)
-    assert distribution(["san"])[0][ids(["francisco"])[0]] == pytest.approx(0.9, abs=0.07)
-    assert distribution(["new", "york"])[0][ids(["city"])[0]] == pytest.approx(0.8, abs=0.12)
-    assert distribution(["deal", "york"])[0][ids(["city"])[0]] < 0.55
-    assert len(tree.levels[0].contexts) < len(base)
+    """Of the brute force version, which the operator agrees with."""
+    _, states, p, n = tree_scores(patterned(400), 3)
+    symbols = [s for (s,) in n[0]]
+    size = sum(n[0].values()) + len(n[0]) + 1.0
+    for past in (("the",), ("san",), ("new", "york"), ("deal", "new", "york"), ("w1", "w2")):
+        left = 1.0
+        for k in range(len(past)):
+            left *= states.get(past[k:], 1.0)
+        assert sum(p(past, s) for s in symbols) + left / size == pytest.approx(1.0)
+    assert p(("san",), "francisco") == pytest.approx(0.9, abs=0.07)
+    assert p(("new", "york"), "city") == pytest.approx(0.8, abs=0.12)
+    assert p(("deal", "york"), "city") < 0.55
+    assert len([c for c in states if len(c) == 1]) < len(symbols)
 
 
 def test_scoring_of_odd_rows(docs, corpus, empty):
@@ -161,13 +201,3 @@ def test_contexts_are_states_whatever_the_size_of_the_corpus(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in suffix_tree.score_texts(df).collect()}
     assert got[held].train_tokens > 70000 and got[held].score > got[held].base_score + 6
-
-    tree, counts = suffix_tree.learn(df, Scratch(spark, "t"))
-    n = {r.token: r.n for r in counts.collect()}
-    w = {r.doc_id: r.w for r in suffix_tree.hashed(df).select("doc_id", "w").collect()}
-    size = tree.head.tokens + tree.head.distinct + 1.0
-    for d in [held, *train, 0, 1, 2]:
-        flat = np.array([*w[d], -1], dtype=np.int64)
-        own, left = tree.chain(suffix_tree._find(tree.head.symbols, flat), np.zeros(len(flat), dtype=np.int64))
-        chance = np.array([(n.get(int(x), 0) + 1) / size for x in flat])
-        assert got[d].score == pytest.approx(np.log10(own + left * chance).sum())
