@@ -33,10 +33,11 @@ UNITS = (1.0, 1.0, 6.0)
 FEATURES = ("x0", "x1", "x2", "x3")
 #: The least standard deviation of the mean word length's logarithm, which is no count.
 LEAST_LENGTH = 1e-3
-#: Of chi-square with 4 degrees of freedom: the 0.75 and 0.999 quantiles; fixed values.
-CHI2_SHARE, CHI2_CUT = 5.385, 18.467
-#: Share of a normal vector's variance within the nearest 75 %: chi-square(6) below CHI2_SHARE over 0.75.
-SHRINK = 0.673
+#: The 0.9999 quantile of chi-square with 4 degrees of freedom, a fixed value.
+CHI2_CUT = 23.513
+#: Share of a normal vector's variance within the nearest 75 %, by its number of dimensions: chi-square(p + 2) below the 0.75
+#: quantile of chi-square(p), over 0.75; fixed values.
+SHRINKS = (0.369, 0.538, 0.621, 0.673)
 #: Estimates of up to this many groups are sent to all workers; more are joined as any table.
 MOST_SENT = 50_000
 
@@ -98,13 +99,20 @@ def _moments(weight: Column | None = None) -> list[Column]:
     return out
 
 
-def _scatter(params: DataFrame, shrink: float) -> DataFrame:
-    """Corrects the scatter c_ij and takes no variance below the resolution; adds the log determinant and the factor l_ij."""
+def _scatter(params: DataFrame, inner: bool) -> DataFrame:
+    """Takes no variance below the resolution; adds the log determinant and the factor l_ij.
+
+    The scatter c_ij of inner vectors is corrected for what the outer ones would add. Features that vary by less than the
+    resolution do not count as dimensions there.
+    """
+    several = sum(((F.coalesce(F.col(f"c{i}{i}"), F.lit(0.0)) > F.col(f"r{i}") * F.col(f"r{i}")).cast("int") for i in range(len(FEATURES))), F.lit(0))
+    shrink = F.element_at(F.array(*[F.lit(x) for x in SHRINKS]), F.greatest(several, F.lit(1))) if inner else F.lit(1.0)
+    params = params.withColumn("_s", shrink)
     for i in range(len(FEATURES)):
         for j in range(i + 1):
-            c = F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0)) / shrink
+            c = F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0)) / F.col("_s")
             params = params.withColumn(f"c{i}{j}", F.greatest(c, F.col(f"r{i}") * F.col(f"r{i}")) if i == j else c)
-    return _factored(params)
+    return _factored(params.drop("_s"))
 
 
 def _factored(params: DataFrame) -> DataFrame:
@@ -151,12 +159,12 @@ def estimate(vectors: DataFrame, keep, share: float = SHARE, steps: int = STEPS)
     spread = vectors.join(_sent(medians), by).groupBy(*by).agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 2000).alias(f"s{i}") for i, x in enumerate(FEATURES)])
     flat = spread.join(medians, by).select(*by, F.lit(0).alias("start"), *[F.col(f"m{i}") for i in k], *[(F.pow(F.col(f"s{i}") * 1.4826, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in k for j in range(i + 1)])
     whole = vectors.groupBy(*by).agg(*_moments()).withColumn("start", F.lit(1))
-    params = keep(_scatter(flat.unionByName(whole).join(facts, by), 1.0), "mcd0")
+    params = keep(_scatter(flat.unionByName(whole).join(facts, by), False), "mcd0")
     for n in range(1, steps + 1):
         near = _distance(vectors.join(_sent(params.drop("logdet")), by))
         cut = keep(near.groupBy(*by, "start").agg(F.percentile_approx("d2", share, 2000).alias("cut")), f"cut{n}")
         inner = near.join(_sent(cut), [*by, "start"]).filter("d2 <= cut")
-        params = keep(_scatter(inner.groupBy(*by, "start").agg(*_moments()).join(facts, by), SHRINK), f"mcd{n}")
+        params = keep(_scatter(inner.groupBy(*by, "start").agg(*_moments()).join(facts, by), True), f"mcd{n}")
     best = params.groupBy(*by).agg(F.min_by(F.struct(*[c for c in params.columns if c not in by]), F.struct("logdet", "start")).alias("b"))
     return best.select(*by, "b.*").join(medians.select(*by, "members"), by)
 
