@@ -3,8 +3,10 @@
 Rolling hashes of GRAM words of a text are joined to the places where they stand in license templates. Text place
 minus template place is a diagonal; a copied stretch puts its votes on one diagonal, and an inserted or dropped word
 moves the rest to a neighbouring one. Votes are counted by diagonal, diagonals at most GAP apart are merged to spans,
-and a span is accepted when the template places that it covers are a large enough share of the template. Phrases are
-templates that must be covered whole on one diagonal, and are then compared word by word.
+and a span is accepted when the template places that it covers are a large enough share of the template. Where neighbouring
+diagonals chain to a span much longer than the template, as a repeated short piece of it makes them, each of its diagonals is
+judged alone. Phrases are templates that must be covered whole on one diagonal. Every vote is verified: its words are compared
+with the template's, so equal hashes of other words count nothing, and spans stand on equal words alone.
 """
 
 from __future__ import annotations
@@ -47,12 +49,15 @@ def template_places(spark: SparkSession, phrases: dict[str, str], templates: dic
     cut = given.select("template", "label", "exact", item_words(F.col("text")).alias("words")).withColumn("grams", F.size("words") - gram + 1)
     placed = cut.filter("grams > 0").select("*", F.posexplode("words").alias("at", "first"))
     return placed.filter(F.col("at") < F.col("grams")).select(
-        "template", "label", "exact", "grams", "words", "at", F.xxhash64(*[F.get("words", F.col("at") + k) for k in range(gram)]).alias("gram")
+        "template", "label", "exact", "grams", "words", "at", F.xxhash64(*(w := [F.get("words", F.col("at") + k) for k in range(gram)])).alias("gram"), F.concat_ws(" ", *w).alias("text")
     )
 
 
 def find_spans(docs: DataFrame, phrases=None, templates=None, gram: int = GRAM, gap: int = GAP, covered: float = COVERED) -> DataFrame:
-    """(key, template, label, exact, start, end, share): accepted spans, in words from 0, end not included."""
+    """(key, template, label, exact, start, end, share): accepted spans, in words from 0, end not included.
+
+    Phrases and templates of fewer than gram words have no place and are never found; a smaller gram finds them.
+    """
     spark = docs.sparkSession
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
     places = template_places(spark, phrases, templates, gram)
@@ -60,7 +65,8 @@ def find_spans(docs: DataFrame, phrases=None, templates=None, gram: int = GRAM,
     keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), item_words(text_of()).alias("w"))
     words = [F.get("w", F.col("pos") + k) for k in range(gram)]
     rolled = keyed.select("key", "w", F.posexplode("w").alias("pos", "_first")).filter(F.col("pos") <= F.size("w") - gram)
-    votes = rolled.select("key", "pos", F.xxhash64(*words).alias("gram")).join(sent(places.select("gram", "template", "at")), "gram")
+    votes = rolled.select("key", "pos", "w", F.xxhash64(*words).alias("gram")).join(sent(places.select("gram", "template", "at", "text")), "gram")
+    votes = votes.filter(F.concat_ws(" ", *words) == F.col("text"))
     votes = Scratch(spark, "licenses").keep(votes.select("key", "template", "at", "pos").distinct(), "votes")
     facts = places.select("template", "label", "exact", "grams").distinct()
     lines = votes.groupBy("key", "template", (F.col("pos") - F.col("at")).alias("diagonal"))
@@ -72,12 +78,15 @@ def find_spans(docs: DataFrame, phrases=None, templates=None, gram: int = GRAM,
     order = Window.partitionBy("key", "template").orderBy("diagonal")
     split = F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= gap, 0).otherwise(1)
     runs = lines.filter(~F.col("exact")).withColumn("split", split).withColumn("run", F.sum("split").over(order))
+    alone = F.struct(F.col("low").cast("long").alias("start"), (F.col("high") + gram).cast("long").alias("end"), (F.col("votes") / F.col("grams")).alias("share"))
     merged = runs.groupBy("key", "template", "label", "exact", "run", "grams").agg(
-        F.min("low").cast("long").alias("start"), (F.max("high") + gram).cast("long").alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("seen")
-    )
-    spans = merged.withColumn("share", F.col("seen") / F.col("grams"))
-    long_enough = (F.col("share") >= covered) & (F.col("end") - F.col("start") <= 2 * (F.col("grams") + gram))
-    return whole.unionByName(spans.filter(long_enough).select(*whole.columns))
+        F.min("low").cast("long").alias("start"), (F.max("high") + gram).cast("long").alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("seen"),
+        F.collect_list(F.when(F.col("votes") / F.col("grams") >= covered, alone)).alias("singles"),
+    )
+    short = F.col("end") - F.col("start") <= 2 * (F.col("grams") + gram)
+    whole_run = F.array(F.struct("start", "end", (F.col("seen") / F.col("grams")).alias("share")))
+    spans = merged.select("key", "template", "label", "exact", F.inline(F.when(short, whole_run).otherwise(F.col("singles")))).filter(F.col("share") >= covered)
+    return whole.unionByName(spans.select(*whole.columns))
 
 
 def scan(docs: DataFrame, phrases=None, templates=None) -> DataFrame:

@@ -78,14 +78,16 @@ diag as (
 base as (select r, label, exact, g as s, 1.0 as share from diag where exact and n = grams),
 split as (select *, case when g - lag(g) over (partition by r, t order by g) <= {license_scan.GAP} then 0 else 1 end as cut from diag where not exact),
 runs as (select *, sum(cut) over (partition by r, t order by g) as run from split),
-spans as (
-  select r, label, exact, grams, min(lo) as s, max(hi) + {_G} as e, len(list_distinct(flatten(list(ats)))) as seen
+merged as (
+  select r, label, exact, grams, min(lo) as s, max(hi) + {_G} as e, len(list_distinct(flatten(list(ats)))) / grams as share,
+    list({{'s': lo, 'share': n / grams}}) filter (where n / grams >= {license_scan.COVERED}) as singles
   from runs group by r, t, label, exact, grams, run
 ),
-alls as (
-  select r, label, exact, s, share from base union all
-  select r, label, exact, s, seen / grams from spans where seen / grams >= {license_scan.COVERED} and e - s <= 2 * (grams + {_G})
+spans as (
+  select r, label, exact, s, share from merged where e - s <= 2 * (grams + {_G}) and share >= {license_scan.COVERED} union all
+  select r, label, exact, one.s, one.share from (select r, label, exact, unnest(singles) as one from merged where e - s > 2 * (grams + {_G}))
 ),
+alls as (select r, label, exact, s, share from base union all select r, label, exact, s, share from spans),
 found as (
   select r, count(*) filter (where exact) as n_base, min(s) filter (where exact) as first_word, max(s) filter (where exact) as last_word,
     array_to_string(list_sort(list(distinct label) filter (where exact)), ',') as base_labels,

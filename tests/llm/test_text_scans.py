@@ -76,6 +76,15 @@ def test_license_texts_with_changed_words(spark):
     assert sorted(got) == [(1, "mit-text"), (1, "mit-text"), (2, ""), (3, "")]
 
 
+def test_a_template_behind_many_copies_of_a_piece_of_it(spark):
+    """Their diagonals chain to a span far longer than the template; it is found on its own diagonal."""
+    passage = license_scan.TEMPLATES["all-rights-reserved"]
+    rows = [(1, passage), (2, "All rights reserved. " * 40 + passage), (3, "All rights reserved. " * 40), (4, None)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.labels for i, r in got.items()} == {1: "all-rights-reserved", 2: "all-rights-reserved", 3: "", 4: ""}
+    assert got[1].score == got[2].score == 1.0 and got[3].score == 0
+
+
 def statistics(text):
     t = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
