@@ -44,12 +44,13 @@ def shard_of(key: Column, shards: int) -> Column:
     return jump(F.xxhash64(key.cast("string")))
 
 
-def assign_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """Returns for each row: key, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the text's UTF-8 bytes and one more (null: none and one more). grown_shard is the shard when one is added.
     slot numbers the rows of a shard without gaps, by a hash of the row. Null keys share a shard; repeated rows get
-    slots next to each other; an empty table gives an empty one. Other columns are not read, whatever their names.
+    slots next to each other; an empty table gives an empty one. Other columns are not read, whatever their names, but for
+    those of `also`, which are kept and part equal rows.
 
     Equal rows are counted before anything is dealt out, and slots are numbered in groups of about SLOT_GROUP rows
     whose offsets come from group counts, so that neither a repeated row nor a shard has to fit into a task.
@@ -59,7 +60,8 @@ def assign_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id", text:
         F.col(key).alias("doc_id"),
         (F.octet_length(text_of(text)) + 1).cast("long").alias("size"),
         F.crc32(text_of(text).cast("binary")).alias("text_crc32"),
-    ).groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+        *also,
+    ).groupBy("doc_id", "size", "text_crc32", *also).agg(F.count("*").alias("n"))
     groups = max(1, -(-docs.count() // (shards * SLOT_GROUP)))
     dealt = Scratch(spark, "sharding").keep(
         rows.select(
@@ -75,12 +77,27 @@ def assign_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id", text:
     offsets = parts.select("shard", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
     inside = (
         Window.partitionBy("shard", "part")
-        .orderBy("rank", "doc_id", "text_crc32", "size")
+        .orderBy("rank", "doc_id", "text_crc32", "size", *also)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
         dealt.join(offsets, ["shard", "part"])
         .withColumn("first", F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", *also)
     )
+
+
+def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """docs and size, text_crc32, law, shard, slot, grown_shard, which replace columns of these names.
+
+    Rows that are equal in all columns are told apart by their slots alone; each different row goes through the shuffle once.
+    Nulls, empty and very long texts and empty tables are as in assign_shards.
+    """
+    added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    own = [c for c in docs.columns if c not in added]
+    marks = [F.xxhash64(F.lit(i), *own).alias(f"__el_row{i}") for i in (0, 1)]
+    names = tuple(f"__el_row{i}" for i in (0, 1))
+    rows = docs.select(*own, *marks)
+    dealt = assign_shards(rows, shards, also=names)
+    return rows.dropDuplicates(list(names)).join(dealt.drop("doc_id"), list(names)).select(*own, *added)
