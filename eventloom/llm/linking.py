@@ -20,6 +20,8 @@ from eventloom.llm.common import Scratch
 
 #: Buckets of each item that the first round takes.
 FIRST = 4
+#: Buckets of up to this number are sent to all workers: 16 MB.
+MOST_SENT = 1 << 20
 
 
 def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
@@ -83,8 +85,14 @@ def link_items(
         edges = passed if edges is None else edges.unionByName(passed)
         roots = scratch.keep(components(edges, scratch, f"round{n}"), f"roots-{n}")
         if n == 0:
-            entries = _rooted(items, roots).withColumn("bucket", F.explode("buckets")).drop("buckets")
-            scratch.drop("crowd-0", "entries-0", "led-0")
+            # of all buckets those of more than one component; few as a rule, and then no entry of another one is moved
+            placed = scratch.keep(_rooted(items, roots), "placed")
+            mixed = placed.select("root", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+            mixed = scratch.keep(mixed.filter("lo <> hi").select(F.col("bucket").alias("_b")), "mixed")
+            mixed = F.broadcast(mixed) if mixed.count() <= MOST_SENT else mixed
+            entries = placed.withColumn("bucket", F.explode("buckets")).drop("buckets").join(mixed, F.col("bucket") == F.col("_b"), "left_semi")
+            entries = scratch.keep(entries, "entries-1")
+            scratch.drop("crowd-0", "entries-0", "led-0", "placed", "mixed")
             continue
         rest = scratch.keep(_mixed(led.select("bucket", "node", *facts), roots), f"rest-{n}")
         scratch.drop(f"led-{n}")

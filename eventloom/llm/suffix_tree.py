@@ -39,8 +39,9 @@ DISCOUNT = 0.75
 #: Tokens of a chunk, and n-grams that a bucket gets about.
 CHUNK = 1 << 20
 
-#: Bytes to numbers: white space parts words, capital letters of ASCII are small ones.
-_TABLE = np.array([0 if b == 32 or 9 <= b <= 13 else b + 33 if 65 <= b <= 90 else b + 1 for b in range(256)], dtype=np.uint16)
+#: White space parts words; capital letters of ASCII are small ones.
+_INSIDE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
+_NORMAL = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 #: The key that stands for the end of a text.
 END = np.uint64(1)
 _CHUNKS = "chunk long, ids array<string>, held binary, sizes binary, words binary, codes binary, masks array<binary>"
@@ -91,7 +92,7 @@ def _chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for frame in frames:
         for begin, texts in batches(frame["text"]):
-            found = Words(texts, table=_TABLE)
+            found = Words(texts, (), _INSIDE, _NORMAL)
             size = np.bincount(found.row, minlength=len(texts)) + 1
             tokens = np.full(int(size.sum()), END)
             tokens[np.arange(len(found.row)) + found.row] = found.hash

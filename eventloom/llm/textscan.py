@@ -6,12 +6,16 @@ are 0. Texts are joined with line ends between them, so what starts at a new lin
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Bytes to those of normal words, 0 for what stands between them.
-TABLE = np.array([b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b if 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], dtype=np.uint8)
+#: Whether a byte is in a word, and what it is there.
+INSIDE = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
+NORMAL = np.array([b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256)], dtype=np.uint8)
+#: Bytes above which a word is hashed alone.
+LONG = 1 << 10
 #: Bytes of text that are scanned at once; a longer text is scanned alone.
 AT_ONCE = 1 << 20
 _POWERS: dict[int, np.ndarray] = {}
@@ -69,28 +73,42 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranked[new], order[new], number
 
 
+def _hashes(normal: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of the words that start at `first`, eight bytes at a time."""
+    padded = np.append(normal, np.zeros(8, dtype=np.uint8))
+    eights = np.ndarray(shape=(len(normal) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    with np.errstate(over="ignore"):
+        out = mixed((length + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        at, left = np.flatnonzero(length <= LONG), length[length <= LONG]
+        step = 0
+        while len(at):
+            keep = np.uint64(64) - (np.minimum(left, 8) << 3).astype(np.uint64)
+            out[at] = mixed(out[at] ^ ((eights[first[at] + step] << keep) * np.uint64(0xD6E8FEB86659FD93)))
+            more = left > 8
+            at, left, step = at[more], left[more] - 8, step + 8
+        for i in np.flatnonzero(length > LONG):
+            digest = hashlib.blake2b(normal[first[i] : first[i] + length[i]].tobytes(), digest_size=8).digest()
+            out[i] = np.frombuffer(digest, dtype=np.uint64)[0]
+    return out
+
+
 class Words:
     """raw bytes; starts and sizes of texts in them; and of each word its first and last byte, hash, text and line."""
 
-    def __init__(self, texts: list[bytes], apart: tuple[bytes, ...] = (), table: np.ndarray = TABLE):
-        """apart: characters of three bytes that stand between words; table: bytes to numbers, 0 for what stands there."""
+    def __init__(self, texts: list[bytes], apart: tuple[bytes, ...] = (), inside: np.ndarray = INSIDE, normal: np.ndarray = NORMAL):
+        """apart: characters of three bytes that stand between words; inside, normal: tables of bytes."""
         self.raw = raw = np.frombuffer(b"".join(x + b"\n" for x in texts), dtype=np.uint8)
         self.sizes = np.array([len(x) + 1 for x in texts])
         self.starts = np.cumsum(self.sizes) - self.sizes
-        normal, self.apart = table[raw], np.zeros(len(raw), dtype=bool)
+        there, self.apart = inside[raw], np.zeros(len(raw) if apart else 0, dtype=bool)
         for wide in apart:
             at = np.flatnonzero((raw[:-2] == wide[0]) & (raw[1:-1] == wide[1]) & (raw[2:] == wide[2]))
             for k in range(3):
-                normal[at + k], self.apart[at + k] = 0, True
-        inside = normal != 0
-        edge = inside[1:] != inside[:-1]
-        self.first = np.flatnonzero(inside & np.concatenate(([True], edge)))
-        self.last = np.flatnonzero(inside & np.concatenate((edge, [True])))
-        length = self.last - self.first + 1
-        begins = np.cumsum(length) - length
-        letters = normal[inside].astype(np.uint64)
-        with np.errstate(over="ignore"):
-            self.hash = hashed(letters, places(begins, len(letters)), begins, 0x9E3779B97F4A7C15)
+                there[at + k], self.apart[at + k] = False, True
+        edges = np.flatnonzero(there[1:] != there[:-1]) + 1
+        edges = np.concatenate(([0], edges)) if len(there) and there[0] else edges  # every text ends outside words
+        self.first, self.last = edges[::2], edges[1::2] - 1
+        self.hash = _hashes(normal[raw], self.first, self.last - self.first + 1)
         self.row = np.searchsorted(self.starts, self.first, "right") - 1
-        self.breaks = np.cumsum(raw == 10)
+        self.breaks = np.cumsum(raw == 10, dtype=np.int32)
         self.line = self.breaks[self.first]
