@@ -63,8 +63,8 @@ def link_items(
 
     verify keeps the pairs (a, b) that are alike. The first round takes the first `first` buckets of each item, and as the
     leader of a bucket the node that meets most others: an original rather than one of its copies. Later ones take any other.
-    finer functions turn left-over entries (bucket, node, *facts) into ones of smaller buckets; they may drop entries that can
-    have no link, and add facts. alike(facts of a, of b) is an optional cheap condition, from the facts that are there, that
+    finer functions turn left-over entries (bucket, node, root, *facts) into ones of smaller buckets; they may drop entries that
+    can have no link, and add facts. alike(facts of a, of b) is an optional cheap condition, from the facts that are there, that
     every true pair meets.
     """
     entries = items.withColumn("bucket", F.explode(F.slice("buckets", 1, first))).drop("buckets")
@@ -94,16 +94,14 @@ def link_items(
             entries = scratch.keep(entries, "entries-1")
             scratch.drop("crowd-0", "entries-0", "led-0", "placed", "mixed")
             continue
-        rest = scratch.keep(_mixed(led.select("bucket", "node", *facts), roots), f"rest-{n}")
+        rest = scratch.keep(_mixed(led.select("bucket", "node", *facts), roots), f"rest-{n}")  # with root and, as mine, a node's buckets
         scratch.drop(f"led-{n}")
         if rest.isEmpty():
             return edges, roots
         if n <= len(finer):
-            entries = scratch.keep(_rooted(finer[n - 1](rest.drop("root")), roots), f"finer-{n}")
-    facts = [c for c in rest.columns if c not in ("bucket", "node", "score", "root")]
+            entries = scratch.keep(finer[n - 1](rest.drop("mine")), f"finer-{n}")
+    facts = [c for c in rest.columns if c not in ("bucket", "node", "root", "mine")]
     # a pair that shares several buckets is met in the least of them
-    own = rest.groupBy(F.col("node").alias("_n")).agg(F.collect_set("bucket").alias("mine"))
-    rest = scratch.keep(rest.join(own, F.col("node") == F.col("_n")).drop("_n"), "left-over")
     left = rest.select(F.col("bucket").alias("_b"), F.col("node").alias("a"), F.col("root").alias("_r"), F.col("mine").alias("_mine"), *[F.col(c).alias(f"a_{c}") for c in facts])
     same = (F.col("_b") == F.col("bucket")) & (F.col("_r") != F.col("root")) & (F.col("a") < F.col("node"))
     if alike is not None:
@@ -131,7 +129,9 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _mixed(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """Entries with their root, of those buckets that hold more than one component."""
-    rest = _rooted(entries, roots)
+    """Entries with their root, and as mine all buckets of their node, of those buckets that hold more than one component."""
+    facts = [c for c in entries.columns if c != "bucket"]
+    packed = _rooted(entries.groupBy(*facts).agg(F.collect_set("bucket").alias("mine")), roots)
+    rest = packed.withColumn("bucket", F.explode("mine"))
     mixed = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(F.col("bucket").alias("_b"))
     return rest.join(mixed, F.col("bucket") == F.col("_b"), "left_semi")
