@@ -45,7 +45,9 @@ _NORMAL = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=n
 #: The key that stands for the end of a text.
 END = np.uint64(1)
 _CHUNKS = "chunk long, ids array<string>, held binary, sizes binary, words binary, codes binary, masks array<binary>"
-_GRAMS = "bucket int, g binary, c binary, s binary, n binary"
+#: A bucket's n-grams: contexts, suffixes and counts; of words the keys alone, as c. Keys are joined(c, s).
+_GRAMS = "bucket int, c binary, s binary, kind int, n binary"
+_PRICED = "bucket int, g binary, kind int, n binary, p binary, v binary"
 
 
 def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -67,6 +69,16 @@ def _numbers(blob: bytes, kind=np.uint64) -> np.ndarray:
     return np.frombuffer(blob, dtype=kind)
 
 
+def _narrow(n: np.ndarray) -> tuple[int, bytes]:
+    """Whole numbers from 0 in as few bytes as the largest needs."""
+    n = n.astype(np.min_scalar_type(int(n.max(initial=0))))
+    return n.itemsize, n.tobytes()
+
+
+def _wide(kind: int, blob: bytes) -> np.ndarray:
+    return _numbers(blob, f"u{kind}").astype(np.int64)
+
+
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets rise with the key, so sorted keys fall into slices."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -162,10 +174,7 @@ def _asked(order: int, buckets: int) -> Callable:
                 tokens = _Tokens(row)
                 at, every, _, number, _ = tokens.distinct(order)
                 n = np.bincount(number[tokens.train[at]], minlength=len(every))
-                rows = []
-                for b, x in _slices(every, buckets):
-                    part = n[x].astype(np.min_scalar_type(int(n[x].max())))
-                    rows.append((b, row.chunk, every[x].tobytes(), part.itemsize, part.tobytes()))
+                rows = [(b, row.chunk, every[x].tobytes(), *_narrow(n[x])) for b, x in _slices(every, buckets)]
                 yield pd.DataFrame(rows, columns=["bucket", "chunk", "g", "kind", "n"])
 
     return ask
@@ -179,7 +188,7 @@ def _counter(order: int) -> Callable:
 
     def count(asked: pd.DataFrame) -> pd.DataFrame:
         g = _numbers(b"".join(asked["g"]))
-        n = np.concatenate([_numbers(b, f"u{k}").astype(np.int64) for b, k in zip(asked["n"], asked["kind"], strict=True)])
+        n = np.concatenate([_wide(k, b) for k, b in zip(asked["kind"], asked["n"], strict=True)])
         every, first, number = distinct(g)
         total = np.bincount(number, weights=n, minlength=len(every)).astype(np.int64)
         kept = total >= LEAST
@@ -188,10 +197,10 @@ def _counter(order: int) -> Callable:
         own[first[kept]] = True
         told, mine = np.split(kept[number], cuts), np.split(own, cuts)
         bucket = int(asked["bucket"].iloc[0])
-        rows = [(int(x), bucket, np.packbits(a).tobytes(), np.packbits(b).tobytes(), None, None) for x, a, b in zip(asked["chunk"], told, mine, strict=True)]
+        rows = [(int(x), bucket, np.packbits(a).tobytes(), np.packbits(b).tobytes(), None, 0, None) for x, a, b in zip(asked["chunk"], told, mine, strict=True)]
         kept = kept if order > 1 else total > 0
-        rows.append((-1, bucket, None, None, every[kept].tobytes(), total[kept].tobytes()))
-        return pd.DataFrame(rows, columns=["chunk", "bucket", "bits", "own", "g", "n"])
+        rows.append((-1, bucket, None, None, every[kept].tobytes() if order == 1 else None, *_narrow(total[kept])))
+        return pd.DataFrame(rows, columns=["chunk", "bucket", "bits", "own", "c", "kind", "n"])
 
     return count
 
@@ -199,11 +208,11 @@ def _counter(order: int) -> Callable:
 def _marker(order: int, buckets: int) -> Callable:
     """A chunk and what buckets tell it to the chunk with a mask more, and rows of what it is to describe.
 
-    The latter have bucket, which is -1 for the chunk, and the keys g, contexts c and suffixes s.
+    The latter have bucket, which is -1 for the chunk, contexts c and suffixes s.
     """
 
     def mark(chunk: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        names = [*_columns(_CHUNKS), "bucket", "g", "c", "s"]
+        names = [*_columns(_CHUNKS), "bucket", "c", "s"]
         if chunk.empty:
             return pd.DataFrame(columns=names)
         row = next(chunk.itertuples())
@@ -214,23 +223,23 @@ def _marker(order: int, buckets: int) -> Callable:
             known[x], own = (np.unpackbits(_numbers(y, np.uint8), count=x.stop - x.start).view(bool) for y in bits[b])
             if order > 1 and own.any():
                 places = first[x][own]
-                rows.append((row.chunk, *[None] * 6, b, every[x][own].tobytes(), before[places - 1].tobytes(), before[places].tobytes()))
+                rows.append((row.chunk, *[None] * 6, b, before[places - 1].tobytes(), before[places].tobytes()))
         mask = np.zeros(len(tokens.codes), dtype=bool)
         mask[at] = known[number]
-        own = (row.chunk, row.ids, row.held, row.sizes, row.words, row.codes, [*row.masks, np.packbits(mask).tobytes()], -1, None, None, None)
+        own = (row.chunk, row.ids, row.held, row.sizes, row.words, row.codes, [*row.masks, np.packbits(mask).tobytes()], -1, None, None)
         return pd.DataFrame([own, *rows], columns=names)
 
     return mark
 
 
 def _described(counted: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's repeated n-grams with contexts and suffixes."""
+    """A bucket's repeated n-grams with contexts and suffixes, in the order of their keys."""
     if counted.empty:
-        return pd.DataFrame(columns=["bucket", "g", "c", "s", "n"])
+        return pd.DataFrame(columns=_columns(_GRAMS))
     row = next(counted.itertuples())
-    g, c, s = (_numbers(b"".join(parts[x])) for x in "gcs")
-    order = np.argsort(g)  # each of them once
-    return pd.DataFrame([(row.bucket, row.g, c[order].tobytes(), s[order].tobytes(), row.n)], columns=["bucket", "g", "c", "s", "n"])
+    c, s = (_numbers(b"".join(parts[x])) for x in "cs")
+    order = np.argsort(joined(c, s))  # each of them once
+    return pd.DataFrame([(row.bucket, c[order].tobytes(), s[order].tobytes(), row.kind, row.n)], columns=_columns(_GRAMS))
 
 
 def _wanted(order: int, buckets: int) -> Callable:
@@ -270,7 +279,8 @@ def _asking(buckets: int) -> Callable:
 
 def _telling(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
     """(bucket, to, kind, told): counts of contexts and probabilities of suffixes."""
-    g, n, p = (_numbers(b"".join(held[x]), kind) for x, kind in (("g", np.uint64), ("n", np.int64), ("p", np.float64)))
+    g, p = (_numbers(b"".join(held[x]), kind) for x, kind in (("g", np.uint64), ("p", np.float32)))
+    n = np.concatenate([np.zeros(0, np.int64), *(_wide(k, b) for k, b in zip(held["kind"], held["n"], strict=True))])
     rows = [(r.bucket, r.to, r.kind, _looked(g, _numbers(r.keys), p if r.kind else n).tobytes()) for r in asked.itertuples()]
     return pd.DataFrame(rows, columns=["bucket", "to", "kind", "told"])
 
@@ -281,14 +291,13 @@ def _gathered(told: pd.DataFrame, kind: int) -> bytes:
     return b"".join(part.sort_values("to")["told"])
 
 
-def _given(grams: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's n-grams with their context's count and their probability behind the parent of the context."""
-    if grams.empty:
-        return pd.DataFrame(columns=["bucket", "g", "c", "n", "total", "below"])
-    row = next(grams.itertuples())
-    total = _numbers(_gathered(told, 0), np.int64)[distinct(_numbers(row.c))[2]]
-    below = _numbers(_gathered(told, 1), np.float64)[distinct(_numbers(row.s))[2]]
-    return pd.DataFrame([(row.bucket, row.g, row.c, row.n, total.tobytes(), below.tobytes())], columns=["bucket", "g", "c", "n", "total", "below"])
+def _given(row, told: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """A bucket's different contexts, a place of each and each n-gram's number among them; counts, contexts' counts, and
+    probabilities behind the parents of the contexts."""
+    every, first, number = distinct(_numbers(row.c))
+    total = _numbers(_gathered(told, 0), np.int64)[number]
+    below = _numbers(_gathered(told, 1), np.float32)[distinct(_numbers(row.s))[2]].astype(float)
+    return every, first, number, _wide(row.kind, row.n), total, below
 
 
 _SUMS = ("share", "seen", "stored", "gain", "total")
@@ -297,21 +306,21 @@ _SUMS = ("share", "seen", "stored", "gain", "total")
 def _summing(buckets: int) -> Callable:
     """A bucket's n-grams to (to, bucket, c, sums): what its different contexts add up to."""
 
-    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                n, total, below = (_numbers(x, kind) for x, kind in ((row.n, np.int64), (row.total, np.int64), (row.below, np.float64)))
-                every, first, number = distinct(_numbers(row.c))
-                add = lambda x: np.bincount(number, weights=x, minlength=len(every))  # noqa: B023, E731
-                share = (n - DISCOUNT) / total
-                sums = np.stack((add(share), add(n), add(np.ones(len(n))), add(n * np.log(share / below)), total[first].astype(float)), axis=1)
-                yield pd.DataFrame([(b, row.bucket, every[x].tobytes(), sums[x].tobytes()) for b, x in _slices(every, buckets)], columns=["to", "bucket", "c", "sums"])
+    def send(grams: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for row in grams.itertuples():
+            every, first, number, n, total, below = _given(row, told)
+            add = lambda x: np.bincount(number, weights=x, minlength=len(every))  # noqa: B023, E731
+            share = (n - DISCOUNT) / total
+            sums = np.stack((add(share), add(n), add(np.ones(len(n))), add(n * np.log(share / below)), total[first].astype(float)), axis=1)
+            rows += [(b, row.bucket, every[x].tobytes(), sums[x].tobytes()) for b, x in _slices(every, buckets)]
+        return pd.DataFrame(rows, columns=["to", "bucket", "c", "sums"])
 
     return send
 
 
 def _test(sent: pd.DataFrame) -> pd.DataFrame:
-    """Contexts' sums to (bucket, to, kind, told): rest, or 0 for no state, to each sender; and to the bucket itself, kind -1, states."""
+    """Contexts' sums to (bucket, to, kind, told, keys): to each sender, kind 2, rest, or 0 for no state; and states, kind -1."""
     c, sums = _numbers(b"".join(sent["c"])), _numbers(b"".join(sent["sums"]), np.float64).reshape(-1, len(_SUMS))
     every, first, number = distinct(c)
     share, seen, stored, gain = (np.bincount(number, weights=sums[:, i], minlength=len(every)) for i in range(4))
@@ -320,32 +329,34 @@ def _test(sent: pd.DataFrame) -> pd.DataFrame:
     rest = np.where(good, 1 - share, 0.0)
     told = np.split(rest[number], np.cumsum([len(x) // 8 for x in sent["c"]])[:-1])
     to = int(sent["to"].iloc[0])
-    rows = [(int(b), to, 0, x.tobytes(), b"") for b, x in zip(sent["bucket"], told, strict=True)]
+    rows = [(int(b), to, 2, x.tobytes(), b"") for b, x in zip(sent["bucket"], told, strict=True)]
     rows.append((to, to, -1, np.log10(rest[good]).tobytes(), every[good].tobytes()))
     return pd.DataFrame(rows, columns=["bucket", "to", "kind", "told", "keys"])
 
 
-def _priced(given: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's n-grams to (bucket, g, n, p, v): p behind the longest state, v what one adds to a text's log10 probability."""
-    if given.empty:
-        return pd.DataFrame(columns=["bucket", "g", "n", "p", "v"])
-    row = next(given.itertuples())
-    n, total, below = (_numbers(x, kind) for x, kind in ((row.n, np.int64), (row.total, np.int64), (row.below, np.float64)))
-    rest = _numbers(_gathered(told, 0), np.float64)[distinct(_numbers(row.c))[2]]
-    state = rest > 0
-    p = np.where(state, (n - DISCOUNT) / total + rest * below, below)
-    v = np.log10(p / np.where(state, rest * below, below))
-    return pd.DataFrame([(row.bucket, row.g, row.n, p.tobytes(), v.tobytes())], columns=["bucket", "g", "n", "p", "v"])
+def _priced(grams: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's n-grams to _PRICED: p behind the longest state, v what one adds to a text's log10 probability."""
+    rows = []
+    for row in grams.itertuples():
+        _, _, number, n, total, below = _given(row, told)
+        rest = _numbers(_gathered(told, 2), np.float64)[number]
+        state = rest > 0
+        p = np.where(state, (n - DISCOUNT) / total + rest * below, below)
+        v = np.log10(p / np.where(state, rest * below, below))
+        g = joined(_numbers(row.c), _numbers(row.s))
+        rows.append((row.bucket, g.tobytes(), row.kind, row.n, p.astype(np.float32).tobytes(), v.astype(np.float32).tobytes()))
+    return pd.DataFrame(rows, columns=_columns(_PRICED))
 
 
 def _first(size: float) -> Callable:
-    """Words and their counts to (bucket, g, n, p, v) at the root."""
+    """Words and their counts to _PRICED at the root."""
 
     def price(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples():
-                n = _numbers(row.n, np.int64)
-                yield pd.DataFrame([(row.bucket, row.g, row.n, ((n + 1) / size).tobytes(), np.zeros(len(n)).tobytes())], columns=["bucket", "g", "n", "p", "v"])
+                n = _wide(row.kind, row.n)
+                blobs = (((n + 1) / size).astype(np.float32).tobytes(), np.zeros(len(n), np.float32).tobytes())
+                yield pd.DataFrame([(row.bucket, row.c, row.kind, row.n, *blobs)], columns=_columns(_PRICED))
 
     return price
 
@@ -353,21 +364,19 @@ def _first(size: float) -> Callable:
 def _answerer(order: int) -> Callable:
     """What chunks want from a bucket and what it has to (chunk, bucket, k, n, v); 0 for what it has not.
 
-    It has (kind, g, n, v) of n-grams, kind 0, and of those that are states, kind 1.
+    It has _PRICED rows and, with kind -1, states (g, v) of contexts.
     """
 
     def answer(wanted: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        values = []
-        for kind in (0, 1):
-            part = held[held["kind"] == kind]
-            g, n, v = (_numbers(b"".join(part[x]), as_) for x, as_ in (("g", np.uint64), ("n", np.int64), ("v", np.float64)))
-            values.append((g, n, v))
+        grams, states = held[held["kind"] >= 0], held[held["kind"] < 0]
+        g, v = _numbers(b"".join(grams["g"])), _numbers(b"".join(grams["v"]), np.float32).astype(float)
+        n = np.concatenate([np.zeros(0, np.int64), *(_wide(k, b) for k, b in zip(grams["kind"], grams["n"], strict=True))])
+        c, left = _numbers(b"".join(states["g"])), _numbers(b"".join(states["v"]), np.float64)
         rows = []
         for row in wanted.itertuples():
             asked = _numbers(row.g)
-            v = sum(_looked(g, asked, v) for g, _, v in values)
-            n = _looked(*[values[0][0], asked, values[0][1]]).tobytes() if order == 1 else b""
-            rows.append((row.chunk, row.bucket, order, n, v.astype(np.float32).tobytes()))
+            value = _looked(g, asked, v) + _looked(c, asked, left)
+            rows.append((row.chunk, row.bucket, order, _looked(g, asked, n).tobytes() if order == 1 else b"", value.astype(np.float32).tobytes()))
         return pd.DataFrame(rows, columns=["chunk", "bucket", "k", "n", "v"])
 
     return answer
@@ -406,49 +415,36 @@ def chunks(docs: DataFrame) -> DataFrame:
     return given.mapInPandas(_chunk, _CHUNKS)
 
 
-def count(docs: DataFrame, scratch: Scratch, depth: int) -> tuple[DataFrame, list[DataFrame], int]:
-    """(chunks with their masks, tables of _GRAMS by order, buckets).
+def counted(now: DataFrame, order: int, buckets: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(chunks with one mask more, _GRAMS): all words, and longer n-grams that LEAST training texts' places have."""
+    asked = now.mapInPandas(_asked(order, buckets), "bucket int, chunk long, g binary, kind int, n binary")
+    table = asked.groupBy("bucket").applyInPandas(_counter(order), "chunk long, bucket int, bits binary, own binary, c binary, kind int, n binary")
+    table = scratch.keep(table, f"counted-{order}")
+    told = table.filter("chunk >= 0").select("chunk", "bucket", "bits", "own")
+    marked = now.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_marker(order, buckets), f"{_CHUNKS}, bucket int, c binary, s binary")
+    marked = scratch.keep(marked, f"chunks-{order}")
+    grams = table.filter("chunk = -1").select("bucket", "c", F.col("c").alias("s"), "kind", "n")
+    if order > 1:
+        parts = marked.filter("bucket >= 0").select("bucket", "c", "s")
+        grams = grams.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInPandas(_described, _GRAMS)
+    grams = scratch.keep(grams, f"grams-{order}")
+    scratch.drop(f"chunks-{order - 1}", f"counted-{order}")
+    return marked.filter("bucket = -1").select(*_columns(_CHUNKS)), grams
 
-    A bucket's row packs its n-grams: their keys g in order, those of their first and last words c and s, and their counts n
-    in training texts; of all words, and of longer n-grams with LEAST of them.
-    """
-    now = scratch.keep(chunks(docs), "chunks-0")
-    sizes = lambda frames: (pd.DataFrame({"n": [int(_numbers(x, np.int32).sum()) for x in f["sizes"]]}) for f in frames)
-    total = now.select("sizes").mapInPandas(sizes, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets, tables = max(4, -(-total // CHUNK)), []
-    for order in range(1, depth + 2):
-        asked = now.mapInPandas(_asked(order, buckets), "bucket int, chunk long, g binary, kind int, n binary")
-        counted = asked.groupBy("bucket").applyInPandas(_counter(order), "chunk long, bucket int, bits binary, own binary, g binary, n binary")
-        counted = scratch.keep(counted, f"counted-{order}")
-        told = counted.filter("chunk >= 0").select("chunk", "bucket", "bits", "own")
-        marked = now.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_marker(order, buckets), f"{_CHUNKS}, bucket int, g binary, c binary, s binary")
-        marked = scratch.keep(marked, f"chunks-{order}")
-        now = marked.filter("bucket = -1").select(*_columns(_CHUNKS))
-        table = counted.filter("chunk = -1").select("bucket", "g", F.col("g").alias("c"), F.col("g").alias("s"), "n")
-        if order > 1:
-            parts = marked.filter("bucket >= 0").select("bucket", "g", "c", "s")
-            table = table.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInPandas(_described, _GRAMS)
-        tables.append(scratch.keep(table, f"grams-{order}"))
-        scratch.drop(f"chunks-{order - 1}", f"counted-{order}")
-    return now, tables, buckets
-
-
-def level(grams: DataFrame, shorter: DataFrame, buckets: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """_GRAMS of an order and (bucket, g, n, p, v) of the one below to ((bucket, g, n, p, v), states (bucket, g, v)), all packed.
-
-    p is an n-gram's probability behind its longest state, v what it, or a state, adds to a text's log10 probability.
+
+def level(grams: DataFrame, shorter: DataFrame, buckets: int, scratch: Scratch, order: int) -> tuple[DataFrame, DataFrame]:
+    """_GRAMS of an order and _PRICED of the one below to (_PRICED, states (bucket, g, v)).
+
+    v is what an n-gram, or a state, adds to a text's log10 probability.
     """
     asked = grams.mapInPandas(_asking(buckets), "to int, bucket int, kind int, keys binary")
     told = asked.groupBy("to").cogroup(shorter.groupBy("bucket")).applyInPandas(_telling, "bucket int, to int, kind int, told binary")
-    told = scratch.keep(told, f"{name}-told")
-    given = grams.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(_given, "bucket int, g binary, c binary, n binary, total binary, below binary")
-    given = scratch.keep(given, f"{name}-given")
-    scratch.drop(f"{name}-told")
-    sent = given.mapInPandas(_summing(buckets), "to int, bucket int, c binary, sums binary")
-    tested = scratch.keep(sent.groupBy("to").applyInPandas(_test, "bucket int, to int, kind int, told binary, keys binary"), f"{name}-tested")
-    out = given.groupBy("bucket").cogroup(tested.filter("kind = 0").groupBy("bucket")).applyInPandas(_priced, "bucket int, g binary, n binary, p binary, v binary")
-    out = scratch.keep(out, f"{name}-priced")
-    scratch.drop(f"{name}-given")
+    told = scratch.keep(told, f"told-{order}")
+    sent = grams.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(_summing(buckets), "to int, bucket int, c binary, sums binary")
+    tested = scratch.keep(sent.groupBy("to").applyInPandas(_test, "bucket int, to int, kind int, told binary, keys binary"), f"tested-{order}")
+    every = told.unionByName(tested.filter("kind = 2").drop("keys"))
+    out = scratch.keep(grams.groupBy("bucket").cogroup(every.groupBy("bucket")).applyInPandas(_priced, _PRICED), f"priced-{order}")
+    scratch.drop(f"told-{order}", f"grams-{order}")
     return out, tested.filter("kind = -1").select("bucket", F.col("keys").alias("g"), F.col("told").alias("v"))
 
 
@@ -460,23 +456,33 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     whole. No order among rows matters, so there are no ties. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "suffixtree")
-    now, tables, buckets = count(docs, scratch, depth)
-    sizes = lambda frames: (pd.DataFrame({"v": [len(x) // 8 for x in f["n"]], "n": [int(_numbers(x, np.int64).sum()) for x in f["n"]]}) for f in frames)
-    whole = tables[0].select("n").mapInPandas(sizes, "v long, n long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "vn"]).first()
+    now = scratch.keep(chunks(docs), "chunks-0")
+    sizes = lambda frames: (pd.DataFrame({"n": [int(_numbers(x, np.int32).sum()) for x in f["sizes"]]}) for f in frames)
+    total = now.select("sizes").mapInPandas(sizes, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(4, -(-total // CHUNK))
+    now, grams = counted(now, 1, buckets, scratch)
+    sums = lambda frames: (pd.DataFrame([(len(n), int(n.sum())) for n in (_wide(*x) for x in zip(f["kind"], f["n"], strict=True))], columns=["v", "n"]) for f in frames)
+    whole = grams.select("kind", "n").mapInPandas(sums, "v long, n long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "vn"]).first()
     tokens, words = int(whole.n), int(whole.v)
-    shorter, told = tables[0].mapInPandas(_first(float(tokens + words + 1)), "bucket int, g binary, n binary, p binary, v binary"), None
-    for order in range(1, len(tables) + 1):
-        held = shorter.select(F.lit(0).alias("kind"), "bucket", "g", "n", "v")
-        if order < len(tables):
-            longer, states = level(tables[order], shorter, buckets, scratch, f"level-{order + 1}")
-            held = held.unionByName(states.select(F.lit(1).alias("kind"), "bucket", "g", F.lit(b"").alias("n"), "v"))
+    priced = scratch.keep(grams.mapInPandas(_first(float(tokens + words + 1)), _PRICED), "priced-1")
+    scratch.drop("grams-1")
+    answers = []
+    for order in range(1, depth + 2):
+        # contexts of this order are states by the n-grams of the next
+        held = priced.select("kind", "bucket", "g", "n", "v")
+        if order <= depth:
+            now, grams = counted(now, order + 1, buckets, scratch)
+            longer, states = level(grams, priced, buckets, scratch, order + 1)
+            held = held.unionByName(states.select(F.lit(-1).alias("kind"), "bucket", "g", F.lit(b"").alias("n"), "v"))
         wanted = now.mapInPandas(_wanted(order, buckets), "bucket int, chunk long, g binary")
-        answers = wanted.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(_answerer(order), "chunk long, bucket int, k int, n binary, v binary")
-        answers = scratch.keep(answers, f"answers-{order}")
-        scratch.drop(f"grams-{order}", f"level-{order}-priced", f"level-{order + 1}-tested")
-        told = answers if told is None else told.unionByName(answers)
-        shorter = longer if order < len(tables) else None
+        told = wanted.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(_answerer(order), "chunk long, bucket int, k int, n binary, v binary")
+        answers.append(scratch.keep(told, f"answers-{order}"))
+        scratch.drop(f"priced-{order}", f"tested-{order + 1}")
+        priced = longer if order <= depth else None
+    told = answers[0]
+    for more in answers[1:]:
+        told = told.unionByName(more)
     scored = now.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(
-        _scorer(len(tables), buckets, tokens, words), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        _scorer(len(answers), buckets, tokens, words), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
