@@ -1,4 +1,10 @@
-"""From documents to a sharded training mix, one operator a stage."""
+"""From documents to a sharded training mix, one operator a stage.
+
+Every stage reads all rows that its predecessor kept and no column but doc_id, text and source (the first also the table
+labels, the third benchmark). Null and empty texts are clean, no copies of anything, and kept once by the mix; repeated rows
+are copies; very long texts are read whole; ties go by the least doc_id, then by the row's key; empty tables stay empty;
+further columns are carried along, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -9,13 +15,13 @@ from eventloom.llm.common import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labelled ones among them, does not call toxic."""
+    """Documents that the classifier, learned from the labelled ones among them, does not call toxic; without labels all."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the one of the least doc_id, a null doc_id only if there is no other."""
     return bagminhash.drop_near_duplicates(docs)
 
 
@@ -31,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row."""
-    return sharding.assign_shards(docs, 16)
+    """The rows with their shard and slot."""
+    return sharding.shard_documents(docs, 16)
 
 
 STAGES = [
