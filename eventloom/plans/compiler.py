@@ -249,6 +249,12 @@ class Plan:
         channel = ["channel"] if self.spec.channels else []
         return self.evaluated([None]).select(*self.keep, *channel, *names)
 
+    def varied_rows(self) -> DataFrame:
+        """As rows, for every shape, told by the column variation: what a skim is partitioned by."""
+        names = [n for n, _ in self.bodies[0][1].outputs]
+        channel = ["channel"] if self.spec.channels else []
+        return self.evaluated(self.shapes).select(*self.keep, *channel, F.col("shape").alias("variation"), *names)
+
     def weighted(self) -> DataFrame:
         """As rows, with each event's nominal weight."""
         return self.evaluated([None]).select(*self.keep, *[n for n, _ in self.bodies[0][1].outputs], F.get("__w", F.lit(0))["w"].alias("weight"))
@@ -269,6 +275,8 @@ class Plan:
         return H.complete(filled, whole)
 
     def cutflow(self) -> DataFrame:
-        """events_seen and events_selected, counted over one scan."""
-        seen = self.events.agg(F.count("*").alias("events_seen"))
-        return seen.crossJoin(self.rows().agg(F.count("*").alias("events_selected")))  # one row each
+        """events_seen and events_selected in one aggregation; counting what was seen reads no column."""
+        seen = self.events.select(F.lit(1).alias("events_seen"), F.lit(0).alias("events_selected"))
+        chosen = self.rows().select(F.lit(0).alias("events_seen"), F.lit(1).alias("events_selected"))
+        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("events_seen", "events_selected")]
+        return seen.unionByName(chosen).agg(*sums)

@@ -87,30 +87,26 @@ def _range(ev: DataFrame) -> DataFrame:
     return ev.filter(F.col("event").between(101, 900)).select("event", "process")
 
 
-@over_events("S11_count_branch", "select event, idx, round(pt, 6) as pt from mu where event % 3 = 0")
-def _flat_and_back(ev: DataFrame) -> DataFrame:
-    return _there_and_back(ev.filter("event % 3 = 0"))
-
-
-@over_events("S11_count_branch_all", "select event, idx, round(pt, 6) as pt from mu")
+@over_events("S11_count_branch", "select event, idx, round(pt, 6) as pt from mu")
 def _there_and_back(ev: DataFrame) -> DataFrame:
-    """S11 over all events; S11_count_branch keeps the filter that its SQL has."""
     from eventloom.schema import flatten, to_collections
 
     again = to_collections(flatten(ev.select("event", "Muon")), {"Muon": ["pt", "eta", "charge"]})
     return again.select("event", F.inline("Muon")).select("event", F.col("idx").cast("long").alias("idx"), F.col("pt").cast("double").alias("pt"))
 
 
-@over_events("S12_optional_branch", "select event, 1.0 as weight, false as HLT_other from ev where HLT_A")
+@over_events("S12_optional_branch", "select event, 1.0 as weight, false as HLT_other, HLT_A as hlt from ev")
 def _optional(ev: DataFrame) -> DataFrame:
     from eventloom.schema import optional
 
-    return ev.filter("HLT_A").select("event", optional(ev, "genWeight", 1.0).alias("weight"), optional(ev, "HLT_other", False).alias("HLT_other"))
+    return ev.select("event", optional(ev, "genWeight", 1.0).alias("weight"), optional(ev, "HLT_other", False).alias("HLT_other"), optional(ev, "HLT_A", False).alias("hlt"))
 
 
 @over_events("S14_preselection", "select event from ev where (select count(*) from mu where mu.event = ev.event and pt > 30 and abs(eta) < 1.5) > 0 and (select count(*) from jet where jet.event = ev.event) > 0")
 def _preselection(ev: DataFrame) -> DataFrame:
-    return ev.filter(F.exists("Muon", lambda m: (m["pt"] > 30) & (F.abs(m["eta"]) < 1.5)) & (F.size("Jet") > 0)).select("event")
+    from eventloom.sources.events import preselect
+
+    return preselect(ev, F.exists("Muon", lambda m: (m["pt"] > 30) & (F.abs(m["eta"]) < 1.5)) & (F.size("Jet") > 0)).select("event")
 
 
 @over_events("P8_lumi_mask", "select event, run, luminosityBlock as ls from ev where (run = 1995 and (luminosityBlock between 2 and 4 or luminosityBlock between 7 and 9)) or (run = 1997 and luminosityBlock between 6 and 12)")
@@ -385,6 +381,15 @@ def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 with_sql("U1_channels", "select event, 'two' as channel, cast(count(*) as int) as n, round(sum(pt), 6) as s from mu where pt > 20 group by event having count(*) = 2 union all select event, 'jets', cast(count(*) as int), round(sum(pt), 6) from jet where pt > 30 group by event having sum(pt) > 80")(_union)
 
+
+def _varied_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K10: a skim's rows with the variation that they belong to."""
+    text = "weight nominal;\ncorrection jes kind scale collection m attr pt up 1.05 down 0.95;\nobject m : Muon { pt > 30 GeV; abs(eta) < 2; }\nregion r { count(m) >= 1; }\noutput lead = leading(m).pt;"
+    return rounded(Plan(spec(text), eventview.events(spark, sf_dir), ["event"]).varied_rows(), 4)
+
+
+with_sql("K10_rows_by_variation", "select event, variation, round(max(pt), 4) as lead from picked group by event, variation", SHAPED)(_varied_rows)
+
 STACK = MUON + "region r { count(m) >= 1; }\nhistogram lead { expr = leading(m).pt; bins = 12; range = [20, 80]; }"
 
 
@@ -500,6 +505,54 @@ def _seed(ev: DataFrame) -> DataFrame:
     return ev.select("event", V.smearing_seed(F.col("run"), F.col("luminosityBlock"), F.col("event"), first).alias("seed"))
 
 
+TOP_WEIGHT = "(0.103::double * exp(-0.0118::double * least(greatest(pt, 0), 2000)) - 0.000134::double * least(greatest(pt, 0), 2000) + 0.973::double)"
+
+
+@over_events("C10_pileup_weight", "select event, case when is_mc then greatest(0.0, least(10.0, least(99.0, greatest(0.0, 30.0 * (select count(*) from mu where mu.event = ev.event))) * 0.2))::double else 1.0::double end as w from ev")
+def _pileup(ev: DataFrame) -> DataFrame:
+    return ev.select("event", V.pileup_weight(30 * F.size("Muon"), lambda n: n * 0.2, F.col("is_mc")).alias("w"))
+
+
+@over_events("C11_top_pt_weight", "select event, round(case when is_mc and event in (select event from gen where pdgId = 6 group by event having count(*) = 2) then sqrt((select product(" + TOP_WEIGHT + ") from gen where gen.event = ev.event and pdgId = 6)) else 1.0 end, 6) as w from ev", GEN)
+def _top_weight(ev: DataFrame) -> DataFrame:
+    return ev.select("event", V.top_pt_weight(_gen(), "2018", F.col("is_mc")).alias("w"))
+
+
+@over_events("C12_jet_veto", "select event, cast(exists (select 1 from jet where jet.event = ev.event and pt > 15 and (cast(iso * 100 as int) & 2) <> 0 and iso < 0.8::double and eta > 0 and phi > 0) as int) as flag, -99 as before from ev")
+def _veto(ev: DataFrame) -> DataFrame:
+    jets = F.transform("Jet", lambda x: x.withField("jetId", F.round(x["iso"].cast("double") * 100).cast("int")).withField("muEF", x["iso"]))
+    at = lambda eta, phi: ((eta > 0) & (phi > 0)).cast("double")
+    flag = lambda era: V.jet_veto_flag(jets, {"jetId", "muEF"}, "v12", era, at)
+    return ev.select("event", flag("2022").alias("flag"), flag("2018").alias("before"))
+
+
+@over_events("C14_prefiring", "select event, case when is_mc then 0.9::double + 0.001::double * luminosityBlock else 1.0::double end as w2017, 1.0::double as w2018 from ev")
+def _prefired(ev: DataFrame) -> DataFrame:
+    df = ev.withColumn("L1PreFiringWeight_Nom", 0.9 + 0.001 * F.col("luminosityBlock"))
+    return df.select("event", *[V.prefiring(df, "Nom", era, F.col("is_mc")).alias(f"w{era}") for era in ("2017", "2018")])
+
+
+@over_events("M15_varied_jet", "select event, idx, round(pt * 1.05::double * cos(phi), 6) as px, round(pt * 1.05::double * sinh(eta), 6) as pz, round(sqrt(pow(mass * 1.05::double, 2) + pow(pt * 1.05::double * cosh(eta), 2)), 6) as e from jet")
+def _varied_one(ev: DataFrame) -> DataFrame:
+    rows = ev.select("event", F.explode("Jet").alias("j"))
+    v = K.varied_jet(F.col("j.pt"), F.col("j.eta"), F.col("j.phi"), F.col("j.mass"), F.lit(1.05))
+    return rows.select("event", F.col("j.idx").cast("long").alias("idx"), v.alias("v")).select("event", "idx", "v.px", "v.pz", "v.e")
+
+
+@over_events("M14_soft_drop", """select event, round(cast(cast(sqrt(greatest(pow(sum(e), 2) - pow(sum(px), 2) - pow(sum(py), 2) - pow(sum(pz), 2), 0)) as float) as double), 2) as m from (
+  select event, pt * cos(phi) as px, pt * sin(phi) as py, pt * sinh(eta) as pz, sqrt(pow(pt * cosh(eta), 2) + mass * mass) as e from jet where idx < 2 and event in (select event from jet where idx = 1)) group by event""")
+def _soft_drop(ev: DataFrame) -> DataFrame:
+    pair = F.struct(F.lit(0).alias("subJetIdx1"), F.lit(1).alias("subJetIdx2"))
+    return ev.filter(F.size("Jet") > 1).select("event", F.round(V.soft_drop_mass(pair, F.col("Jet")).cast("double"), 2).alias("m"))
+
+
+@over_events("A17_farthest", """select jet.event, jet.idx, round(coalesce(max(sqrt(pow(mu.eta - jet.eta, 2) + pow((jet.phi - mu.phi) - 2 * pi() * round((jet.phi - mu.phi) / (2 * pi())), 2))), 99), 3) as dr
+  from jet left join mu on mu.event = jet.event group by jet.event, jet.idx""")
+def _farthest(ev: DataFrame) -> DataFrame:
+    far = F.transform("Jet", lambda j: V.farthest(j, F.col("Muon")))
+    return ev.select("event", F.posexplode(far).alias("idx", "dr")).select("event", F.col("idx").cast("long").alias("idx"), F.round(F.col("dr").cast("double"), 3).alias("dr"))
+
+
 @over_events("F13_compare", "select 'Muon' as column, 'both' as found, 0::bigint as missing, (select count(*) from ev where event > 1400) as extra, (select count(distinct event) from mu where event <= 1400 and pt > 50) as differing union all select 'event', 'both', 0, (select count(*) from ev where event > 1400), 0")
 def _compare(ev: DataFrame) -> DataFrame:
     from eventloom.compare import compare

@@ -8,8 +8,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Up to this many ranges become a condition in the plan; beyond, a join does the same.
-MOST_INLINE = 500
+#: Up to this many ranges become a condition in the plan; beyond, a join does the same, and up to MOST_SENT the mask is sent
+#: to the events, which stay where they are.
+MOST_INLINE, MOST_SENT = 500, 1_000_000
 
 
 def read_lumi_mask(path: str) -> dict[int, list[tuple[int, int]]]:
@@ -38,11 +39,11 @@ def lumi_condition(mask: dict[int, list[tuple[int, int]]], run: Column, section:
 
 
 def certified(df: DataFrame, mask: dict[int, list[tuple[int, int]]]) -> DataFrame:
-    """The rows of certified sections; many ranges are joined, each run's as one row, so that no row is doubled."""
-    if sum(len(r) for r in mask.values()) <= MOST_INLINE:
+    """The rows of certified sections; many ranges are semi-joined, each run's as one row."""
+    n = sum(len(r) for r in mask.values())
+    if n <= MOST_INLINE:
         return df.filter(lumi_condition(mask, F.col("run"), F.col("luminosityBlock")))
     spark: SparkSession = df.sparkSession
-    rows = [(run, [list(x) for x in ranges]) for run, ranges in mask.items()]
-    table = spark.createDataFrame(rows, "_run long, _ranges array<array<long>>")
+    table = spark.createDataFrame([(run, [list(x) for x in ranges]) for run, ranges in mask.items()], "_run long, _ranges array<array<long>>")
     within = F.exists("_ranges", lambda r: F.col("luminosityBlock").between(r[0], r[1]))
-    return df.join(table, F.col("run") == F.col("_run")).filter(within).drop("_run", "_ranges")
+    return df.join(F.broadcast(table) if n <= MOST_SENT else table, (F.col("run") == F.col("_run")) & within, "left_semi")

@@ -88,11 +88,16 @@ def run(spec: Spec, table: SampleTable, read: Callable[[Sample], DataFrame]) ->
     spark = events.sparkSession
     facts = spark.createDataFrame([(i, "data_obs" if s.data else s.process, s.data, float(s.factor(table.lumi))) for i, s in enumerate(table.samples)], "__sample int, process string, data boolean, factor double")
     plan = Plan(spec, events, ["__sample"])
-    filled = H.fill(plan.fills(), ["__sample", "hist", "variation"]).join(facts, "__sample")
+    # the sums by bin are few; histograms and report share them, so the events are evaluated once
+    filled = H.fill(plan.fills(), ["__sample", "hist", "variation"]).join(F.broadcast(facts), "__sample").persist()
     scaled = H.add(H.scale(filled, F.col("factor")), ["process"])
     whole = H.frame(spark, {h.name: h.bins for h in spec.histograms}, spec.variations())
     complete = H.complete(scaled, whole, facts.select("process").distinct())
     seen = events.groupBy("__sample").agg(F.count("*").alias("events_read"))
-    chosen = plan.rows().groupBy("__sample").agg(F.count("*").alias("events_selected"))
+    if spec.histograms:  # each selected event fills each histogram once
+        first = (F.col("hist") == spec.histograms[0].name) & (F.col("variation") == "Nominal")
+        chosen = filled.filter(first).groupBy("__sample").agg(F.sum("entries").alias("events_selected"))
+    else:
+        chosen = plan.rows().groupBy("__sample").agg(F.count("*").alias("events_selected"))
     report = facts.join(seen, "__sample", "left").join(chosen, "__sample", "left").fillna(0, ["events_read", "events_selected"])
     return complete, report.select(F.col("__sample").alias("sample"), "process", "events_read", "events_selected", "factor")
