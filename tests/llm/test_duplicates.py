@@ -127,6 +127,23 @@ def edit(a, b):
     return row[-1]
 
 
+def test_bounds_and_bits_against_the_plain_edit_distance():
+    rng = random.Random(6)
+    for n in range(1500):
+        alphabet = "abé " if n % 2 else "ab"
+        a = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 30)))
+        b = list(a)
+        for _ in range(rng.randrange(0, 9)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", *alphabet])
+        b = "".join(b)
+        true = edit(a, b)
+        assert fuzzy_lines.least_edits([a], [b])[0] <= true
+        for most in range(12):
+            assert fuzzy_lines.within(a, b, most) == (true <= most)
+            assert true <= most or not fuzzy_lines.at_most(a.split(" "), b.split(" "), most)
+
+
 def line_texts(seed):
     rng = random.Random(seed)
     bases = [" ".join(f"word{rng.randrange(300)}" for _ in range(rng.randrange(3, 25))) for _ in range(12)]
