@@ -44,7 +44,9 @@ _INSIDE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 _NORMAL = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 #: The key that stands for the end of a text.
 END = np.uint64(1)
-_CHUNKS = "chunk long, ids array<string>, held binary, sizes binary, words binary, codes binary, masks array<binary>"
+_CHUNKS = "chunk long, ids array<string>, held binary, sizes binary, words binary, codes binary"
+#: What is told to a chunk: by a bucket, or as a mask of its places, whose bucket is -order.
+_TOLD = "chunk long, bucket int, bits binary, own binary"
 #: A bucket's n-grams: contexts, suffixes and counts; of words the keys alone, as c. Keys are joined(c, s).
 _GRAMS = "bucket int, c binary, s binary, kind int, n binary"
 _PRICED = "bucket int, g binary, kind int, n binary, p binary, v binary"
@@ -99,8 +101,8 @@ def _chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def packed() -> pd.DataFrame:
         words, _, codes = distinct(np.concatenate(keys))
-        row = (number, ids, np.array(held, dtype=np.uint8).tobytes(), np.concatenate(sizes).astype(np.int32).tobytes(), words.tobytes(), packer.compress(codes.astype(np.int32).tobytes()), [])
-        return pd.DataFrame([row], columns=["chunk", "ids", "held", "sizes", "words", "codes", "masks"])
+        row = (number, ids, np.array(held, dtype=np.uint8).tobytes(), np.concatenate(sizes).astype(np.int32).tobytes(), words.tobytes(), packer.compress(codes.astype(np.int32).tobytes()))
+        return pd.DataFrame([row], columns=_columns(_CHUNKS))
 
     for frame in frames:
         for begin, texts in batches(frame["text"]):
@@ -123,8 +125,9 @@ def _chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class _Tokens:
     """A chunk's tokens, and its n-grams by the place of their last token."""
 
-    def __init__(self, row):
+    def __init__(self, row, told: pd.DataFrame | None = None):
         self.row = row
+        self.masks = {} if told is None else {-b: x for b, x in zip(told["bucket"], told["bits"], strict=True) if b < 0}
         self.sizes, self.words = _numbers(row.sizes, np.int32), _numbers(row.words)
         self.codes = _numbers(zstandard.ZstdDecompressor().decompress(row.codes), np.int32)
 
@@ -137,7 +140,7 @@ class _Tokens:
         return np.repeat(_numbers(self.row.held, np.uint8) == 0, self.sizes)
 
     def mask(self, order: int) -> np.ndarray:
-        return np.unpackbits(_numbers(self.row.masks[order - 1], np.uint8), count=len(self.codes)).view(bool)
+        return np.unpackbits(_numbers(self.masks[order], np.uint8), count=len(self.codes)).view(bool)
 
     def grams(self, order: int, known: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places, keys, keys of n-grams one shorter at every place) of n-grams that may be repeated, or that are known to be."""
@@ -165,17 +168,31 @@ class _Tokens:
         return at, every, at[first], number, before
 
 
+def _each(work: Callable, columns: list[str]) -> Callable:
+    """A function of (chunk, told) frames that gives rows of `work` for the chunk's tokens."""
+
+    def run(chunk: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        rows = [] if chunk.empty else work(_Tokens(next(chunk.itertuples()), told))
+        return pd.DataFrame(rows, columns=columns)
+
+    return run
+
+
+def over_chunks(now: DataFrame, told: DataFrame | None, work: Callable, kinds: str) -> DataFrame:
+    """Rows of `work` for all chunks, with what is told to them."""
+    run = _each(work, _columns(kinds))
+    if told is None:
+        return now.mapInPandas(lambda frames: (run(f.iloc[i : i + 1], None) for f in frames for i in range(len(f))), kinds)
+    return now.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(run, kinds)
+
+
 def _asked(order: int, buckets: int) -> Callable:
-    """Chunks to (bucket, chunk, g, kind, n): the different n-grams, and their count in training texts as numbers of kind bytes."""
+    """(bucket, chunk, g, kind, n): a chunk's different n-grams, and their count in training texts as numbers of kind bytes."""
 
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                tokens = _Tokens(row)
-                at, every, _, number, _ = tokens.distinct(order)
-                n = np.bincount(number[tokens.train[at]], minlength=len(every))
-                rows = [(b, row.chunk, every[x].tobytes(), *_narrow(n[x])) for b, x in _slices(every, buckets)]
-                yield pd.DataFrame(rows, columns=["bucket", "chunk", "g", "kind", "n"])
+    def ask(tokens: _Tokens) -> list[tuple]:
+        at, every, _, number, _ = tokens.distinct(order)
+        n = np.bincount(number[tokens.train[at]], minlength=len(every))
+        return [(b, tokens.row.chunk, every[x].tobytes(), *_narrow(n[x])) for b, x in _slices(every, buckets)]
 
     return ask
 
@@ -206,28 +223,23 @@ def _counter(order: int) -> Callable:
 
 
 def _marker(order: int, buckets: int) -> Callable:
-    """A chunk and what buckets tell it to the chunk with a mask more, and rows of what it is to describe.
-
-    The latter have bucket, which is -1 for the chunk, contexts c and suffixes s.
-    """
+    """(chunk, bucket, bits, own, c, s): a chunk's mask, and contexts c and suffixes s of the n-grams that it is to describe."""
 
     def mark(chunk: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        names = [*_columns(_CHUNKS), "bucket", "c", "s"]
-        if chunk.empty:
-            return pd.DataFrame(columns=names)
-        row = next(chunk.itertuples())
-        tokens, bits = _Tokens(row), dict(zip(told["bucket"], zip(told["bits"], told["own"], strict=True), strict=True))
-        at, every, first, number, before = tokens.distinct(order)
-        known, rows = np.zeros(len(every), dtype=bool), []
-        for b, x in _slices(every, buckets):
-            known[x], own = (np.unpackbits(_numbers(y, np.uint8), count=x.stop - x.start).view(bool) for y in bits[b])
-            if order > 1 and own.any():
-                places = first[x][own]
-                rows.append((row.chunk, *[None] * 6, b, before[places - 1].tobytes(), before[places].tobytes()))
-        mask = np.zeros(len(tokens.codes), dtype=bool)
-        mask[at] = known[number]
-        own = (row.chunk, row.ids, row.held, row.sizes, row.words, row.codes, [*row.masks, np.packbits(mask).tobytes()], -1, None, None)
-        return pd.DataFrame([own, *rows], columns=names)
+        rows = []
+        for row in chunk.itertuples():
+            tokens, bits = _Tokens(row, told), dict(zip(told["bucket"], zip(told["bits"], told["own"], strict=True), strict=True))
+            at, every, first, number, before = tokens.distinct(order)
+            known = np.zeros(len(every), dtype=bool)
+            for b, x in _slices(every, buckets):
+                known[x], own = (np.unpackbits(_numbers(y, np.uint8), count=x.stop - x.start).view(bool) for y in bits[b])
+                if order > 1 and own.any():
+                    places = first[x][own]
+                    rows.append((row.chunk, b, None, None, before[places - 1].tobytes(), before[places].tobytes()))
+            mask = np.zeros(len(tokens.codes), dtype=bool)
+            mask[at] = known[number]
+            rows.append((row.chunk, -order, np.packbits(mask).tobytes(), None, None, None))
+        return pd.DataFrame(rows, columns=["chunk", "bucket", "bits", "own", "c", "s"])
 
     return mark
 
@@ -243,15 +255,14 @@ def _described(counted: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
 
 
 def _wanted(order: int, buckets: int) -> Callable:
-    """Chunks to (bucket, chunk, g): the different n-grams that are repeated, or all words."""
+    """(bucket, chunk, g): a chunk's different n-grams that are repeated, or all words."""
 
-    def want(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                tokens = _Tokens(row)
-                every = tokens.words if order == 1 else tokens.grams(order, known=True)[1]
-                every = every if order == 1 else (ranked := np.sort(every))[opened(ranked)]
-                yield pd.DataFrame([(b, row.chunk, every[x].tobytes()) for b, x in _slices(every, buckets)], columns=["bucket", "chunk", "g"])
+    def want(tokens: _Tokens) -> list[tuple]:
+        every = tokens.words
+        if order > 1:
+            every = np.sort(tokens.grams(order, known=True)[1])
+            every = every[opened(every)]
+        return [(b, tokens.row.chunk, every[x].tobytes()) for b, x in _slices(every, buckets)]
 
     return want
 
@@ -383,14 +394,14 @@ def _answerer(order: int) -> Callable:
 
 
 def _scorer(orders: int, buckets: int, tokens: int, words: int) -> Callable:
-    """A chunk and its answers to a row for each of its texts."""
+    """A chunk with its answers, kind k, and its masks, kind 0, to a row for each of its texts."""
 
     def score(chunk: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
         if chunk.empty:
             return pd.DataFrame(columns=names)
         row = next(chunk.itertuples())
-        own, size = _Tokens(row), float(tokens + words + 1)
+        own, size = _Tokens(row, told[told["k"] == 0].rename(columns={"v": "bits"})), float(tokens + words + 1)
         found = {(k, b): (n, v) for k, b, n, v in zip(told["k"], told["bucket"], told["n"], told["v"], strict=True)}
         total = np.zeros(len(own.codes))
         for k in range(1, orders + 1):
@@ -415,21 +426,21 @@ def chunks(docs: DataFrame) -> DataFrame:
     return given.mapInPandas(_chunk, _CHUNKS)
 
 
-def counted(now: DataFrame, order: int, buckets: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(chunks with one mask more, _GRAMS): all words, and longer n-grams that LEAST training texts' places have."""
-    asked = now.mapInPandas(_asked(order, buckets), "bucket int, chunk long, g binary, kind int, n binary")
+def counted(now: DataFrame, masks: DataFrame | None, order: int, buckets: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(the chunks' masks of this order, _GRAMS): all words, and longer n-grams that LEAST training texts' places have."""
+    asked = over_chunks(now, masks, _asked(order, buckets), "bucket int, chunk long, g binary, kind int, n binary")
     table = asked.groupBy("bucket").applyInPandas(_counter(order), "chunk long, bucket int, bits binary, own binary, c binary, kind int, n binary")
     table = scratch.keep(table, f"counted-{order}")
-    told = table.filter("chunk >= 0").select("chunk", "bucket", "bits", "own")
-    marked = now.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_marker(order, buckets), f"{_CHUNKS}, bucket int, c binary, s binary")
-    marked = scratch.keep(marked, f"chunks-{order}")
+    told = table.filter("chunk >= 0").select(*_columns(_TOLD))
+    told = told if masks is None else told.unionByName(masks)
+    marked = scratch.keep(now.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_marker(order, buckets), f"{_TOLD}, c binary, s binary"), f"marked-{order}")
     grams = table.filter("chunk = -1").select("bucket", "c", F.col("c").alias("s"), "kind", "n")
     if order > 1:
         parts = marked.filter("bucket >= 0").select("bucket", "c", "s")
         grams = grams.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInPandas(_described, _GRAMS)
-    grams = scratch.keep(grams, f"grams-{order}")
-    scratch.drop(f"chunks-{order - 1}", f"counted-{order}")
-    return marked.filter("bucket = -1").select(*_columns(_CHUNKS)), grams
+    grams, masks = scratch.keep(grams, f"grams-{order}"), scratch.keep(marked.filter("bucket < 0").select(*_columns(_TOLD)), f"masks-{order}")
+    scratch.drop(f"marked-{order}", f"counted-{order}")
+    return masks, grams
 
 
 def level(grams: DataFrame, shorter: DataFrame, buckets: int, scratch: Scratch, order: int) -> tuple[DataFrame, DataFrame]:
@@ -460,29 +471,30 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     sizes = lambda frames: (pd.DataFrame({"n": [int(_numbers(x, np.int32).sum()) for x in f["sizes"]]}) for f in frames)
     total = now.select("sizes").mapInPandas(sizes, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(4, -(-total // CHUNK))
-    now, grams = counted(now, 1, buckets, scratch)
+    masks, grams = counted(now, None, 1, buckets, scratch)
     sums = lambda frames: (pd.DataFrame([(len(n), int(n.sum())) for n in (_wide(*x) for x in zip(f["kind"], f["n"], strict=True))], columns=["v", "n"]) for f in frames)
     whole = grams.select("kind", "n").mapInPandas(sums, "v long, n long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "vn"]).first()
     tokens, words = int(whole.n), int(whole.v)
     priced = scratch.keep(grams.mapInPandas(_first(float(tokens + words + 1)), _PRICED), "priced-1")
     scratch.drop("grams-1")
-    answers = []
+    told = []
     for order in range(1, depth + 2):
         # contexts of this order are states by the n-grams of the next
         held = priced.select("kind", "bucket", "g", "n", "v")
+        here = masks
         if order <= depth:
-            now, grams = counted(now, order + 1, buckets, scratch)
+            masks, grams = counted(now, masks, order + 1, buckets, scratch)
             longer, states = level(grams, priced, buckets, scratch, order + 1)
             held = held.unionByName(states.select(F.lit(-1).alias("kind"), "bucket", "g", F.lit(b"").alias("n"), "v"))
-        wanted = now.mapInPandas(_wanted(order, buckets), "bucket int, chunk long, g binary")
-        told = wanted.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(_answerer(order), "chunk long, bucket int, k int, n binary, v binary")
-        answers.append(scratch.keep(told, f"answers-{order}"))
+        wanted = over_chunks(now, here if order > 1 else None, _wanted(order, buckets), "bucket int, chunk long, g binary")
+        answers = wanted.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(_answerer(order), "chunk long, bucket int, k int, n binary, v binary")
+        told += [scratch.keep(answers, f"answers-{order}"), here.select("chunk", "bucket", F.lit(0).alias("k"), F.lit(b"").alias("n"), F.col("bits").alias("v"))]
         scratch.drop(f"priced-{order}", f"tested-{order + 1}")
         priced = longer if order <= depth else None
-    told = answers[0]
-    for more in answers[1:]:
-        told = told.unionByName(more)
-    scored = now.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(
-        _scorer(len(answers), buckets, tokens, words), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    every = told[0]
+    for more in told[1:]:
+        every = every.unionByName(more)
+    scored = now.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInPandas(
+        _scorer(depth + 1, buckets, tokens, words), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
