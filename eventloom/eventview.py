@@ -6,11 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Views that are written, by the folder of their tables.
+WRITTEN: dict[str, str] = {}
+
+
+def write(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Writes the view of a folder's tables once; events() reads it from then on, with the columns that a plan needs."""
+    WRITTEN.pop(sf_dir, None)
+    events(spark, sf_dir).write.mode("overwrite").parquet(path)
+    WRITTEN[sf_dir] = path
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event, run, luminosityBlock, HLT_A, process, is_mc, Muon, Jet.
 
     Lines are gathered by order once, with partial aggregation; an order without lines has empty collections.
     """
+    if sf_dir in WRITTEN:
+        return spark.read.parquet(WRITTEN[sf_dir])
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     charge = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", -1).when(F.col("l_suppkey") % 2 == 0, 1).otherwise(-1)
