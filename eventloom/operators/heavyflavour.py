@@ -138,15 +138,18 @@ def children(particles: Column) -> Column:
 
 
 def last_copies(particles: Column, daughters: Column) -> Column:
-    """For each particle the index of its last copy: the first daughter of the same kind, again and again."""
+    """For each particle the index of its last copy: the first daughter of the same kind, again and again.
+
+    Each round goes twice as far, so there are as many rounds as the number of particles has binary digits.
+    """
 
     def of(g: Column, d: Column) -> Column:
-        def following(i: Column) -> Column:
-            same = F.filter(F.get(d, i), lambda k: F.get(g, k)["pdgId"] == F.get(g, i)["pdgId"])
-            return F.coalesce(F.get(same, F.lit(0)), i)
+        def following(p: Column, i: Column) -> Column:
+            same = F.filter(F.get(d, i), lambda k: F.get(g, k)["pdgId"] == p["pdgId"])
+            return F.coalesce(F.get(same, F.lit(0)).cast("int"), i.cast("int"))
 
-        # after as many steps as there are particles nothing moves
-        return F.transform(g, lambda p, i: F.aggregate(g, i, lambda at, _: following(at)))
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(g), F.lit(2)).cast("double"))).cast("int"))
+        return F.aggregate(rounds, F.transform(g, following), lambda at, _: F.transform(at, lambda i: F.get(at, i)))
 
     return let(F.struct(particles.alias("g"), daughters.alias("d")), lambda v: of(v["g"], v["d"]))
 
