@@ -10,12 +10,14 @@ and round, and no pair that could join two groups goes unseen.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Scratch
+from eventloom.llm.common import Scratch, bitmap, has
 
 
 #: Buckets of each item that the first round takes.
@@ -51,6 +53,29 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
 
 
+def shared_only(items: DataFrame, scratch: Scratch) -> DataFrame:
+    """items with those of their buckets that others have too, without items that have none.
+
+    Buckets are counted, and the counted ones told by a bitmap, so a few that nobody shares stay by chance.
+    """
+    seen = items.select(F.explode("buckets").alias("b")).groupBy("b").agg(F.count("*").alias("n")).filter("n > 1").select("b")
+    bits = items.sparkSession.sparkContext.broadcast(bitmap(scratch.keep(seen, "seen"), F.col("b")))
+    scratch.drop("seen")
+
+    def prune(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                sizes = [len(x) for x in frame["buckets"]]
+                flat = np.concatenate(frame["buckets"].tolist()).astype(np.int64)
+                there = has(bits.value, flat)
+                row = np.repeat(np.arange(len(sizes)), sizes)[there]
+                left = np.bincount(row, minlength=len(sizes))
+                parts = np.split(flat[there], np.cumsum(left)[:-1])
+                yield frame.assign(buckets=pd.Series(parts, index=frame.index, dtype=object))[left > 0]
+
+    return scratch.keep(items.mapInPandas(prune, items.schema), "sharing")
+
+
 def link_items(
     items: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
@@ -61,27 +86,27 @@ def link_items(
 ) -> tuple[DataFrame, DataFrame]:
     """items (node, *facts, buckets array) to (edges (a, b), components (node, root)).
 
-    verify keeps the pairs (a, b) that are alike. The first round takes the first `first` buckets of each item, and as the
-    leader of a bucket the node that meets most others: an original rather than one of its copies. Later ones take any other.
+    verify keeps the pairs (a, b) that are alike; it gets none twice. The first round takes the first `first` buckets of each
+    item. The leader of a bucket is the node that meets most others: an original rather than one of its copies; after finer
+    functions any other.
     finer functions turn left-over entries (bucket, node, root, *facts) into ones of smaller buckets; they may drop entries that
     can have no link, and add facts. alike(facts of a, of b) is an optional cheap condition, from the facts that are there, that
     every true pair meets.
     """
-    entries = items.withColumn("bucket", F.explode(F.slice("buckets", 1, first))).drop("buckets")
-    crowd = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("bucket").alias("_b"), "n")
-    met = entries.join(crowd, F.col("bucket") == F.col("_b")).drop("_b")
-    met = scratch.keep(met, "crowd-0")
-    score = met.groupBy(F.col("node").alias("_n")).agg(F.sum("n").alias("score"))
-    entries = scratch.keep(met.drop("n").join(score, F.col("node") == F.col("_n")).withColumn("root", F.col("node")).drop("_n"), "entries-0")
-    edges = None
+    entries = items.withColumn("bucket", F.explode(F.slice("buckets", 1, first))).drop("buckets").withColumn("root", F.col("node"))
+    entries = _scored(entries, scratch, "entries-0")
+    edges, checked = None, None
     for n in range(len(finer) + 2):
         facts = [c for c in entries.columns if c not in ("bucket", "node", "score", "root")]
-        order = F.struct(*([(-F.col("score")).alias("far")] if n == 0 else []), F.xxhash64(F.lit(n), "node"), F.col("node"), *facts)
+        order = F.struct(*([(-F.col("score")).alias("far")] if n < 2 else []), F.xxhash64(F.lit(n), "node"), F.col("node"), *facts)
         heads = entries.groupBy("bucket").agg(F.min(order).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
         heads = heads.select(F.col("bucket").alias("_b"), F.col("h.node").alias("a"), *[F.col(f"h.{c}").alias(f"a_{c}") for c in facts])
         led = entries.join(heads, F.col("bucket") == F.col("_b")).filter("node <> a")
         led = scratch.keep(led.select("bucket", "a", "node", *[f"a_{c}" for c in facts], *facts), f"led-{n}")
-        passed = scratch.keep(verify(_fitting(led, facts, alike).select("a", F.col("node").alias("b")).distinct()), f"passed-{n}")
+        pairs = _fitting(led, facts, alike).select("a", F.col("node").alias("b")).distinct()
+        pairs = scratch.keep(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), f"pairs-{n}")
+        checked = pairs if checked is None else checked.unionByName(pairs)
+        passed = scratch.keep(verify(pairs), f"passed-{n}")
         edges = passed if edges is None else edges.unionByName(passed)
         roots = scratch.keep(components(edges, scratch, f"round{n}"), f"roots-{n}")
         if n == 0:
@@ -91,8 +116,8 @@ def link_items(
             mixed = scratch.keep(mixed.filter("lo <> hi").select(F.col("bucket").alias("_b")), "mixed")
             mixed = F.broadcast(mixed) if mixed.count() <= MOST_SENT else mixed
             entries = placed.withColumn("bucket", F.explode("buckets")).drop("buckets").join(mixed, F.col("bucket") == F.col("_b"), "left_semi")
-            entries = scratch.keep(entries, "entries-1")
-            scratch.drop("crowd-0", "entries-0", "led-0", "placed", "mixed")
+            entries = _scored(entries, scratch, "entries-1")
+            scratch.drop("entries-0", "led-0", "placed", "mixed")
             continue
         rest = scratch.keep(_mixed(led.select("bucket", "node", *facts), roots), f"rest-{n}")  # with root and, as mine, a node's buckets
         scratch.drop(f"led-{n}")
@@ -107,10 +132,22 @@ def link_items(
     if alike is not None:
         same = same & alike({c: F.col(f"a_{c}") for c in facts}, {c: F.col(c) for c in facts})
     across = left.join(rest, same & (F.array_min(F.array_intersect("_mine", "mine")) == F.col("bucket"))).select("a", F.col("node").alias("b"))
-    edges = edges.unionByName(scratch.keep(verify(across), "across"))
+    for one, two in (("a", "b"), ("b", "a")):  # leaders came first
+        across = across.join(checked.select(F.col("a").alias(one), F.col("b").alias(two)), ["a", "b"], "left_anti")
+    edges = edges.unionByName(scratch.keep(verify(scratch.keep(across, "pairs-last")), "across"))
     return edges, scratch.keep(components(edges, scratch, "last"), "roots-last")
 
 
+def _scored(entries: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Entries of buckets of several nodes, with the number of others that their node meets in all of these."""
+    crowd = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("bucket").alias("_b"), "n")
+    met = scratch.keep(entries.join(crowd, F.col("bucket") == F.col("_b")).drop("_b"), f"{name}-crowd")
+    score = met.groupBy(F.col("node").alias("_n")).agg(F.sum("n").alias("score"))
+    out = scratch.keep(met.drop("n").join(score, F.col("node") == F.col("_n")).drop("_n"), name)
+    scratch.drop(f"{name}-crowd")
+    return out
+
+
 def _fitting(led: DataFrame, facts: list[str], alike) -> DataFrame:
     return led if alike is None else led.filter(alike({c: F.col(f"a_{c}") for c in facts}, {c: F.col(c) for c in facts}))
 
