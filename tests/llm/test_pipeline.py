@@ -39,8 +39,32 @@ def test_stages_keep_the_columns_of_documents_and_clean_rows(spark):
 
 
 def test_the_pipeline_runs_whole(spark):
-    rows = corpus_pipeline.run(spark, SMALL).collect()
+    out = corpus_pipeline.run(spark, SMALL)
+    rows, docs = out.collect(), {(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     assert rows and all(0 <= r.shard < 16 for r in rows)
+    assert {(r.doc_id, r.text, r.lang, r.source) for r in rows} <= docs
+    slots = Counter(r.shard for r in rows)
+    assert {(r.shard, r.slot) for r in rows} == {(s, i) for s, n in slots.items() for i in range(n)} and len(rows) == sum(slots.values())
+
+
+def test_stages_of_an_empty_table(spark):
+    nothing = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, SMALL).collect() == []
+
+
+def test_shards_of_whole_rows(spark, docs, corpus):
+    """Columns of the same names are replaced, all others kept; rows equal in all columns differ in their slots."""
+    from eventloom.llm import sharding
+
+    rows = docs.withColumnRenamed("items", "slot").withColumnRenamed("score", "size")
+    got = sharding.shard_documents(rows, 3)
+    assert got.columns == ["doc_id", "text", "lang", "source", "key", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    found = got.collect()
+    assert Counter((r.doc_id, r.text, r.lang, r.source, r.key) for r in found) == Counter((*r[:4], r[6]) for r in corpus)
+    assert {(r.shard, r.slot) for r in found} == {(s, i) for s, n in Counter(r.shard for r in found).items() for i in range(n)}
+    plain = {(r.doc_id, r.text_crc32): r.shard for r in sharding.assign_shards(docs, 3).collect()}
+    assert all(plain[r.doc_id, r.text_crc32] == r.shard for r in found)
 
 
 @pytest.mark.parametrize("name", [n for n in __spark_entry__.queries() if re.match(r"op(5|10)_", n)])

@@ -120,6 +120,72 @@ def test_outliers_are_rejected_and_the_others_kept(spark):
     assert all(got[i] for i in got if i < 1000 or i == 3000)
 
 
+def distances(rows):
+    """Distances of (lang, source, n, chars, symbols, dup, repeated) by the definition, with numpy."""
+    import numpy as np
+
+    lang, source = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    n, chars, symbols, dup, again = (np.array([r[i] for r in rows], dtype=float) for i in range(2, 7))
+    wide = n + outliers.PRIOR
+    usual = np.array([chars[lang == x].sum() / n[lang == x].sum() for x in lang])
+    x = np.stack([np.log((chars + outliers.PRIOR * usual) / wide), np.sqrt(symbols / wide), np.log1p(10 * dup / np.sqrt(wide)), np.sqrt(again / wide)], axis=1)
+    at = lambda v, q: np.sort(v)[max(int(np.ceil(q * len(v))), 1) - 1]
+
+    def scatter(rows, least, inner):
+        c = np.cov(rows.T, bias=True)
+        if inner:
+            c = c / outliers.SHRINKS[max(int((np.diag(c) > least**2).sum()), 1) - 1]
+        return c + np.diag(np.maximum(least**2 - np.diag(c), 0))
+
+    def square(rows, m, c):
+        z = np.linalg.solve(np.linalg.cholesky(c), (rows - m).T)
+        return (z * z).sum(axis=0)
+
+    def mcd(mine):
+        rows, middle = x[mine], at(n[mine], 0.5) + outliers.PRIOR
+        least = np.array([outliers.LEAST_LENGTH, np.sqrt(1 / middle), np.log1p(10 / np.sqrt(middle)), np.sqrt(6 / middle)])
+        median = np.array([at(c, 0.5) for c in rows.T])
+        spread = np.array([at(np.abs(c - m), 0.5) for c, m in zip(rows.T, median)]) * 1.4826
+        starts = []
+        for m, c in ((median, np.diag(np.maximum(spread, least) ** 2)), (rows.mean(axis=0), scatter(rows, least, False))):
+            for _ in range(outliers.STEPS):
+                d = square(rows, m, c)
+                inner = rows[d <= at(d, outliers.SHARE)]
+                m, c = inner.mean(axis=0), scatter(inner, least, True)
+            starts.append((np.linalg.slogdet(c)[1], m, c))
+        return min(starts, key=lambda t: t[0])[1:]
+
+    mix = lambda k, own, parent: tuple((k * a + outliers.SMALL * b) / (k + outliers.SMALL) for a, b in zip(own, parent))
+    every = mcd(np.ones(len(rows), dtype=bool))
+    out = np.zeros(len(rows))
+    for one in sorted(set(lang)):
+        mine = lang == one
+        parent = mix(mine.sum(), mcd(mine), every)
+        for two in sorted(set(source[mine])):
+            here = mine & (source == two)
+            out[here] = square(x[here], *mix(here.sum(), mcd(here), parent))
+    return out
+
+
+def test_distances_and_verdicts_against_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "abcdefghij"[: min(9, max(2, int(rng.gauss(5, 2))))] + str(rng.randrange(900))
+    rows = []
+    for i in range(420):
+        text = [word() for _ in range(rng.randrange(60, 300))]
+        if rng.random() < 0.3:
+            text[10:10] = text[:3] * rng.randrange(1, 4)
+        text = " ".join(text) + ("\nsame line\nsame line" if rng.random() < 0.3 else "")
+        if rng.random() < 0.3:
+            text = text.replace(" a", " #a", rng.randrange(1, 40))
+        rows.append((i, text, rng.choice(["en", "en", "de"]), rng.choice("aaab" if i < 400 else "c")))
+    got = {r.doc_id: r for r in outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    good = [(i, lang, source) for i, text, lang, source in rows if not statistics(text)[-1]]
+    want = distances([(lang, source, *statistics(rows[i][1])[:5]) for i, lang, source in good])
+    assert [got[i].distance for i, *_ in good] == pytest.approx(list(want), rel=1e-6)
+    assert [got[i].kept for i, *_ in good] == [d <= outliers.CHI2_CUT for d in want] and 5 < sum(want > outliers.CHI2_CUT) < 200
+
+
 def test_the_estimate_is_that_of_the_inner_share(spark, tmp_path):
     import numpy as np
 
