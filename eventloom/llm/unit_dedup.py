@@ -364,7 +364,10 @@ def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs without the spans, in the same columns; what stood around a span stays as it was."""
+    """docs without the spans, in the same columns; what stood around a span stays as it was.
+
+    Null texts stay null. Repeated rows lose the same spans. Spans that overlap must be merged before, as report's are.
+    """
     name, gone = "__el_key", "__el_gone"
     lists = spans.groupBy(F.col("doc_id").alias("__el_id"), F.col("key").alias(name)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(gone))
 
