@@ -162,11 +162,8 @@ def key_of() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _repeated(units: DataFrame, scratch: Scratch, counted: DataFrame | None = None) -> DataFrame:
-    """Every unit that repeats an earlier one, with its place and that of its original.
-
-    Digests are counted over `counted`, which are all units, or over units. units must hold all that are repeated.
-    """
+def _repeated(units: DataFrame, scratch: Scratch, counted: DataFrame) -> DataFrame:
+    """Every unit that repeats an earlier one, with its place and that of its original. counted are the _counts of all units."""
     digest, same = ["high", "low"], (F.col("high") == F.col("_h")) & (F.col("low") == F.col("_l"))
     again = scratch.keep(units.join(counted, same).drop("_h", "_l"), "again")
     best = F.struct("key", "unit", "line", "start", "before", "after")
