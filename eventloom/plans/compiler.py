@@ -20,7 +20,7 @@ from eventloom.operators import histogram as H
 from eventloom.operators.inference import add_scores
 from eventloom.operators.kinematics import add, four_vector
 from eventloom.sources.lumi import certified, read_lumi_mask
-from eventloom.spec.expr import COMPARISONS, Attr, Call, Name, Neg, Num, Op, SpecError
+from eventloom.spec.expr import COMPARISONS, Attr, Name, Neg, Num, Op, SpecError
 from eventloom.spec.model import Body, Correction, Spec, camel
 from eventloom.spec.validate import derived_order
 

@@ -406,6 +406,22 @@ def test_the_plan_scans_once_and_pushes_flags(spark, tmp_path):
     assert "Exchange" not in plan and "Jet" not in plan.split("ReadSchema")[1]
 
 
+def test_histograms_and_skims_by_variation_come_back(spark, tmp_path):
+    from eventloom.sources.events import read_histograms, write_histograms, write_skim
+
+    text = "analysis a year y; weight nominal; correction jes kind scale collection m attr pt up 1.05 down 0.95; object m : Muon { pt > 30 GeV; } region r { count(m) >= 1; } output lead = leading(m).pt; histogram h { expr = leading(m).pt; bins = 4; range = [20, 60]; }"
+    plan = Plan(from_text(text, "adl"), frame(spark, muons([(31, 0, 0, 1)], [(29, 0, 0, 1)], [(58, 0, 0, 1), (40, 0, 0, 1)], [])), ["event"])
+    rows = plan.varied_rows()
+    write_skim(rows, f"{tmp_path}/skim", by_variation=True)
+    back = spark.read.parquet(f"{tmp_path}/skim").select(*rows.columns)
+    found = sorted((r.event, r.variation, round(r.lead, 3)) for r in back.collect())
+    assert found == [(0, "JesUp", 32.55), (0, "Nominal", 31.0), (1, "JesUp", 30.45), (2, "JesDown", 55.1), (2, "JesUp", 60.9), (2, "Nominal", 58.0)]
+    hists = Plan(plan.spec, plan.events).histograms()
+    write_histograms(hists, f"{tmp_path}/hists")
+    again = read_histograms(spark, f"{tmp_path}/hists")
+    assert sorted(again.collect()) == sorted(hists.select(*again.columns).collect()) and again.filter("variation = 'JesUp' and entries > 0").count() == 2
+
+
 def test_a_large_lumi_mask_is_sent_to_the_events(spark):
     from eventloom.sources import lumi
 
