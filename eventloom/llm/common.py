@@ -89,15 +89,23 @@ class Scratch:
         root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
         self.root = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and returns the written table. Its shuffle files go at once, as nothing reads them any more."""
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Writes df, by a column's values apart if told so, and returns the written table.
+
+        Its shuffle files go at once, as nothing reads them any more.
+        """
         path, before = f"{self.root}/{name}", self.spark.conf.get(_CLEANUP, "false")
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.option("compression", "uncompressed").parquet(path)  # codecs hold memory outside the heap for each small file
+            writer = df.write.option("compression", "uncompressed")  # codecs hold memory outside the heap for each small file
+            (writer.partitionBy(by) if by else writer).parquet(path)
         finally:
             self.spark.conf.set(_CLEANUP, before)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.again(df, name)
+
+    def again(self, df: DataFrame, name: str) -> DataFrame:
+        """What is there of a written table with df's columns."""
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
         """Removes tables that no later plan reads."""

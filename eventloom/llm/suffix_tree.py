@@ -422,14 +422,16 @@ def counted(now: DataFrame, order: int, buckets: int, scratch: Scratch) -> tuple
     table = scratch.keep(table, f"counted-{order}")
     told = table.filter("chunk >= 0").select("chunk", "bucket", "bits", "own")
     marked = now.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_marker(order, buckets), f"{_CHUNKS}, bucket int, c binary, s binary")
-    marked = scratch.keep(marked, f"chunks-{order}")
+    marked = marked.withColumn("described", F.col("bucket") >= 0)
+    written = scratch.keep(marked, f"chunks-{order}", by="described")
+    scratch.drop(f"chunks-{order - 1}")
     grams = table.filter("chunk = -1").select("bucket", "c", F.col("c").alias("s"), "kind", "n")
     if order > 1:
-        parts = marked.filter("bucket >= 0").select("bucket", "c", "s")
+        parts = written.filter("described").select("bucket", "c", "s")
         grams = grams.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInPandas(_described, _GRAMS)
     grams = scratch.keep(grams, f"grams-{order}")
-    scratch.drop(f"chunks-{order - 1}", f"counted-{order}")
-    return marked.filter("bucket = -1").select(*_columns(_CHUNKS)), grams
+    scratch.drop(f"counted-{order}", f"chunks-{order}/described=true")
+    return scratch.again(marked, f"chunks-{order}").filter("not described").select(*_columns(_CHUNKS)), grams
 
 
 def level(grams: DataFrame, shorter: DataFrame, buckets: int, scratch: Scratch, order: int) -> tuple[DataFrame, DataFrame]:
