@@ -13,7 +13,7 @@ needs about w + m ln m points whatever the counts.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -21,15 +21,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import Scratch, item_words, row_key, text_of
+from eventloom.llm.common import Scratch, bitmap, has, item_words, row_key, text_of
 from eventloom.llm.linking import FIRST, link_items
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 M = BANDS * ROWS
-#: Entries of a left-over bucket above which it is cut by a second band.
+#: Entries of a left-over bucket above which it is cut by rare codes.
 WHOLE = 100
+#: Numbers of bags from which a code counts as more common.
+OFTEN = (1, 8, 64, 512)
 #: Words handled at once by a worker; a longer text is handled alone.
 AT_ONCE = 300_000
 
@@ -179,6 +181,28 @@ def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield out
 
 
+def rarest(levels, share: Fraction) -> Callable:
+    """(node, ..., codes) to the same with the codes that a bag has to share one of with an alike one of another component.
+
+    Alike bags share at least `share` of either's codes. So in any order of all codes the first shared one has, in both bags,
+    as many codes from it on; those behind are left out. The order is by how many bitmaps have a code, few first; codes that
+    none has are in one component only and left out as well.
+    """
+
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for codes in frame["codes"]:
+                codes = np.asarray(codes, dtype=np.int64)
+                level = np.sum([has(bits, codes) for bits in levels.value], axis=0)
+                needed = -(-len(codes) * share.numerator // share.denominator)
+                first = np.lexsort((codes, level))[: len(codes) - needed + 1]
+                out.append(codes[first[level[first] > 0]])
+            yield frame.assign(codes=pd.Series(out, index=frame.index, dtype=object))
+
+    return pick
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """A row for each row of docs: doc_id, key, class_id, class_key, class_size, weight.
 
@@ -216,25 +240,29 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         return both.filter(same >= (F.size("ca") + F.size("cb")) * F.lit(share.numerator)).select("a", "b")
 
     def finer(rest: DataFrame) -> DataFrame:
-        """How many of a node's codes no other node that is left has; and large buckets cut by a second band.
+        """How many of a node's codes no other node that is left has; and large buckets cut by rare codes.
 
         Such codes cannot be shared; where all that is left to share is too little for any node of the bucket, it goes.
-        Buckets of up to WHOLE entries go on as they are. Larger ones are cut by an eighth of the other bands: two texts of the
-        least similarity share no such two bands with a chance of 3e-4, and only that is lost.
+        Buckets of up to WHOLE entries go on as they are. The nodes of larger ones meet by their rarest codes, so that no pair is lost.
         """
-        nodes = rest.select("node").distinct()
-        single = codes.join(nodes, "node", "left_semi").select("node", F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-        own = scratch.keep(single.filter("n = 1").groupBy(F.col("node").alias("_u")).agg(F.count("*").alias("own")), "own")
+        nodes = rest.select(F.col("node").alias("_n"), "root").distinct()
+        spread = codes.join(nodes, F.col("node") == F.col("_n")).select("node", "root", F.explode("codes").alias("code")).groupBy("code")
+        spread = spread.agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        spread = scratch.keep(spread.filter("n = 1 or lo <> hi"), "spread")
+        own = scratch.keep(spread.filter("n = 1").groupBy(F.col("node").alias("_u")).agg(F.count("*").alias("own")), "own")
         kept = ["bucket", "node", "root", "weight", "own"]
         rest = rest.join(own, F.col("node") == F.col("_u"), "left").withColumn("own", F.coalesce("own", F.lit(0))).select(*kept)
         least = rest.groupBy(F.col("bucket").alias("_b")).agg(F.min("weight").alias("least"), F.count("*").alias("n"))
         core = F.col("weight") - F.col("own")
         rest = rest.join(least, F.col("bucket") == F.col("_b")).filter(core * share.denominator >= (F.greatest("least", core) + F.col("own")) * share.numerator)
         rest = scratch.keep(rest.select(*kept, "n"), "fewer")
-        large = rest.filter(F.col("n") > WHOLE).drop("n").join(bands.select(F.col("node").alias("_n"), "bands"), F.col("node") == F.col("_n"))
-        ahead = F.filter("bands", lambda x, i: (F.pmod(F.xxhash64("bucket") + i, F.lit(8)) == 0) & (x != F.col("bucket")))
-        cut = large.select(*kept, F.explode(ahead).alias("other")).withColumn("bucket", F.xxhash64("bucket", "other")).select(*kept)
-        return rest.filter(F.col("n") <= WHOLE).drop("n").unionByName(cut)
+        large = scratch.keep(rest.filter(F.col("n") > WHOLE).select(*kept[1:]).distinct(), "large")
+        every = large.join(codes.select(F.col("node").alias("_n"), "codes"), F.col("node") == F.col("_n")).drop("_n")
+        often = spread.filter("lo <> hi")
+        levels = spark.sparkContext.broadcast([bitmap(often.filter(F.col("n") >= n), F.col("code")) for n in OFTEN])
+        scratch.drop("spread")
+        rare = every.mapInPandas(rarest(levels, share), "node long, root long, weight long, own long, codes array<long>")
+        return rest.filter(F.col("n") <= WHOLE).drop("n").unionByName(rare.withColumn("bucket", F.explode("codes")).select(*kept))
 
     def fits(a: dict, b: dict) -> Column:
         """What two bags can share at most against what they hold together at least."""

@@ -83,6 +83,22 @@ def test_near_duplicates_of_odd_rows(docs, corpus, empty):
     assert bagminhash.near_duplicates(empty).collect() == [] and bagminhash.drop_near_duplicates(empty).collect() == []
 
 
+def test_near_duplicates_that_meet_in_one_large_bucket_only(spark, monkeypatch):
+    """All texts share one band and no two share another; the bucket is over WHOLE, and nothing may be lost by cutting it."""
+    sign = bagminhash.sign
+
+    def crowded(frames):
+        for frame in sign(frames):
+            start = [int.from_bytes(d[:7], "big") for d in frame["digest"]]
+            yield frame.assign(bands=[[-1, *range(x * 32, x * 32 + 31)] for x in start])
+
+    monkeypatch.setattr(bagminhash, "sign", crowded)
+    rows = near_texts(3)
+    assert len(rows) > bagminhash.WHOLE
+    got = bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in got) == brute_classes(rows)
+
+
 def test_counts_weigh_in(spark):
     a = " ".join(["one two three four five"] * 10)
     b = " ".join(["one two three four five"] * 20)
