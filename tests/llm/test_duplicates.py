@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from eventloom.llm import bagminhash, fuzzy_lines, linking, unit_dedup
 from eventloom.llm.common import Scratch
 from test_text_scans import words
@@ -83,20 +84,30 @@ def test_near_duplicates_of_odd_rows(docs, corpus, empty):
     assert bagminhash.near_duplicates(empty).collect() == [] and bagminhash.drop_near_duplicates(empty).collect() == []
 
 
-def test_near_duplicates_that_meet_in_one_large_bucket_only(spark, monkeypatch):
+@pytest.fixture
+def crowded(monkeypatch):
     """All texts share one band and no two share another; the bucket is over WHOLE, and nothing may be lost by cutting it."""
     sign = bagminhash.sign
 
-    def crowded(frames):
+    def one_band(frames):
         for frame in sign(frames):
             start = [int.from_bytes(d[:7], "big") for d in frame["digest"]]
             yield frame.assign(bands=[[-1, *range(x * 32, x * 32 + 31)] for x in start])
 
-    monkeypatch.setattr(bagminhash, "sign", crowded)
+    monkeypatch.setattr(bagminhash, "sign", one_band)
     rows = near_texts(3)
     assert len(rows) > bagminhash.WHOLE
-    got = bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in got) == brute_classes(rows)
+    return rows
+
+
+def test_near_duplicates_that_meet_in_one_large_bucket_only(spark, crowded):
+    got = bagminhash.near_duplicates(spark.createDataFrame(crowded, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in got) == brute_classes(crowded)
+
+
+def test_the_pipeline_drops_copies_that_meet_in_one_large_bucket_only(spark, crowded):
+    left = corpus_pipeline.drop_copies(spark, spark.createDataFrame(crowded, "doc_id long, text string"), "")
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted({first for _, first, _ in brute_classes(crowded)})
 
 
 def test_counts_weigh_in(spark):
