@@ -231,6 +231,21 @@ def test_fuzzy_lines_recall_against_plain_edit_similarity(spark, seed):
     assert all(a + 1 == b and a in true for a, b in got)
 
 
+def test_fuzzy_lines_move_the_texts_of_pairs_only(spark, monkeypatch):
+    """Lines that are in no pair are not sent to a comparison, and bands are not kept to the end."""
+    lines = spark.createDataFrame([(i << 33, f"line {i}") for i in range(2000)], "node long, text string")
+    pairs = spark.createDataFrame([(i << 33, (i + 1) << 33) for i in range(0, 40, 2)], "a long, b long")
+    for end in "ab":
+        got = {r.node for r in fuzzy_lines._of(lines, pairs, end).collect()}
+        assert got >= {r[end] for r in pairs.collect()} and len(got) < 100
+    kept, dropped = {}, set()
+    keep, drop = Scratch.keep, Scratch.drop
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name, by=None: kept.update({name: df.columns}) or keep(self, df, name, by))
+    monkeypatch.setattr(Scratch, "drop", lambda self, *names: dropped.update(names) or drop(self, *names))
+    fuzzy_lines.find_groups(spark.createDataFrame(line_texts(7), "doc_id long, text string"))
+    assert not {name for name, columns in kept.items() if {"bands", "buckets"} & set(columns)} - dropped
+
+
 def test_fuzzy_lines_of_odd_rows(docs, corpus, empty):
     got = fuzzy_lines.dedup_lines(docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in corpus)
