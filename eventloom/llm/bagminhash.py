@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import Scratch, bitmap, has, item_words, row_key, text_of
-from eventloom.llm.linking import FIRST, link_items
+from eventloom.llm.linking import FIRST, MOST_SENT, link_items
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -221,14 +221,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     texts = texts.agg(F.min(row).alias("first"), F.count("*").alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     texts = scratch.keep(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     named, bands = texts.select("node", F.col("first.key").alias("_key")), texts.select("node", "weight", "bands")
-    # texts that share a band: most share one of the first few, so only the others' bands are all looked up
+    # texts that share a band; of many buckets most texts share one of the first few, so only the others' bands are all looked up
     placed = lambda df, of: df.select("node", F.explode(of).alias("bucket"))
     shared = placed(bands, F.col("bands")).groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("bucket").alias("_b"))
     shared = scratch.keep(shared, "shared")
-    inside = lambda df: df.join(shared, F.col("bucket") == F.col("_b"), "left_semi").select("node").distinct()
-    soon = scratch.keep(inside(placed(bands, F.slice("bands", 1, FIRST))), "soon")
-    late = inside(placed(bands.join(soon, "node", "left_anti"), F.col("bands")))
-    met = scratch.keep(soon.unionByName(late), "met")
+    if shared.count() <= MOST_SENT:
+        there = placed(bands, F.col("bands")).join(F.broadcast(shared), F.col("bucket") == F.col("_b"), "left_semi")
+        met = scratch.keep(there.select("node").distinct(), "met")
+    else:
+        inside = lambda df: df.join(shared, F.col("bucket") == F.col("_b"), "left_semi").select("node").distinct()
+        soon = scratch.keep(inside(placed(bands, F.slice("bands", 1, FIRST))), "soon")
+        late = inside(placed(bands.join(soon, "node", "left_anti"), F.col("bands")))
+        met = scratch.keep(soon.unionByName(late), "met")
     wanted = named.join(met, "node", "left_semi")
     found = hashed.join(wanted, F.col("key") == F.col("_key")).select("node", "w")
     codes = scratch.keep(found.mapInPandas(coded, "node long, codes array<long>").dropDuplicates(["node"]), "codes")

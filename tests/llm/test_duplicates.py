@@ -137,6 +137,23 @@ def test_components_of_chains_and_stars(spark):
     assert {r.node: r.root for r in got} == want and len(got) == len(want)
 
 
+def test_few_edges_are_linked_without_writing_a_table(spark, monkeypatch):
+    rng, written, keep = random.Random(6), [], Scratch.keep
+    edges = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(200)], "a long, b long")
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name, by=None: written.append(name) or keep(self, df, name, by))
+    few = sorted(linking.components(edges, Scratch(spark, "t"), "few").collect())
+    assert few and not written
+    monkeypatch.setattr(linking, "MOST_GATHERED", 199 - edges.filter("a = b").count())
+    assert sorted(linking.components(edges, Scratch(spark, "t"), "many").collect()) == few and written
+
+
+def test_near_duplicates_agree_where_shared_buckets_are_not_sent(spark, monkeypatch):
+    monkeypatch.setattr(bagminhash, "MOST_SENT", -1)
+    rows = near_texts(4, hot=20, n=60)
+    got = bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in got) == brute_classes(rows)
+
+
 def test_linking_compares_what_a_leader_misses(spark):
     """In one bucket, items are alike if they differ by one: no leader is alike to all, yet all are one group."""
     entries = spark.createDataFrame([(1, i) for i in range(12)] + [(2, i) for i in range(100, 104)], "bucket long, node long")
