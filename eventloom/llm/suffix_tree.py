@@ -79,6 +79,16 @@ def _wide(kind: int, blob: bytes) -> np.ndarray:
     return _numbers(blob, f"u{kind}").astype(np.int64)
 
 
+def _packed(n: np.ndarray) -> bytes:
+    """Numbers in few bytes: those of one weight side by side, as the high ones are much alike, then compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(n.view(np.uint8).reshape(-1, n.itemsize).T).tobytes())
+
+
+def _unpacked(blob: bytes, kind=np.uint64) -> np.ndarray:
+    raw = _numbers(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets rise with the key, so sorted keys fall into slices."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -94,12 +104,12 @@ def _slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
 
 def _chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(doc_id, held_out, text) to rows of _CHUNKS; a text that is longer than a chunk is one."""
-    packer, number = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32
+    number = TaskContext.get().partitionId() << 32
     ids, held, sizes, keys, n = [], [], [], [], 0
 
     def packed() -> pd.DataFrame:
         words, _, codes = distinct(np.concatenate(keys))
-        row = (number, ids, np.array(held, dtype=np.uint8).tobytes(), np.concatenate(sizes).astype(np.int32).tobytes(), words.tobytes(), packer.compress(codes.astype(np.int32).tobytes()), [])
+        row = (number, ids, np.array(held, dtype=np.uint8).tobytes(), np.concatenate(sizes).astype(np.int32).tobytes(), _packed(np.diff(words, prepend=np.uint64(0))), _packed(codes.astype(np.int32)), [])
         return pd.DataFrame([row], columns=["chunk", "ids", "held", "sizes", "words", "codes", "masks"])
 
     for frame in frames:
@@ -125,8 +135,8 @@ class _Tokens:
 
     def __init__(self, row):
         self.row = row
-        self.sizes, self.words = _numbers(row.sizes, np.int32), _numbers(row.words)
-        self.codes = _numbers(zstandard.ZstdDecompressor().decompress(row.codes), np.int32)
+        self.sizes, self.words = _numbers(row.sizes, np.int32), np.cumsum(_unpacked(row.words), dtype=np.uint64)
+        self.codes = _unpacked(row.codes, np.int32)
 
     @cached_property
     def starts(self) -> np.ndarray:
@@ -376,7 +386,7 @@ def _answerer(order: int) -> Callable:
         for row in wanted.itertuples():
             asked = _numbers(row.g)
             value = _looked(g, asked, v) + _looked(c, asked, left)
-            rows.append((row.chunk, row.bucket, order, _looked(g, asked, n).tobytes() if order == 1 else b"", value.astype(np.float32).tobytes()))
+            rows.append((row.chunk, row.bucket, order, _packed(_looked(g, asked, n)) if order == 1 else b"", value.astype(np.float32).tobytes()))
         return pd.DataFrame(rows, columns=["chunk", "bucket", "k", "n", "v"])
 
     return answer
@@ -397,7 +407,7 @@ def _scorer(orders: int, buckets: int, tokens: int, words: int) -> Callable:
             at, every, _, number, _ = own.distinct(k, known=True)
             parts = [found[k, b] for b, _ in _slices(every, buckets)]
             if k == 1:
-                n = _numbers(b"".join(x[0] for x in parts), np.int64)[number]
+                n = np.concatenate([_unpacked(x[0], np.int64) for x in parts])[number]
                 base = np.log10((n + 1) / size)
             total[at] += _numbers(b"".join(x[1] for x in parts), np.float32)[number].astype(float)
         sums = lambda x: np.add.reduceat(x, own.starts)

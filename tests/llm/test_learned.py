@@ -3,7 +3,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from eventloom.llm import suffix_tree, textscan, toxicity
@@ -201,3 +204,23 @@ def test_contexts_are_states_whatever_the_size_of_the_corpus(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in suffix_tree.score_texts(df).collect()}
     assert got[held].train_tokens > 70000 and got[held].score > got[held].base_score + 6
+
+
+def test_chunks_hold_their_words_and_codes_in_few_bytes(monkeypatch):
+    monkeypatch.setattr(suffix_tree.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    texts = [" ".join(f"w{(i * i + k * k) % 4001}" for k in range(300)) for i in range(100)] + [""]
+    frame = pd.DataFrame({"doc_id": [str(i) for i in range(101)], "held_out": False, "text": texts})
+    (row,) = next(suffix_tree._chunk(iter([frame]))).itertuples()
+    tokens = suffix_tree._Tokens(row)
+    assert len(tokens.codes) == 30_101 and tokens.sizes.tolist() == [301] * 100 + [1]
+    words = [w for text in texts for w in [*text.split(), None]]
+    of = dict(zip(words, tokens.words[tokens.codes].tolist(), strict=True))
+    assert [of[w] for w in words] == tokens.words[tokens.codes].tolist() and len(set(of.values())) == len(of) == len(tokens.words)
+    assert of[None] == 1 and (tokens.words[1:] > tokens.words[:-1]).all()
+    assert len(row.words) < 7.5 * len(tokens.words) and len(row.codes) < 2 * len(tokens.codes)
+
+
+@pytest.mark.parametrize("n", [[], [0], [5, 1 << 40, 0, 7]])
+def test_packed_numbers_come_back(n):
+    for kind in (np.uint64, np.int64):
+        assert suffix_tree._unpacked(suffix_tree._packed(np.array(n, dtype=kind)), kind).tolist() == n
