@@ -386,7 +386,7 @@ def _answerer(order: int) -> Callable:
         for row in wanted.itertuples():
             asked = _numbers(row.g)
             value = _looked(g, asked, v) + _looked(c, asked, left)
-            rows.append((row.chunk, row.bucket, order, _packed(_looked(g, asked, n)) if order == 1 else b"", value.astype(np.float32).tobytes()))
+            rows.append((row.chunk, row.bucket, order, _packed(_looked(g, asked, n)) if order == 1 else b"", _packed(value.astype(np.float32))))
         return pd.DataFrame(rows, columns=["chunk", "bucket", "k", "n", "v"])
 
     return answer
@@ -409,7 +409,7 @@ def _scorer(orders: int, buckets: int, tokens: int, words: int) -> Callable:
             if k == 1:
                 n = np.concatenate([_unpacked(x[0], np.int64) for x in parts])[number]
                 base = np.log10((n + 1) / size)
-            total[at] += _numbers(b"".join(x[1] for x in parts), np.float32)[number].astype(float)
+            total[at] += np.concatenate([_unpacked(x[1], np.float32) for x in parts] or [np.zeros(0)])[number].astype(float)
         sums = lambda x: np.add.reduceat(x, own.starts)
         held = _numbers(row.held, np.uint8).astype(bool)
         columns = (list(row.ids), held, own.sizes.astype(np.int64), sums((n > 0).astype(np.int64)), sums(base), sums(base + total))
