@@ -15,7 +15,8 @@ Texts are cut into chunks of about CHUNK tokens, written once. For each order a
 buckets by their hash; a bucket counts them, keeps the repeated ones and tells each chunk which these are. Only n-grams
 whose both shorter parts are repeated go on to the next order, so nothing repeated is missed. Buckets ask those of the order
 below for counts and probabilities, and send sums by context to the contexts' buckets, which test them. A chunk or bucket
-sends a frequent n-gram or context once, so none makes another bucket large.
+sends a frequent n-gram or context once, so none makes another bucket large. A bucket notes which of its n-grams a chunk has
+as it counts them, and gives their values by that, so no chunk asks twice.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ END = np.uint64(1)
 _CHUNKS = "chunk long, ids array<string>, held binary, sizes binary, words binary, codes binary, masks array<binary>"
 #: A bucket's n-grams: contexts, suffixes and counts; of words the keys alone, as c. Keys are joined(c, s).
 _GRAMS = "bucket int, c binary, s binary, kind int, n binary"
+#: What a bucket's counting gives, by part.
+_COUNTED = "part string, chunk long, bucket int, bits binary, own binary, at binary, c binary, kind int, n binary"
 _PRICED = "bucket int, g binary, kind int, n binary, p binary, v binary"
 
 
@@ -136,7 +139,7 @@ class _Tokens:
     def __init__(self, row):
         self.row = row
         self.sizes, self.words = _numbers(row.sizes, np.int32), np.cumsum(_unpacked(row.words), dtype=np.uint64)
-        self.codes = _unpacked(row.codes, np.int32)
+        self.codes, self.masks = _unpacked(row.codes, np.int32), list(row.masks)
 
     @cached_property
     def starts(self) -> np.ndarray:
@@ -147,7 +150,7 @@ class _Tokens:
         return np.repeat(_numbers(self.row.held, np.uint8) == 0, self.sizes)
 
     def mask(self, order: int) -> np.ndarray:
-        return np.unpackbits(_numbers(self.row.masks[order - 1], np.uint8), count=len(self.codes)).view(bool)
+        return np.unpackbits(_numbers(self.masks[order - 1], np.uint8), count=len(self.codes)).view(bool)
 
     def grams(self, order: int, known: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places, keys, keys of n-grams one shorter at every place) of n-grams that may be repeated, or that are known to be."""
@@ -191,9 +194,11 @@ def _asked(order: int, buckets: int) -> Callable:
 
 
 def _counter(order: int) -> Callable:
-    """A bucket's asked n-grams to what each chunk is told (chunk, bucket, bits, own) and the repeated ones, where chunk is -1.
+    """A bucket's asked n-grams to rows of three parts: what each chunk is told (chunk, bucket, bits, own), where among the
+    kept ones in the order of their keys those of a chunk are (chunk, bucket, at), and the kept ones, where chunk is -1.
 
-    bits tell which are repeated, own which of these the chunk is to describe: each one is described by one chunk.
+    bits tell which are repeated, own which of these the chunk is to describe: each one is described by one chunk. Kept are
+    those that are repeated, or all words.
     """
 
     def count(asked: pd.DataFrame) -> pd.DataFrame:
@@ -207,18 +212,21 @@ def _counter(order: int) -> Callable:
         own[first[kept]] = True
         told, mine = np.split(kept[number], cuts), np.split(own, cuts)
         bucket = int(asked["bucket"].iloc[0])
-        rows = [(int(x), bucket, np.packbits(a).tobytes(), np.packbits(b).tobytes(), None, 0, None) for x, a, b in zip(asked["chunk"], told, mine, strict=True)]
-        kept = kept if order > 1 else total > 0
-        rows.append((-1, bucket, None, None, every[kept].tobytes() if order == 1 else None, *_narrow(total[kept])))
-        return pd.DataFrame(rows, columns=["chunk", "bucket", "bits", "own", "c", "kind", "n"])
+        rows = [("told", int(x), bucket, np.packbits(a).tobytes(), np.packbits(b).tobytes(), None, None, 0, None) for x, a, b in zip(asked["chunk"], told, mine, strict=True)]
+        kept = kept if order > 1 else total >= 0
+        place = (np.cumsum(kept) - 1).astype(np.int32)
+        for x, part in zip(asked["chunk"], np.split(number, cuts), strict=True):
+            rows.append(("at", int(x), bucket, None, None, _packed(np.diff(place[part[kept[part]]], prepend=np.int32(0))), None, 0, None))
+        rows.append(("grams", -1, bucket, None, None, None, every[kept].tobytes() if order == 1 else None, *_narrow(total[kept])))
+        return pd.DataFrame(rows, columns=_columns(_COUNTED))
 
     return count
 
 
-def _marker(order: int, buckets: int) -> Callable:
+def _marker(order: int, buckets: int, last: bool) -> Callable:
     """A chunk and what buckets tell it to the chunk with a mask more, and rows of what it is to describe.
 
-    The latter have bucket, which is -1 for the chunk, contexts c and suffixes s.
+    The latter have bucket, which is -1 for the chunk, contexts c and suffixes s. The last mask goes alone, without the chunk.
     """
 
     def mark(chunk: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
@@ -236,7 +244,8 @@ def _marker(order: int, buckets: int) -> Callable:
                 rows.append((row.chunk, *[None] * 6, b, before[places - 1].tobytes(), before[places].tobytes()))
         mask = np.zeros(len(tokens.codes), dtype=bool)
         mask[at] = known[number]
-        own = (row.chunk, row.ids, row.held, row.sizes, row.words, row.codes, [*row.masks, np.packbits(mask).tobytes()], -1, None, None)
+        masks = [*row.masks, np.packbits(mask).tobytes()]
+        own = (row.chunk, *([None] * 5 if last else (row.ids, row.held, row.sizes, row.words, row.codes)), masks[-1:] if last else masks, -1, None, None)
         return pd.DataFrame([own, *rows], columns=names)
 
     return mark
@@ -252,20 +261,6 @@ def _described(counted: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(row.bucket, c[order].tobytes(), s[order].tobytes(), row.kind, row.n)], columns=_columns(_GRAMS))
 
 
-def _wanted(order: int, buckets: int) -> Callable:
-    """Chunks to (bucket, chunk, g): the different n-grams that are repeated, or all words."""
-
-    def want(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                tokens = _Tokens(row)
-                every = tokens.words if order == 1 else tokens.grams(order, known=True)[1]
-                every = every if order == 1 else (ranked := np.sort(every))[opened(ranked)]
-                yield pd.DataFrame([(b, row.chunk, every[x].tobytes()) for b, x in _slices(every, buckets)], columns=["bucket", "chunk", "g"])
-
-    return want
-
-
 def _looked(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Values of the wanted among sorted keys, 0 where one is not there."""
     if not len(keys):
@@ -291,22 +286,22 @@ def _telling(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
     """(bucket, to, kind, told): counts of contexts and probabilities of suffixes."""
     g, p = (_numbers(b"".join(held[x]), kind) for x, kind in (("g", np.uint64), ("p", np.float32)))
     n = np.concatenate([np.zeros(0, np.int64), *(_wide(k, b) for k, b in zip(held["kind"], held["n"], strict=True))])
-    rows = [(r.bucket, r.to, r.kind, _looked(g, _numbers(r.keys), p if r.kind else n).tobytes()) for r in asked.itertuples()]
+    rows = [(r.bucket, r.to, r.kind, _packed(_looked(g, _numbers(r.keys), p if r.kind else n))) for r in asked.itertuples()]
     return pd.DataFrame(rows, columns=["bucket", "to", "kind", "told"])
 
 
-def _gathered(told: pd.DataFrame, kind: int) -> bytes:
+def _gathered(told: pd.DataFrame, kind: int, of: type) -> np.ndarray:
     """The answers of one kind, in the order of their buckets and so of the sorted keys."""
     part = told[told["kind"] == kind]
-    return b"".join(part.sort_values("to")["told"])
+    return np.concatenate([np.zeros(0, of), *(_unpacked(x, of) for x in part.sort_values("to")["told"])])
 
 
 def _given(row, told: pd.DataFrame) -> tuple[np.ndarray, ...]:
     """A bucket's different contexts, a place of each and each n-gram's number among them; counts, contexts' counts, and
     probabilities behind the parents of the contexts."""
     every, first, number = distinct(_numbers(row.c))
-    total = _numbers(_gathered(told, 0), np.int64)[number]
-    below = _numbers(_gathered(told, 1), np.float32)[distinct(_numbers(row.s))[2]].astype(float)
+    total = _gathered(told, 0, np.int64)[number]
+    below = _gathered(told, 1, np.float32)[distinct(_numbers(row.s))[2]].astype(float)
     return every, first, number, _wide(row.kind, row.n), total, below
 
 
@@ -322,8 +317,8 @@ def _summing(buckets: int) -> Callable:
             every, first, number, n, total, below = _given(row, told)
             add = lambda x: np.bincount(number, weights=x, minlength=len(every))  # noqa: B023, E731
             share = (n - DISCOUNT) / total
-            sums = np.stack((add(share), add(n), add(np.ones(len(n))), add(n * np.log(share / below)), total[first].astype(float)), axis=1)
-            rows += [(b, row.bucket, every[x].tobytes(), sums[x].tobytes()) for b, x in _slices(every, buckets)]
+            sums = np.stack((add(share), add(n), add(np.ones(len(n))), add(n * np.log(share / below)), total[first].astype(float)))
+            rows += [(b, row.bucket, every[x].tobytes(), _packed(sums[:, x].ravel())) for b, x in _slices(every, buckets)]
         return pd.DataFrame(rows, columns=["to", "bucket", "c", "sums"])
 
     return send
@@ -331,15 +326,15 @@ def _summing(buckets: int) -> Callable:
 
 def _test(sent: pd.DataFrame) -> pd.DataFrame:
     """Contexts' sums to (bucket, to, kind, told, keys): to each sender, kind 2, rest, or 0 for no state; and states, kind -1."""
-    c, sums = _numbers(b"".join(sent["c"])), _numbers(b"".join(sent["sums"]), np.float64).reshape(-1, len(_SUMS))
+    c, sums = _numbers(b"".join(sent["c"])), np.concatenate([_unpacked(x, np.float64).reshape(len(_SUMS), -1) for x in sent["sums"]], axis=1)
     every, first, number = distinct(c)
-    share, seen, stored, gain = (np.bincount(number, weights=sums[:, i], minlength=len(every)) for i in range(4))
-    total = sums[first, 4]
+    share, seen, stored, gain = (np.bincount(number, weights=sums[i], minlength=len(every)) for i in range(4))
+    total = sums[4, first]
     good = gain + (total - seen) * np.log(1 - share) > 0.5 * np.log(total) * stored
     rest = np.where(good, 1 - share, 0.0)
     told = np.split(rest[number], np.cumsum([len(x) // 8 for x in sent["c"]])[:-1])
     to = int(sent["to"].iloc[0])
-    rows = [(int(b), to, 2, x.tobytes(), b"") for b, x in zip(sent["bucket"], told, strict=True)]
+    rows = [(int(b), to, 2, _packed(x), b"") for b, x in zip(sent["bucket"], told, strict=True)]
     rows.append((to, to, -1, np.log10(rest[good]).tobytes(), every[good].tobytes()))
     return pd.DataFrame(rows, columns=["bucket", "to", "kind", "told", "keys"])
 
@@ -349,7 +344,7 @@ def _priced(grams: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for row in grams.itertuples():
         _, _, number, n, total, below = _given(row, told)
-        rest = _numbers(_gathered(told, 2), np.float64)[number]
+        rest = _gathered(told, 2, np.float64)[number]
         state = rest > 0
         p = np.where(state, (n - DISCOUNT) / total + rest * below, below)
         v = np.log10(p / np.where(state, rest * below, below))
@@ -372,28 +367,28 @@ def _first(size: float) -> Callable:
 
 
 def _answerer(order: int) -> Callable:
-    """What chunks want from a bucket and what it has to (chunk, bucket, k, n, v); 0 for what it has not.
+    """Where a chunk's n-grams are in a bucket and what it has to (chunk, bucket, k, n, v).
 
     It has _PRICED rows and, with kind -1, states (g, v) of contexts.
     """
 
-    def answer(wanted: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         grams, states = held[held["kind"] >= 0], held[held["kind"] < 0]
         g, v = _numbers(b"".join(grams["g"])), _numbers(b"".join(grams["v"]), np.float32).astype(float)
         n = np.concatenate([np.zeros(0, np.int64), *(_wide(k, b) for k, b in zip(grams["kind"], grams["n"], strict=True))])
         c, left = _numbers(b"".join(states["g"])), _numbers(b"".join(states["v"]), np.float64)
+        value = (v + _looked(c, g, left)).astype(np.float32)
         rows = []
-        for row in wanted.itertuples():
-            asked = _numbers(row.g)
-            value = _looked(g, asked, v) + _looked(c, asked, left)
-            rows.append((row.chunk, row.bucket, order, _packed(_looked(g, asked, n)) if order == 1 else b"", _packed(value.astype(np.float32))))
+        for row in asked.itertuples():
+            at = np.cumsum(_unpacked(row.at, np.int32))
+            rows.append((row.chunk, row.bucket, order, _packed(n[at]) if order == 1 else b"", _packed(value[at])))
         return pd.DataFrame(rows, columns=["chunk", "bucket", "k", "n", "v"])
 
     return answer
 
 
 def _scorer(orders: int, buckets: int, tokens: int, words: int) -> Callable:
-    """A chunk and its answers to a row for each of its texts."""
+    """A chunk, its answers and, as k 0, its last mask to a row for each of its texts."""
 
     def score(chunk: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
@@ -402,6 +397,7 @@ def _scorer(orders: int, buckets: int, tokens: int, words: int) -> Callable:
         row = next(chunk.itertuples())
         own, size = _Tokens(row), float(tokens + words + 1)
         found = {(k, b): (n, v) for k, b, n, v in zip(told["k"], told["bucket"], told["n"], told["v"], strict=True)}
+        own.masks += [found[0, -1][1]] if (0, -1) in found else []
         total = np.zeros(len(own.codes))
         for k in range(1, orders + 1):
             at, every, _, number, _ = own.distinct(k, known=True)
@@ -425,23 +421,27 @@ def chunks(docs: DataFrame) -> DataFrame:
     return given.mapInPandas(_chunk, _CHUNKS)
 
 
-def counted(now: DataFrame, order: int, buckets: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(chunks with one mask more, _GRAMS): all words, and longer n-grams that LEAST training texts' places have."""
+def counted(now: DataFrame, order: int, buckets: int, scratch: Scratch, last: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks with one mask more, where chunks' n-grams are, _GRAMS): all words, and longer n-grams that LEAST training texts'
+    places have. Of the last order the chunks have their ids and the last mask alone."""
     asked = now.mapInPandas(_asked(order, buckets), "bucket int, chunk long, g binary, kind int, n binary")
-    table = asked.groupBy("bucket").applyInPandas(_counter(order), "chunk long, bucket int, bits binary, own binary, c binary, kind int, n binary")
-    table = scratch.keep(table, f"counted-{order}")
-    told = table.filter("chunk >= 0").select("chunk", "bucket", "bits", "own")
-    marked = now.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_marker(order, buckets), f"{_CHUNKS}, bucket int, c binary, s binary")
+    table = asked.groupBy("bucket").applyInPandas(_counter(order), _COUNTED)
+    table = scratch.keep(table, f"counted-{order}", by="part")
+    told = table.filter("part = 'told'").select("chunk", "bucket", "bits", "own")
+    marked = now.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_marker(order, buckets, last), f"{_CHUNKS}, bucket int, c binary, s binary")
     marked = marked.withColumn("described", F.col("bucket") >= 0)
     written = scratch.keep(marked, f"chunks-{order}", by="described")
-    scratch.drop(f"chunks-{order - 1}")
-    grams = table.filter("chunk = -1").select("bucket", "c", F.col("c").alias("s"), "kind", "n")
+    if not last:
+        scratch.drop(f"chunks-{order - 1}")
+    scratch.drop(f"counted-{order}/part=told")
+    grams = scratch.again(table, f"counted-{order}").filter("part = 'grams'").select("bucket", "c", F.col("c").alias("s"), "kind", "n")
     if order > 1:
         parts = written.filter("described").select("bucket", "c", "s")
         grams = grams.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInPandas(_described, _GRAMS)
     grams = scratch.keep(grams, f"grams-{order}")
-    scratch.drop(f"counted-{order}", f"chunks-{order}/described=true")
-    return scratch.again(marked, f"chunks-{order}").filter("not described").select(*_columns(_CHUNKS)), grams
+    scratch.drop(f"counted-{order}/part=grams", f"chunks-{order}/described=true")
+    at = scratch.again(table, f"counted-{order}").filter("part = 'at'").select("chunk", "bucket", "at")
+    return scratch.again(marked, f"chunks-{order}").filter("not described").select(*_columns(_CHUNKS)), at, grams
 
 
 def level(grams: DataFrame, shorter: DataFrame, buckets: int, scratch: Scratch, order: int) -> tuple[DataFrame, DataFrame]:
@@ -472,29 +472,31 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     sizes = lambda frames: (pd.DataFrame({"n": [int(_numbers(x, np.int32).sum()) for x in f["sizes"]]}) for f in frames)
     total = now.select("sizes").mapInPandas(sizes, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(4, -(-total // CHUNK))
-    now, grams = counted(now, 1, buckets, scratch)
-    sums = lambda frames: (pd.DataFrame([(len(n), int(n.sum())) for n in (_wide(*x) for x in zip(f["kind"], f["n"], strict=True))], columns=["v", "n"]) for f in frames)
+    now, at, grams = counted(now, 1, buckets, scratch)
+    sums = lambda frames: (pd.DataFrame([(int(np.count_nonzero(n)), int(n.sum())) for n in (_wide(*x) for x in zip(f["kind"], f["n"], strict=True))], columns=["v", "n"]) for f in frames)
     whole = grams.select("kind", "n").mapInPandas(sums, "v long, n long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "vn"]).first()
     tokens, words = int(whole.n), int(whole.v)
     priced = scratch.keep(grams.mapInPandas(_first(float(tokens + words + 1)), _PRICED), "priced-1")
     scratch.drop("grams-1")
-    answers = []
+    answers, masks = [], None
     for order in range(1, depth + 2):
         # contexts of this order are states by the n-grams of the next
         held = priced.select("kind", "bucket", "g", "n", "v")
         if order <= depth:
-            now, grams = counted(now, order + 1, buckets, scratch)
+            more, beside, grams = counted(now, order + 1, buckets, scratch, last=order == depth)
+            masks, now = (more, now) if order == depth else (None, more)  # the last mask goes to the scores by itself
             longer, states = level(grams, priced, buckets, scratch, order + 1)
             held = held.unionByName(states.select(F.lit(-1).alias("kind"), "bucket", "g", F.lit(b"").alias("n"), "v"))
-        wanted = now.mapInPandas(_wanted(order, buckets), "bucket int, chunk long, g binary")
-        told = wanted.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(_answerer(order), "chunk long, bucket int, k int, n binary, v binary")
+        told = at.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(_answerer(order), "chunk long, bucket int, k int, n binary, v binary")
         answers.append(scratch.keep(told, f"answers-{order}"))
-        scratch.drop(f"priced-{order}", f"tested-{order + 1}")
-        priced = longer if order <= depth else None
+        scratch.drop(f"priced-{order}", f"tested-{order + 1}", f"counted-{order}")
+        priced, at = (longer, beside) if order <= depth else (None, None)
+    if masks is not None:
+        answers.append(masks.select("chunk", F.lit(-1).alias("bucket"), F.lit(0).alias("k"), F.lit(b"").alias("n"), F.col("masks")[0].alias("v")))
     told = answers[0]
     for more in answers[1:]:
         told = told.unionByName(more)
     scored = now.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(
-        _scorer(len(answers), buckets, tokens, words), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        _scorer(depth + 1, buckets, tokens, words), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -224,3 +224,28 @@ def test_chunks_hold_their_words_and_codes_in_few_bytes(monkeypatch):
 def test_packed_numbers_come_back(n):
     for kind in (np.uint64, np.int64):
         assert suffix_tree._unpacked(suffix_tree._packed(np.array(n, dtype=kind)), kind).tolist() == n
+
+
+def test_chunks_ask_once_and_the_last_mask_is_written_alone(spark, monkeypatch):
+    kept = {}
+    keep = suffix_tree.Scratch.keep
+
+    def seen(self, df, name, by=None):
+        out = keep(self, df, name, by)
+        if name == "chunks-4":
+            kept[name] = [(r.codes, len(r.masks)) for r in out.filter("not described").select("codes", "masks").collect()]
+        if name == "counted-2":
+            at = out.filter("part = 'at'").select("at").collect()
+            places = [np.cumsum(suffix_tree._unpacked(r["at"], np.int32)) for r in at]
+            kept[name] = (places, [len(suffix_tree._wide(r.kind, r.n)) for r in out.filter("part = 'grams'").select("kind", "n").collect()])
+        return out
+
+    monkeypatch.setattr(suffix_tree.Scratch, "keep", seen)
+    monkeypatch.setattr(suffix_tree, "CHUNK", 1 << 20)
+    rows = patterned(120)
+    got = suffix_tree.score_texts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((str(r.doc_id), round(r.score, 3)) for r in got) == sorted((d, pytest.approx(x, abs=2e-3)) for d, x in tree_scores(rows, 3)[0])
+    assert kept["chunks-4"] == [(None, 1)]
+    places, sizes = kept["counted-2"]
+    # one chunk: it is told all that the buckets keep, in their order, but what only held-out texts repeat is not kept
+    assert all((np.diff(p) > 0).all() for p in places) and sorted(map(len, places)) == sorted(sizes)
