@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eventloom.llm import bagminhash, fuzzy_lines, linking, unit_dedup
+from eventloom.llm import bagminhash, edits, fuzzy_lines, linking, unit_dedup
 from eventloom.llm.common import Scratch
 from test_text_scans import words
 
@@ -366,3 +366,25 @@ def test_every_repeated_line_goes_whatever_its_length(spark):
     got = unit_dedup.repeated_passages(df)
     found = sorted((r.doc_id, dict(rows)[r.doc_id][r.start : r.end], r.words, r.kept_doc_id) for r in got.collect())
     assert found == sorted((d, *x, 0) for d in range(1, 6) for x in (("Share this page with friends", 5), ("Home", 1)))
+
+
+@pytest.mark.parametrize("letters", ["ab ", "abcdefgh ijk\u00fc", "\u5b57\u6f22\u65e5\u672c\u8a9eab", "a\U0001f600\ud800"])
+def test_edit_distances_of_many_pairs_at_once(letters, monkeypatch):
+    """Lengths around those of blocks, few and many pairs, and tables that have to be halved."""
+    rng, a, b = random.Random(3), [], []
+    for _ in range(500):
+        x = [rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 40, 63, 64, 65, 100, 128, 129, 300]))]
+        y = list(x)
+        for _ in range(int(len(x) * rng.random() * 0.35)):
+            i = rng.randrange(len(y) + 1)
+            y[i : i + rng.randrange(2)] = rng.choice(letters) if rng.random() < 0.6 else ""
+        y = y if rng.random() < 0.8 else [rng.choice(letters) for _ in y]
+        a.append("".join(x))
+        b.append("".join(y))
+    most = np.array([max(len(x), len(y)) // 5 for x, y in zip(a, b, strict=True)])
+    want = [fuzzy_lines.within(x, y, int(k)) for x, y, k in zip(a, b, most, strict=True)]
+    assert 50 < sum(want) < 450
+    assert edits.within_all(a, b, most, fuzzy_lines.within).tolist() == want
+    assert fuzzy_lines.alike_lines(a, b, 0.8).tolist() == want
+    monkeypatch.setattr(edits, "CELLS", 1 << 10)
+    assert edits.within_all(a, b, most, fuzzy_lines.within).tolist() == want
