@@ -388,3 +388,26 @@ def test_edit_distances_of_many_pairs_at_once(letters, monkeypatch):
     assert fuzzy_lines.alike_lines(a, b, 0.8).tolist() == want
     monkeypatch.setattr(edits, "CELLS", 1 << 10)
     assert edits.within_all(a, b, most, fuzzy_lines.within).tolist() == want
+
+
+def test_common_words_bring_no_lines_together():
+    """Lines that share their common words alone meet in no band; near copies do, on either side of the number of rare words."""
+    rng = random.Random(8)
+    common = ["that", "with", "from", "this", "have", "were", "they", "been"]
+    rare = lambda: "".join(rng.choice("bcdfghjklmnp") for _ in range(8))
+    lines = [[w for _ in range(12) for w in (common[rng.randrange(8)], rare())] for _ in range(300)]
+    found = fuzzy_lines.common_features([" ".join(line).encode() for line in lines])
+    assert len(found[0]) == len(common)
+    bits = np.zeros(1 << 16, dtype=bool)
+    bits[found[0].view(np.int64) & (1 << 16) - 1] = True
+    known = (np.packbits(bits, bitorder="little").tobytes(), bytes(8))
+    meeting = lambda texts, *known: sum(n * (n - 1) // 2 for n in Counter(x for b in fuzzy_lines.lines_of([t.encode() for t in texts], *known)["bands"] for x in b).values())
+    texts = [" ".join(line) for line in lines]
+    assert meeting(texts) > 10 * (meeting(texts, known) + 1)
+    # copies are no reason to call a word common
+    assert not len(fuzzy_lines.common_features([("one passage that is copied " * 4).encode() + str(i).encode() for i in range(500)])[0])
+    for n in range(6, 16):
+        base = [*common, *(rare() for _ in range(n))]
+        other = [*base[:-1], rare()]
+        met = sum(meeting([" ".join(base), " ".join([*base[:-1], rare()])], known) > 0 for _ in range(20))
+        assert met >= 18, (n, met, other)
