@@ -2,11 +2,12 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eventloom.llm import bagminhash, edits, fuzzy_lines, linking, unit_dedup
+from eventloom.llm import bagminhash, edits, fuzzy_lines, linking, textscan, unit_dedup
 from eventloom.llm.common import Scratch
 from test_text_scans import words
 
@@ -411,3 +412,17 @@ def test_common_words_bring_no_lines_together():
         other = [*base[:-1], rare()]
         met = sum(meeting([" ".join(base), " ".join([*base[:-1], rare()])], known) > 0 for _ in range(20))
         assert met >= 18, (n, met, other)
+
+
+def test_common_features_are_learned_without_the_whole_sample_in_a_worker(spark, monkeypatch):
+    """Batches' pairs are counted apart by feature, and give what the whole sample gives at once."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(("that", "with", "from")) + " " + "".join(rng.choice("bcdfgh") for _ in range(5)) for _ in range(30)) for _ in range(200)]
+    monkeypatch.setattr(fuzzy_lines, "GRAM_FOLLOWED", 40)
+    monkeypatch.setattr(textscan, "AT_ONCE", 1 << 12)
+    parts = pd.concat(fuzzy_lines._following(iter([pd.DataFrame({"text": texts + texts[:50]})])))
+    held = [len(x) // 8 for x in parts["pairs"]]
+    assert max(held) * 20 < sum(held)
+    found = pd.concat(fuzzy_lines._common(own) for _, own in parts.groupby(["part", "kind"]))
+    for kind, want in enumerate(fuzzy_lines.common_features([x.encode() for x in texts])):
+        assert len(want) and sorted(found["hash"][found["kind"] == kind]) == sorted(want.view(np.int64))
